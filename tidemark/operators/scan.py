@@ -29,11 +29,10 @@ def carry_forward(
     frame_end = 0 if include_current else -1
     inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, frame_end)
     blocks = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    present = F.when(F.col("_v").isNotNull(), F.col(order))
     summary = (
-        d.where(F.col("_v").isNotNull())
-        .groupBy(*by, "_b")
-        .agg(F.max_by("_v", order).alias("_last"))
-        .join(d.select(*by, "_b").distinct(), [*by, "_b"], "right")
+        d.groupBy(*by, "_b")
+        .agg(F.max_by("_v", present).alias("_last"))
         .select(*by, "_b", F.last("_last", ignorenulls=True).over(blocks).alias("_carry"))
     )
     local = d.withColumn("_local", F.last("_v", ignorenulls=True).over(inside))

@@ -13,6 +13,7 @@ from tidemark.operators.percentile import past_percentile, trailing_percentile
 from tidemark.operators.regression import ols_hac
 from tidemark.operators.scan import block_ids, running_max
 from tidemark.operators.stats import geo_mean_pct, wilson_ci
+from tidemark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -175,8 +176,10 @@ def holm(df: DataFrame, p: str, alias: str = "p_holm", n_blocks: int = 64) -> Da
 
     Equal p-values share the largest multiplier of their run, so the work is on
     distinct p-values; ranks and the running maximum go block by block, so no
-    task sees the whole family of tests.
+    task sees the whole family of tests. The test table (one row per test) is read
+    several times, so it is written out once first.
     """
+    df = cut_lineage(df)
     tests = df.where(F.col(p).isNotNull())
     distinct = block_ids(tests.groupBy(p).agg(F.count(F.lit(1)).alias("_ties")), [], p, n_blocks)
     inside = Window.partitionBy("_b").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)

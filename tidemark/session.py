@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "tidemark") -> SparkSession:
@@ -27,13 +28,29 @@ def local_session(cores: int | str = "*", app: str = "tidemark") -> SparkSession
     return spark
 
 
+_LOCAL_FOLDER: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for lineage cuts: what the cluster names, else a new one for tests."""
+    """The folder for lineage cuts: what the cluster names, else a new one for local tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDER:
+        _LOCAL_FOLDER[app] = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL_FOLDER[app]
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a reduced result to the shared folder and read it back.
+
+    For a small result that several later steps read, so its inputs are computed
+    once; the copy survives the loss of executors.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
