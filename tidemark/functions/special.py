@@ -7,12 +7,17 @@ per statistic, never the data behind it.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Executors need not have this package installed: the helpers travel with the UDF.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: the 97.5% point of the standard normal distribution.
 Z975 = 1.959963984540054
 

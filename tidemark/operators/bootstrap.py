@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.stats import complete
 
+# Executors need not have this package installed: the helpers travel with the function.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of the draw: a prime modulus and the added constant of each round.
 PRIME = 2_147_483_647
 ROUND_ADD = (12_345, 67_890, 24_680)
@@ -30,7 +34,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
 def block_starts(n: int, block: int, n_boot: int, seed: int) -> np.ndarray:
     """(n_boot, blocks) start positions in [0, n - block]; the same for every group of size n."""
     k = math.ceil(n / block)
@@ -38,12 +41,10 @@ def block_starts(n: int, block: int, n_boot: int, seed: int) -> np.ndarray:
     return _mix((index + seed * 1_000_003 + 1) % PRIME) % (n - block + 1)
 
 
-def resampled_corr(x: np.ndarray, y: np.ndarray, block: int, n_boot: int, seed: int) -> np.ndarray:
+def resampled_corr(x: np.ndarray, y: np.ndarray, block: int, starts: np.ndarray) -> np.ndarray:
     """r of every resample, from block sums: no resample is built row by row."""
     n = len(x)
-    k = math.ceil(n / block)
-    tail = n - (k - 1) * block
-    starts = block_starts(n, block, n_boot, seed)
+    tail = n - (starts.shape[1] - 1) * block
     x, y = x - x.mean(), y - y.mean()
     sums = []
     for v in (x, y, x * x, y * y, x * y):
@@ -81,11 +82,15 @@ def block_bootstrap_corr(
         ]
     )
 
+    drawn: dict[int, np.ndarray] = {}  # filled in the task, shared by its groups of equal size
+
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         low = high = None
         if len(pdf) >= block:
-            r = resampled_corr(pdf[x].to_numpy(float), pdf[y].to_numpy(float), block, n_boot, seed)
+            if len(pdf) not in drawn:
+                drawn[len(pdf)] = block_starts(len(pdf), block, n_boot, seed)
+            r = resampled_corr(pdf[x].to_numpy(float), pdf[y].to_numpy(float), block, drawn[len(pdf)])
             r = r[~np.isnan(r)]
             if len(r):
                 low, high = (float(v) for v in np.percentile(r, [2.5, 97.5]))

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.operators.stats import corr
+
 
 def month_of(c: Column | str) -> Column:
     """First day of the month of a date or timestamp."""
@@ -209,8 +211,7 @@ def rolling_corr(x: str, y: str, n: int, by: Sequence[str], order: str = "month"
     """Correlation over the last n rows, NULL unless all n pairs are complete."""
     w = window_of(by, order).rowsBetween(-(n - 1), 0)
     both = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)
-    r = F.corr(x, y).over(w)
-    return F.when((F.count(both).over(w) == n) & ~F.isnan(r), r)
+    return F.when(F.count(both).over(w) == n, corr(x, y, w))
 
 
 def pct_of_max(c: str, by: Sequence[str]) -> Column:

@@ -24,7 +24,7 @@ def past_percentile(value: str, by: Sequence[str], warmup: int, order: str = "mo
     w = window_of(by, order)
     past = F.collect_list(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
     n = F.row_number().over(w)
-    share = _count_at_or_below(past, F.col(value)) * 100.0 / (n - 1)
+    share = F.try_divide(_count_at_or_below(past, F.col(value)) * 100.0, n - 1)
     return F.when(n > warmup, share)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.panel import date_gaps, drop_incomplete_last, month_of, window_of
-from tidemark.operators.stats import not_nan
+from tidemark.operators.stats import corr
 from tidemark.operators.tables import duplicates
 
 COLUMNS = ("table_name", "description", "status", "detail")
@@ -141,7 +141,7 @@ def agreement(a: DataFrame, b: DataFrame, on: Sequence[str], by: Sequence[str],
     j = a.select(*on, F.col(x).alias("_x")).join(b.select(*on, F.col(y).alias("_y")), list(on)).dropna(subset=["_x", "_y"])
     gap = F.try_divide(F.abs(F.col("_x") - F.col("_y")) * 100, "_y")
     return j.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("months"), not_nan(F.corr("_x", "_y")).alias("r"), F.avg(gap).alias("mean_gap"), F.max(gap).alias("max_gap")
+        F.count(F.lit(1)).alias("months"), corr("_x", "_y").alias("r"), F.avg(gap).alias("mean_gap"), F.max(gap).alias("max_gap")
     )
 
 

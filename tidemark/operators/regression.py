@@ -134,7 +134,7 @@ def ols_hac(
             F.struct(
                 F.lit(x).alias("variable"),
                 c(f"_b{i}").alias("coefficient"),
-                F.sqrt(var[i]).alias("se"),
+                F.when(var[i] >= 0, F.sqrt(var[i])).alias("se"),
             )
             for i, x in enumerate(xs)
         ]

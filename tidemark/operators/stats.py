@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.special import corr_two_sided
@@ -15,6 +15,22 @@ def not_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def corr(x: str, y: str, over: WindowSpec | None = None) -> Column:
+    """Correlation of the complete pairs; NULL if either side does not vary.
+
+    The built-in raises a division error for a constant side, which would stop a job
+    over many keys because of one flat series.
+    """
+    parts = [
+        F.covar_pop(x, y),
+        F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x))),
+        F.stddev_pop(F.when(F.col(x).isNotNull(), F.col(y))),
+    ]
+    if over is not None:
+        parts = [c.over(over) for c in parts]
+    return F.try_divide(parts[0], parts[1] * parts[2])
+
+
 def complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows where every listed column has a value (the common sample)."""
     return df.dropna(subset=list(cols))
@@ -23,7 +39,7 @@ def complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def pearson(df: DataFrame, x: str, y: str, by: Sequence[str], with_p: bool = True) -> DataFrame:
     """r and n per group, with the two-sided p."""
     out = complete(df, [x, y]).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), not_nan(F.corr(x, y)).alias("r")
+        F.count(F.lit(1)).alias("n"), corr(x, y).alias("r")
     )
     return out.withColumn("p", corr_two_sided("r", "n")) if with_p else out
 
@@ -70,7 +86,7 @@ def lead_lag_corr(
     aggs = []
     for i, _ in enumerate(ks):
         both = F.col(x).isNotNull() & F.col(f"_k{i}").isNotNull()
-        aggs += [F.corr(x, f"_k{i}").alias(f"r{i}"), F.count(F.when(both, 1)).alias(f"n{i}")]
+        aggs += [corr(x, f"_k{i}").alias(f"r{i}"), F.count(F.when(both, 1)).alias(f"n{i}")]
     wide = shifted.groupBy(*by).agg(*aggs)
     rows = F.array(
         *[
@@ -78,7 +94,7 @@ def lead_lag_corr(
             for i, k in enumerate(ks)
         ]
     )
-    return wide.select(*by, F.explode(rows).alias("_e")).select(*by, "_e.k", not_nan(F.col("_e.r")).alias("r"), "_e.n")
+    return wide.select(*by, F.explode(rows).alias("_e")).select(*by, "_e.k", "_e.r", "_e.n")
 
 
 def rebase(cols: Sequence[str], base_month: str, by: Sequence[str], month: str = "month") -> list[Column]:
@@ -228,8 +244,8 @@ def level_gap(df: DataFrame, by: Sequence[str], refs: Mapping[str, tuple[str, ob
 
 def wilson_ci(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Wilson score interval for k of n, in percent."""
-    share = F.try_divide(k.cast("double"), n)
-    centre = F.try_divide(share + z * z / (2 * n), 1 + z * z / n)
-    half = F.try_divide(z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n)), 1 + z * z / n)
-    ok = n > 0
-    return F.when(ok, (centre - half) * 100), F.when(ok, (centre + half) * 100)
+    m = F.nullif(n, F.lit(0)).cast("double")
+    share = k / m
+    centre = (share + z * z / (2 * m)) / (1 + z * z / m)
+    half = z * F.sqrt(share * (1 - share) / m + z * z / (4 * m * m)) / (1 + z * z / m)
+    return (centre - half) * 100, (centre + half) * 100

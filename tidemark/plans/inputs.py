@@ -47,7 +47,7 @@ def px_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         li.join(part, li.l_partkey == part.p_partkey)
         .groupBy("series_id", F.col("l_shipdate").cast("date").alias("date"))
         .agg(
-            F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("value"),
+            F.avg(F.try_divide("l_extendedprice", "l_quantity")).alias("value"),
             F.count(F.lit(1)).alias("n_obs"),
         )
     )

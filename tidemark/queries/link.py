@@ -31,7 +31,7 @@ def dollar_link(spark, sf):
     sx, si = F.signum("px"), F.signum("idx")
     out = T.complete(link(spark, sf), ["px", "idx"]).groupBy("series_id").agg(
         F.count(F.lit(1)).alias("n"),
-        T.not_nan(F.corr("px", "idx")).alias("r"),
+        T.corr("px", "idx").alias("r"),
         F.regr_slope("px", "idx").alias("slope"),
         F.regr_r2("px", "idx").alias("r2"),
         F.count_if(sx * si < 0).alias("opposite"),
@@ -312,7 +312,7 @@ def paired_sample(spark, sf):
     def version(c, name):
         return F.struct(
             F.lit(name).alias("version"), F.count(F.lit(1)).alias("n"),
-            F.corr(c, "idx_logret_m").alias("r"), F.regr_slope(c, "idx_logret_m").alias("slope"),
+            T.corr(c, "idx_logret_m").alias("r"), F.regr_slope(c, "idx_logret_m").alias("slope"),
         )
 
     both = d.groupBy("series_id").agg(F.array(version("px_logret_m", "nominal"), version("px_real_logret_m", "real")).alias("_v"))

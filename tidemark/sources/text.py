@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import empty_as_null
 
-# A value no text file holds, so that blanks are read as '' and not as NULL.
-_NEVER = "\x00"
-
-
 def _cp1252_controls() -> tuple[str, str]:
     """The control characters that windows-1252 uses for punctuation, and what they stand for."""
     pairs = []
@@ -29,6 +25,11 @@ def _cp1252_controls() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(z for _, z in pairs)
 
 
+def _blank(c: str) -> Column:
+    """A blank cell as ''; the CSV parser reads it as NULL."""
+    return F.coalesce(F.col(c), F.lit(""))
+
+
 def _numbered(raw: DataFrame, first_line: int) -> DataFrame:
     """Add source_file and file_line to a file scan (columns must come straight from the scan)."""
     cols = raw.columns
@@ -65,12 +66,12 @@ def read_raw_text(
     header = F.transform(F.split("value", sep, -1), lambda c: F.btrim(c, F.lit('" ')))
     good = lines.where(F.col("file_line") == skip + 1).where(header == F.array(*[F.lit(c) for c in columns])).select("source_path")
     schema = ", ".join(f"`{c}` string" for c in columns)
-    cells = F.from_csv("value", schema, {"sep": sep, "nullValue": _NEVER, "emptyValue": ""})
+    cells = F.from_csv("value", schema, {"sep": sep})
     return (
         lines.where((F.col("file_line") > skip + 1) & (F.trim("value") != ""))
         .join(good, "source_path", "left_semi")
         .select("source_file", "file_line", cells.alias("_c"))
-        .select("source_file", "file_line", "_c.*", F.lit(source_id).alias("source_id"))
+        .select("source_file", "file_line", *[_blank(f"_c.`{c}`").alias(c) for c in columns], F.lit(source_id).alias("source_id"))
     )
 
 
@@ -92,15 +93,14 @@ def read_raw_csv(
     raw = (
         spark.read.schema(schema)
         .option("header", True).option("encoding", "ISO-8859-1" if cp1252 else encoding)
-        .option("nullValue", _NEVER).option("emptyValue", "")
         .csv(path)
     )
     out = _numbered(raw, 2).drop("source_path")
     if cp1252:
         src, dst = _cp1252_controls()
         out = out.select(*[F.translate(F.col(f"`{c}`"), src, dst).alias(c) for c in columns], "source_file", "file_line")
-    if empty_to_null:
-        out = out.select(*[empty_as_null(F.col(f"`{c}`")).alias(c) for c in columns], "source_file", "file_line")
+    cell = (lambda c: empty_as_null(F.col(c))) if empty_to_null else _blank
+    out = out.select(*[cell(f"`{c}`").alias(c) for c in columns], "source_file", "file_line")
     return out.withColumn("source_id", F.lit(source_id))
 
 
