@@ -93,10 +93,11 @@ def test_redaction_and_trim(spark):
 
 
 def test_scan_finds_every_leak_in_a_long_text(spark):
-    text = "x" * 50_000 + " mail a.b@c.org and C:\\Users\\me " + "y" * 50_000 + " /home/joe a.b@c.org"
+    text = "x" * 2_000_000 + " p.q@r.co_s@t.org mail a.b@c.org and C:\\Users\\me " + "y" * 50_000 + " /home/joe a.b@c.org"
     df = spark.createDataFrame([(1, text), (2, "clean"), (3, None), (4, "a.b@c.org")], "i int, text string")
     got = {(r.pattern, r["match"]): (r.n_rows, r.n_hits) for r in G.scan_text(df, "text").collect()}
     assert got[("email", "a.b@c.org")] == (2, 3)
+    assert ("email", "p.q@r.co") in got and ("email", "_s@t.org") in got
     assert ("local_path", "C:\\Users\\") in got and ("local_path", "/home/joe") in got
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.panel import window_of
+from tidemark.operators.scan import rank_rows
 from tidemark.operators.tables import append_total, enrich, outer_merge, rank_placeable
 
 
@@ -98,7 +99,7 @@ def record_holds_until(df: DataFrame, by: Sequence[str], value: str, at: str, mo
     then = F.max(F.when(F.col(month) == d, F.col(value))).over(Window.partitionBy(*by))
     return df.withColumn("_v", then).groupBy(*by).agg(
         F.first("_v").alias("value_then"),
-        F.coalesce((F.max(F.when(F.col(month) <= d, F.col(value))) <= F.first("_v")).cast("int"), F.lit(0)).alias("was_record"),
+        (F.max(F.when(F.col(month) <= d, F.col(value))) <= F.first("_v")).cast("int").alias("was_record"),
         F.min(F.when((F.col(month) > d) & (F.col(value) > F.col("_v")), F.col(month))).alias("first_exceeded"),
     )
 
@@ -156,7 +157,7 @@ def supply_table(production: DataFrame, stock: DataFrame, mapping: DataFrame, ke
         "share_of_reserves_pct": F.try_divide(F.col("reserves") * 100, world.select("r").scalar()),
         "life_years": F.try_divide("reserves", "production"),
     })
-    return rank_placeable(out, "placeable", "production")
+    return rank_placeable(out, "placeable", "production", [key])
 
 
 def compare_shares(wanted: DataFrame, a: DataFrame, b: DataFrame, key: str, va: str, vb: str) -> DataFrame:
@@ -174,15 +175,12 @@ def compare_shares(wanted: DataFrame, a: DataFrame, b: DataFrame, key: str, va:
 def part_shares(df: DataFrame, label: str, value: str) -> DataFrame:
     """Parts of a whole with share, rank and the running share in rank order.
 
-    For a short list of parts (already one row per part).
+    One row per part comes in; ranks and running shares are found block by block.
     """
     share = F.try_divide(F.col(value) * 100, df.agg(F.sum(value)).scalar())
-    w = Window.orderBy(F.desc("share_pct"), label)
     d = df.select(label, share.alias("share_pct"))
-    return d.select(
-        label, "share_pct", F.row_number().over(w).alias("rank"),
-        F.sum("share_pct").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running_pct"),
-    )
+    ranked = rank_rows(d, [], -F.col("share_pct"), [label], "rank", also_sum="share_pct")
+    return ranked.select(label, "share_pct", "rank", F.col("running_share_pct").alias("running_pct"))
 
 
 def within_pct(a: Column, b: Column, tol: float) -> tuple[Column, Column]:

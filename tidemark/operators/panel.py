@@ -10,7 +10,6 @@ only ever reduced by partial aggregation.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -62,9 +61,25 @@ def month_spine(
     )
 
 
+def by_month(df: DataFrame) -> DataFrame:
+    """Mark a keyless monthly table for broadcast.
+
+    Only for tables with one row per month: their size is bounded by the calendar
+    (12 rows a year), whatever the number of series joined to them.
+    """
+    return F.broadcast(df)
+
+
 def join_on_spine(spine: DataFrame, *tables: tuple[DataFrame, Sequence[str]]) -> DataFrame:
-    """Left-join tables to the spine; what has no value stays NULL, nothing is filled."""
-    return reduce(lambda acc, t: acc.join(t[0], list(t[1]), "left"), tables, spine)
+    """Left-join tables to the spine; what has no value stays NULL, nothing is filled.
+
+    Tables joined on month alone are keyless calendars and go to every task; keyed
+    tables are left to the planner.
+    """
+    out = spine
+    for df, on in tables:
+        out = out.join(by_month(df) if list(on) == ["month"] else df, list(on), "left")
+    return out
 
 
 def on_spine(df: DataFrame, by: Sequence[str], month: str = "month") -> DataFrame:
@@ -158,19 +173,39 @@ def forward_changes(
     return df.select("*", *out)
 
 
-def shift_join(df: DataFrame, by: Sequence[str], value: str, months: int, alias: str) -> DataFrame:
-    """Self join to the value ``months`` later (equi-join on the shifted month)."""
-    ahead = df.select(*by, F.add_months("month", -months).alias("month"), F.col(value).alias(alias))
-    return df.join(ahead, [*by, "month"], "left")
+def shift_join(df: DataFrame, by: Sequence[str], value: str, months: int, alias: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Value ``months`` calendar months later beside each row.
+
+    Same as a self join on the shifted month, but the series is read once: each row is
+    sent to its own month and to the month that looks ahead to it. (by, month) is unique.
+    """
+    cols = [value, *keep]
+    here = F.struct(F.col("month"), *cols, F.lit(None).cast("double").alias("_ahead"), F.lit(1).alias("_own"))
+    ahead = F.struct(
+        F.add_months("month", -months).alias("month"),
+        *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols],
+        F.col(value).cast("double").alias("_ahead"), F.lit(0).alias("_own"),
+    )
+    return (
+        df.select(*by, F.inline(F.array(here, ahead)))
+        .groupBy(*by, "month")
+        .agg(*[F.max(c).alias(c) for c in cols], F.max("_ahead").alias(alias), F.max("_own").alias("_own"))
+        .where(F.col("_own") == 1)
+        .drop("_own")
+    )
 
 
 def deflate(
     df: DataFrame, deflator: DataFrame, value: str = "value", month: str = "month", alias: str = "real"
 ) -> DataFrame:
-    """value * D_last / D_t, in money of the last deflator month; NULL where D is missing."""
-    base = deflator.agg(F.max_by("value", month)).scalar()
-    d = deflator.select(F.col(month), (base / F.col("value")).alias("_f"))
-    return df.join(d, month, "left").withColumn(alias, F.col(value) * F.col("_f")).drop("_f")
+    """value * D_last / D_t, in money of the last deflator month; NULL where D is missing.
+
+    The deflator is a keyless calendar, so its last value is found in a window over it.
+    """
+    whole = Window.partitionBy(F.lit(1))
+    base = F.max_by("value", month).over(whole)
+    d = deflator.select(F.col(month), F.try_divide(base, F.col("value")).alias("_f"))
+    return df.join(by_month(d), month, "left").withColumn(alias, F.col(value) * F.col("_f")).drop("_f")
 
 
 def pair_ratio(df: DataFrame, pairs: DataFrame, month: str = "month", value: str = "value") -> DataFrame:

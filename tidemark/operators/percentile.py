@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.panel import window_of
 from tidemark.operators.scan import running_sum
+from tidemark.session import cut_lineage
 
 
 def _count_at_or_below(values: Column, x: Column) -> Column:
@@ -54,8 +55,10 @@ def past_percentile_long(
     lies in the left half and i in the right half of the same node. So each row goes
     to one node per level, and the running number of left-half rows in value order is
     what each right-half row needs. Nodes below ``plain_levels`` hold at most
-    2**plain_levels rows; larger nodes run block by block. Work is n log n rows.
+    2**plain_levels rows; larger nodes run block by block. Work is n log n rows. The
+    input is used three times, so it is written out once first.
     """
+    df = cut_lineage(df)
     levels = F.explode(F.sequence(F.lit(0), F.lit(max_log2 - 1)))
     tree = df.select(*by, pos, F.col(value).alias("_x"), levels.alias("_level")).select(
         *by, pos, "_x", "_level",

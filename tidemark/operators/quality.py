@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.panel import date_gaps, drop_incomplete_last, month_of, window_of
+from tidemark.operators.panel import date_gaps, drop_incomplete_last, month_of, shift_join, window_of
 from tidemark.operators.stats import corr
 from tidemark.operators.tables import duplicates
 
@@ -159,12 +159,11 @@ def check_converted(a: DataFrame, b: DataFrame, on: Sequence[str], x: str, y: st
 
 
 def check_revisions(a: DataFrame, b: DataFrame, on: str, value: str, above_pct: float, table: str) -> DataFrame:
-    """Entities whose later figure differs from the earlier by more than a percentage (information)."""
+    """One information row per entity whose later figure differs by more than a percentage."""
     j = a.select(on, F.col(value).alias("_a")).join(b.select(on, F.col(value).alias("_b")), on)
     rev = F.try_divide((F.col("_b") - F.col("_a")) * 100, "_a")
-    big = j.where(F.abs(rev) > above_pct).select(_text(F.col(on), " ", _fixed(rev, 1)).alias("t"))
-    g = big.agg(F.coalesce(F.expr("listagg(t, ', ') within group (order by t)"), F.lit("none")).alias("t"))
-    return as_check(g, table, f"revisions above {above_pct:g}%", None, F.col("t"))
+    big = j.where(F.abs(rev) > above_pct)
+    return as_check(big, table, _text(F.col(on), f": revised by more than {above_pct:g}%"), None, _text(_fixed(rev, 1), "%"))
 
 
 def check_readings(readings: DataFrame, table_df: DataFrame, on: Sequence[str], tol_pct: float, table: str) -> DataFrame:
@@ -316,10 +315,9 @@ def check_same_sample(months: DataFrame, horizon: str, rule: str, by: Sequence[s
 
 
 def check_forward(df: DataFrame, by: Sequence[str], value: str, fwd_pct: str, months: int, tol: float, table: str) -> DataFrame:
-    """A forward column equals the change found by joining the series to itself ``months`` later."""
-    later = df.select(*by, F.add_months("month", -months).alias("month"), F.col(value).alias("_later"))
+    """A forward column equals the change against the calendar month ``months`` later."""
     again = (F.try_divide("_later", value) - 1) * 100
-    j = df.join(later, [*by, "month"])
+    j = shift_join(df, by, value, months, "_later", [fwd_pct]).where(F.col("_later").isNotNull())
     return check_identity(j, F.abs(again - F.col(fwd_pct)) > tol, table, f"{fwd_pct} matches the self join")
 
 
@@ -434,6 +432,14 @@ def run_checks(
             df = spark.createDataFrame([row], ", ".join(f"{c} string" for c in COLUMNS))
         out.append(df.select(F.lit(i).alias("block_no"), *COLUMNS))
     rows = reduce(lambda a, b: a.unionByName(b), out)
-    # Check rows only: the window numbers a report, not data.
-    numbered = F.row_number().over(Window.orderBy("block_no", "table_name", "description"))
-    return rows.select(numbered.alias("check_no"), *COLUMNS, F.lit(run_date).alias("run_date"))
+    # Numbers run on from block to block: each check is numbered on its own, the
+    # offsets come from one small row per check.
+    inside = Window.partitionBy("block_no").orderBy("table_name", "description")
+    earlier = Window.orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("block_no").agg(F.count(F.lit(1)).alias("_n")).select(
+        "block_no", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    number = (F.row_number().over(inside) + F.col("_before")).cast("int")
+    return rows.join(F.broadcast(offsets), "block_no").select(
+        number.alias("check_no"), *COLUMNS, F.lit(run_date).alias("run_date")
+    )

@@ -100,3 +100,30 @@ def running_max(df: DataFrame, by: Sequence[str], order: str, value: str, alias:
         .withColumn(alias, F.greatest("_local", "_carry"))
         .drop("_b", "_local", "_carry")
     )
+
+
+def rank_rows(
+    df: DataFrame, by: Sequence[str], order: Column, ties: Sequence[str], alias: str, n_blocks: int = 64, also_sum: str | None = None
+) -> DataFrame:
+    """Row number by a numeric order, then by ``ties``; block by block, so any group size works.
+
+    With ``also_sum`` the running sum of that column in rank order is added as
+    ``running_<column>``. Rows without an order value come last.
+    """
+    # Rows without an order value share the last block.
+    d = df.withColumn("_o", F.coalesce(order.cast("double"), F.lit(float("inf"))))
+    d = block_ids(d, by, "_o", n_blocks)
+    inside = Window.partitionBy(*by, "_b").orderBy("_o", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    blocks = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.count(F.lit(1)).alias("_n")] + ([F.sum(also_sum).alias("_s")] if also_sum else [])
+    carried = [F.coalesce(F.sum("_n").over(blocks), F.lit(0)).alias("_before")]
+    if also_sum:
+        carried.append(F.coalesce(F.sum("_s").over(blocks), F.lit(0.0)).alias("_so_far"))
+    summary = d.groupBy(*by, "_b").agg(*sums).select(*by, "_b", *carried)
+    out = d.withColumn("_rn", F.count(F.lit(1)).over(inside))
+    if also_sum:
+        out = out.withColumn("_rs", F.sum(also_sum).over(inside))
+    out = out.join(summary, [*by, "_b"]).withColumn(alias, (F.col("_rn") + F.col("_before")).cast("int"))
+    if also_sum:
+        out = out.withColumn(f"running_{also_sum}", F.col("_rs") + F.col("_so_far"))
+    return out.drop("_o", "_b", "_rn", "_before", "_rs", "_so_far")

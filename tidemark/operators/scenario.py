@@ -28,34 +28,37 @@ def input_register(df: DataFrame, key: str, low: str, high: str, unit: str, sour
 
 
 def interpolate(
-    ends: DataFrame, by: Sequence[str], cols: Sequence[str], start: int, end: int, target: int, year: str = "year"
+    ends: DataFrame, by: Sequence[str], cols: Sequence[str], start: int, end: int, target: int, year: str = "year", with_start: bool = False
 ) -> DataFrame:
     """Values at ``target`` between two anchor years, linear and constant growth.
 
-    The direct rows stay, tagged 'direct'. Band ends are interpolated like values.
+    The anchor rows stay, tagged 'direct'; a key with one anchor keeps only that row.
+    Band ends are interpolated like values. With ``with_start`` each row also carries the
+    values of the start year as start_<column>. One aggregation serves all rows.
     """
     w = (target - start) / (end - start)
-    anchors = ends.where(F.col(year).isin(start, end)).groupBy(*by).agg(
+    wide = ends.where(F.col(year).isin(start, end)).groupBy(*by).agg(
         *[F.max(F.when(F.col(year) == start, F.col(c))).alias(f"_a_{c}") for c in cols],
         *[F.max(F.when(F.col(year) == end, F.col(c))).alias(f"_z_{c}") for c in cols],
-        F.countDistinct(year).alias("_years"),
-    ).where(F.col("_years") == 2)
+        F.max((F.col(year) == start).cast("int")).alias("_has_a"),
+        F.max((F.col(year) == end).cast("int")).alias("_has_z"),
+    )
 
-    def path(name: str, value) -> Column:
+    def row(name: str, at: int, between: int, ok: Column, value) -> Column:
         return F.struct(
-            F.lit(name).alias("path_method"),
-            *[value(F.col(f"_a_{c}"), F.col(f"_z_{c}")).alias(c) for c in cols],
+            F.lit(name).alias("path_method"), F.lit(at).alias(year), F.lit(between).alias("is_interpolated"),
+            ok.alias("_ok"), *[value(F.col(f"_a_{c}"), F.col(f"_z_{c}")).cast("double").alias(c) for c in cols],
         )
 
-    both = F.array(
-        path("linear", lambda a, z: a + w * (z - a)),
-        path("constant_growth", lambda a, z: a * F.pow(F.try_divide(z, a), F.lit(w))),
-    )
-    between = anchors.select(*by, F.inline(both)).select(
-        *by, "path_method", F.lit(target).alias(year), F.lit(1).alias("is_interpolated"), *cols
+    has_a, has_z = F.col("_has_a") == 1, F.col("_has_z") == 1
+    rows = F.array(
+        row("direct", start, 0, has_a, lambda a, z: a),
+        row("direct", end, 0, has_z, lambda a, z: z),
+        row("linear", target, 1, has_a & has_z, lambda a, z: a + w * (z - a)),
+        row("constant_growth", target, 1, has_a & has_z, lambda a, z: a * F.pow(F.try_divide(z, a), F.lit(w))),
     )
-    direct = ends.select(*by, F.lit("direct").alias("path_method"), year, F.lit(0).alias("is_interpolated"), *cols)
-    return direct.unionByName(between)
+    carried = [F.col(f"_a_{c}").alias(f"start_{c}") for c in cols] if with_start else []
+    return wide.select(*by, *carried, F.inline(rows)).where("_ok").drop("_ok")
 
 
 def derived_total(value: Column, share_pct: Column) -> Column:
@@ -63,13 +66,16 @@ def derived_total(value: Column, share_pct: Column) -> Column:
     return F.try_divide(value, share_pct / 100.0)
 
 
-def derived_total_band(df: DataFrame, v: str, lo: str, hi: str, s: str, s_lo: str, s_hi: str) -> DataFrame:
+def derived_total_band(df: DataFrame, v: str, lo: str, hi: str, s: str, s_lo: str, s_hi: str, prefix: str = "") -> DataFrame:
     """Central total and its extreme band: smallest value over largest share, and the reverse."""
+    def c(name: str) -> Column:
+        return F.col(prefix + name)
+
     return df.select(
         "*",
-        derived_total(F.col(v), F.col(s)).alias("total_central"),
-        derived_total(F.col(lo), F.col(s_hi)).alias("total_min"),
-        derived_total(F.col(hi), F.col(s_lo)).alias("total_max"),
+        derived_total(c(v), c(s)).alias(f"{prefix}total_central"),
+        derived_total(c(lo), c(s_hi)).alias(f"{prefix}total_min"),
+        derived_total(c(hi), c(s_lo)).alias(f"{prefix}total_max"),
     )
 
 

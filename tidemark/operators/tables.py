@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import rank_rows
+
 
 def inline_rows(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A small literal table (rules, limits, periods)."""
@@ -137,10 +139,10 @@ def ordered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.orderBy(*keys)
 
 
-def rank_placeable(df: DataFrame, flag: str, value: str, alias: str = "rank") -> DataFrame:
+def rank_placeable(df: DataFrame, flag: str, value: str, ties: Sequence[str] = (), alias: str = "rank") -> DataFrame:
     """Rank by value among rows with flag = 1; NULL for the others.
 
-    For entity tables such as countries (already reduced), not for raw rows.
+    Ranks are found block by block (see ``scan.rank_rows``), so no task holds all entities.
     """
-    w = Window.partitionBy(flag).orderBy(F.desc(value))
-    return df.withColumn(alias, F.when(F.col(flag) == 1, F.row_number().over(w)))
+    ranked = rank_rows(df, [flag], -F.col(value), list(ties), alias)
+    return ranked.withColumn(alias, F.when(F.col(flag) == 1, F.col(alias)))
