@@ -83,8 +83,8 @@ def test_long_percentile_equals_brute_force_on_both_paths(spark):
             past = values[:i]
             want[(key, p)] = None if i < 5 else sum(x <= v for x in past) * 100.0 / i
     df = spark.createDataFrame(data, "k string, pos int, v double")
-    for plain in (16, 3):
-        out = PC.past_percentile_long(df, "v", ["k"], "pos", 9, 5, "p", plain_levels=plain, n_blocks=4)
+    for base, plain in ((0, 16), (0, 3), (2, 5), (9, 16)):
+        out = PC.past_percentile_long(df, "v", ["k"], "pos", 9, 5, "p", base_log2=base, plain_levels=plain, n_blocks=4)
         got = {(r.k, r.pos): r.p for r in out.collect()}
         assert got == want
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,19 +44,26 @@ def trim_restricted(df: DataFrame, drop_cols: Sequence[str], drop_rows: Column |
     return out.drop(*drop_cols)
 
 
-def scan_text(df: DataFrame, text: str, patterns: Mapping[str, str] = SCAN_PATTERNS) -> DataFrame:
+# Plain texts of which every match holds at least one: texts without them skip the pattern.
+NEEDLES = {"local_path": ("Users", "AppData", "/home/"), "email": ("@",)}
+
+
+def scan_text(
+    df: DataFrame, text: str, patterns: Mapping[str, str] = SCAN_PATTERNS, needles: Mapping[str, Sequence[str]] = NEEDLES
+) -> DataFrame:
     """Every match of the patterns in whole texts: pattern, match, rows and hits."""
-    found = F.array(
-        *[
-            F.struct(F.lit(name).alias("pattern"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("hits"))
-            for name, p in patterns.items()
-        ]
+    def hits(name: str, p: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
+        words = needles.get(name, ())
+        if not words:
+            return found
+        near = reduce(lambda a, b: a | b, [F.col(text).contains(w) for w in words])
+        return F.when(near, found)
+
+    found = F.array(*[F.struct(F.lit(n).alias("pattern"), hits(n, p).alias("hits")) for n, p in patterns.items()])
+    per_row = df.select(F.inline(found)).where(F.size("hits") > 0).select(
+        "pattern", "hits", F.explode(F.array_distinct("hits")).alias("match")
     )
-    any_hit = F.lit(False)
-    for p in patterns.values():
-        any_hit = any_hit | F.col(text).rlike(p)
-    rows = df.where(any_hit).select(F.inline(found)).where(F.size("hits") > 0)
-    per_row = rows.select("pattern", F.explode(F.array_distinct("hits")).alias("match"), "hits")
     n = F.size(F.filter("hits", lambda h: h == F.col("match")))
     return per_row.select("pattern", "match", n.alias("k")).groupBy("pattern", "match").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("k").alias("n_hits")

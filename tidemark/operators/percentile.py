@@ -45,21 +45,41 @@ def past_percentile_long(
     max_log2: int,
     warmup: int,
     alias: str,
+    base_log2: int = 8,
     plain_levels: int = 16,
     n_blocks: int = 64,
 ) -> DataFrame:
-    """Exact past percentile for long series, without comparing pairs of rows.
-
-    ``pos`` is a unique integer order in [0, 2**max_log2), gaps allowed. Row j comes
-    before row i exactly once in the binary tree of positions: at the level where j
-    lies in the left half and i in the right half of the same node. So each row goes
-    to one node per level, and the running number of left-half rows in value order is
-    what each right-half row needs. Nodes below ``plain_levels`` hold at most
-    2**plain_levels rows; larger nodes run block by block. Work is n log n rows. The
-    input is used three times, so it is written out once first.
+    """Exact past percentile for long series, without comparing all pairs of rows.
+
+    ``pos`` is a unique integer order in [0, 2**max_log2), gaps allowed. Inside blocks
+    of 2**base_log2 positions earlier rows are counted directly. Beyond that, row j comes
+    before row i exactly once in the binary tree of positions: at the level where j lies in
+    the left half and i in the right half of the same node. So each row goes to one node
+    per level, and the running number of left-half rows in value order is what each
+    right-half row needs. Nodes below ``plain_levels`` hold at most 2**plain_levels rows;
+    larger nodes run block by block. Work is n log n rows. The input is used three times,
+    so it is written out once first.
     """
     df = cut_lineage(df)
-    levels = F.explode(F.sequence(F.lit(0), F.lit(max_log2 - 1)))
+    block = Window.partitionBy(*by, F.expr(f"shiftright({pos}, {base_log2})")).orderBy(pos)
+    before = block.rowsBetween(Window.unboundedPreceding, -1)
+    near = _count_at_or_below(F.collect_list(value).over(before), F.col(value))
+    out = df.select("*", near.alias("_near_hits"), F.count(value).over(before).alias("_near_past"))
+    if max_log2 > base_log2:
+        out = out.join(_far_counts(df, value, by, pos, base_log2, max_log2, plain_levels, n_blocks), [*by, pos], "left")
+    else:
+        out = out.select("*", F.lit(0).alias("_far_hits"), F.lit(0).alias("_far_past"))
+    past = F.col("_near_past") + F.coalesce("_far_past", F.lit(0))
+    found = F.col("_near_hits") + F.coalesce("_far_hits", F.lit(0))
+    share = F.when(past >= max(warmup, 1), F.try_divide(found * 100.0, past))
+    return out.withColumn(alias, share).drop("_near_hits", "_near_past", "_far_hits", "_far_past")
+
+
+def _far_counts(
+    df: DataFrame, value: str, by: Sequence[str], pos: str, base_log2: int, max_log2: int, plain_levels: int, n_blocks: int
+) -> DataFrame:
+    """Earlier rows in other blocks: how many, and how many at or below the value."""
+    levels = F.explode(F.sequence(F.lit(base_log2), F.lit(max_log2 - 1)))
     tree = df.select(*by, pos, F.col(value).alias("_x"), levels.alias("_level")).select(
         *by, pos, "_x", "_level",
         F.expr(f"shiftright({pos}, _level + 1)").alias("_node"),
@@ -81,12 +101,9 @@ def past_percentile_long(
         totals = big.groupBy(*node).agg(F.sum("_left").alias("_earlier"))
         run = running_sum(big, node, "_x", "_left", "_at_or_below", n_blocks).join(totals, node)
         counted = counted.unionByName(run.select(*out_cols))
-    hits = (
+    return (
         tree.where(F.col("_right") == 1)
         .join(counted, [*node, "_x"])
         .groupBy(*by, pos)
-        .agg(F.sum("_at_or_below").alias("_hits"), F.sum("_earlier").alias("_past"))
+        .agg(F.sum("_at_or_below").alias("_far_hits"), F.sum("_earlier").alias("_far_past"))
     )
-    past = F.coalesce("_past", F.lit(0))
-    share = F.when(past >= max(warmup, 1), F.col("_hits") * 100.0 / past)
-    return df.join(hits, [*by, pos], "left").withColumn(alias, share).drop("_hits", "_past")

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import facts as FA
 from tidemark.operators import panel as P
-from tidemark.operators import tables as TB
 from tidemark.plans import inputs as I
 from tidemark.plans.inputs import views
-from tidemark.queries.common import CHANGES_SQL, RATIO_SQL, link, panel, r, ratio, rounded, rs
+from tidemark.queries.common import CHANGES_SQL, RATIO_SQL, panel, r, ratio, rounded, rs
 from tidemark.queries.panels import REAL_SQL, real_prices_df
 from tidemark.queries.registry import query
 

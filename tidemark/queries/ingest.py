@@ -10,7 +10,7 @@ from tidemark.functions import cleaning as C
 from tidemark.operators import panel as P
 from tidemark.plans import inputs as I
 from tidemark.plans.inputs import views
-from tidemark.queries.common import r, rounded, rs
+from tidemark.queries.common import r, rounded
 from tidemark.queries.registry import query
 from tidemark.session import shared_folder
 from tidemark.sources import store, text
@@ -114,3 +114,12 @@ FROM customer WHERE NOT contains(c_mktsegment, 'AUTO')""",
 def export_dataset(spark, sf):
     c = I.table(spark, sf, "customer").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 8 != 0, F.col("c_mktsegment")).otherwise(F.when(F.col("c_mktsegment").contains("AUTO"), F.col("c_mktsegment")).otherwise("")))
     return store.dataset_rows(c, "customers", "list", ["c_acctbal"], F.col("c_mktsegment").contains("AUTO"))
+
+
+@query("collected_tables", "A6", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+def collected_tables(spark, sf):
+    """Small register tables kept as CSV, read back with their declared types."""
+    folder = _folder(spark)
+    store.export_csv({f"{n}.csv": I.table(spark, sf, n) for n in ("nation", "region")}, folder)
+    got = store.read_collected(spark, folder, {n: I.SCHEMAS[n] for n in ("nation", "region")})
+    return got["nation"].join(got["region"], F.col("r_regionkey") == F.col("n_regionkey")).select("n_nationkey", "n_name", "r_name")

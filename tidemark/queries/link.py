@@ -10,7 +10,7 @@ from tidemark.operators import regression as R
 from tidemark.operators import stats as T
 from tidemark.queries.common import (
     BLOCK, CHANGES_SQL, HAC_LAGS, LINK_SQL, PANEL_SQL, PERIODS, ROLLING,
-    changes, corr_p_sql, link, normal_p_sql, panel, r, rounded, rs, stack,
+    changes, corr_p_sql, link, normal_p_sql, panel, r, rounded, rs,
 )
 from tidemark.queries.registry import query
 
@@ -117,7 +117,6 @@ def ols_hac(spark, sf):
     return rounded(R.ols_hac(link(spark, sf), "px", ["idx"], BY, HAC_LAGS))
 
 
-_G = "SELECT series_id, {i} AS l, {w} AS w"
 @query(
     "ols_hac_two",
     "T4 T5",

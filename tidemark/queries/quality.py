@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import cleaning as C
@@ -15,12 +17,13 @@ from tidemark.plans import inputs as I
 from tidemark.plans.inputs import views
 from tidemark.queries.cleaning import snum
 from tidemark.queries.common import (
-    CHANGES_SQL, LINK_SQL, LOOKBACK, MART_SQL, MONTHS_SQL, RATIO_SQL, WARMUP,
-    changes, link, mart, months_of_signal, r, ratio, rounded,
+    CHANGES_SQL, LINK_SQL, MART_SQL, MONTHS_SQL, RATIO_SQL, WARMUP,
+    changes, link, mart, months_of_signal, ratio,
 )
 from tidemark.queries.registry import query
 from tidemark.queries.scenarios import GRID_SQL, grid
-from tidemark.session import cut_lineage
+from tidemark.session import shared_folder
+from tidemark.sources import store
 
 BY = ["series_id"]
 
@@ -247,20 +250,38 @@ def profile(spark, sf):
     return orders_profile(I.table(spark, sf, "orders")).withColumn("sum_value", F.round("sum_value", 1) + 0.0)
 
 
-@query(
-    "profile_diff",
-    "Q18 A7 trap11",
-    f"""WITH a AS ({_profile_sql("orders")}), b AS ({_profile_sql("orders", "WHERE o_orderstatus <> 'P' AND o_orderkey <> 7")})
+def _diff_sql(a_where: str, b_where: str) -> str:
+    return f"""WITH a AS ({_profile_sql("orders", a_where)}), b AS ({_profile_sql("orders", b_where)})
 SELECT grouping, key_value, CASE WHEN b_n IS NULL THEN 'new' WHEN a_n IS NULL THEN 'missing' ELSE 'changed' END AS difference FROM (
   SELECT coalesce(a.grouping, b.grouping) AS grouping, coalesce(a.key_value, b.key_value) AS key_value, a.n_rows AS a_n, b.n_rows AS b_n,
     a.n_rows IS DISTINCT FROM b.n_rows OR a.n_values IS DISTINCT FROM b.n_values OR a.n_distinct IS DISTINCT FROM b.n_distinct OR abs(coalesce(a.sum_value, 0) - coalesce(b.sum_value, 0)) > 0.001
     OR a.min_num IS DISTINCT FROM b.min_num OR a.max_num IS DISTINCT FROM b.max_num OR a.min_text IS DISTINCT FROM b.min_text OR a.max_text IS DISTINCT FROM b.max_text AS differ
-  FROM a FULL JOIN b ON a.grouping = b.grouping AND a.key_value = b.key_value) WHERE a_n IS NULL OR b_n IS NULL OR differ""",
-)
+  FROM a FULL JOIN b ON a.grouping = b.grouping AND a.key_value = b.key_value) WHERE a_n IS NULL OR b_n IS NULL OR differ"""
+
+
+_CHANGED = "o_orderstatus <> 'P' AND o_orderkey <> 7"
+
+
+@query("profile_diff", "Q18 trap11", _diff_sql("", f"WHERE {_CHANGED}"))
 def profile_diff(spark, sf):
     o = I.table(spark, sf, "orders")
     # Sums may differ in the last digits between two runs; the tolerance covers that.
-    return Q.diff_profile(orders_profile(o), orders_profile(o.where("o_orderstatus <> 'P' AND o_orderkey <> 7")))
+    return Q.diff_profile(orders_profile(o), orders_profile(o.where(_CHANGED)))
+
+
+@query(
+    "frozen_baseline",
+    "Q18 A7",
+    chk(f"(SELECT COUNT(*) AS n FROM ({_diff_sql('', 'WHERE o_orderkey % 500 <> 3')}))", "orders", "'profile matches the frozen baseline'", "n = 0", "n || ' summaries differ'"),
+)
+def frozen_baseline(spark, sf):
+    """A profile frozen as CSV, read back and compared with a later state of the table."""
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    o = I.table(spark, sf, "orders")
+    old = orders_profile(o.where("o_orderkey % 500 <> 3"))
+    store.export_csv({"orders": old}, path)
+    frozen = store.read_baseline(spark, f"{path}/orders", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in old.schema))
+    return Q.check_profile(orders_profile(o), frozen, "orders")
 
 
 @query(
