@@ -142,7 +142,7 @@ all_ AS (SELECT sup.*, code, placeable FROM sup LEFT JOIN iso USING (country) UN
 @query(
     "supply_table",
     "R8 J9 J11 W13 K9",
-    f"""WITH {SUPPLY_SQL} SELECT country, {r("production")} AS production, {r("reserves", 1)} AS reserves, code, placeable, {r("production * 100 / p")} AS share_of_production_pct,
+    f"""WITH {SUPPLY_SQL} SELECT country, {r("production")} AS production, {r("reserves", 2)} AS reserves, code, placeable, {r("production * 100 / p")} AS share_of_production_pct,
   {r("all_.reserves * 100 / r")} AS share_of_reserves_pct, {r("reserves / production", 4)} AS life_years,
   CAST(CASE WHEN placeable = 1 THEN ROW_NUMBER() OVER (PARTITION BY placeable ORDER BY production DESC NULLS LAST) END AS INTEGER) AS rank FROM all_ CROSS JOIN w""",
 )
@@ -158,14 +158,14 @@ def supply_table(spark, sf):
         s.where(F.col("country") != "NATION_3").select("country", "reserves"),
         mapping,
     )
-    digits = {"production": 6, "reserves": 1, "share_of_production_pct": 6, "share_of_reserves_pct": 6, "life_years": 4}
+    digits = {"production": 6, "reserves": 2, "share_of_production_pct": 6, "share_of_reserves_pct": 6, "life_years": 4}
     return out.select(*[(F.round(c, digits[c]) + 0.0).alias(c) if c in digits else F.col(c) for c in out.columns])
 
 
 @query(
     "compare_shares",
     "R9",
-    f"""WITH {SUPPLY_SQL} SELECT n_name AS country, {r("production")} AS production, {r("reserves", 1)} AS reserves, {r("production * 100 / (SELECT SUM(production) FROM prod)")} AS production_share_pct,
+    f"""WITH {SUPPLY_SQL} SELECT n_name AS country, {r("production")} AS production, {r("reserves", 2)} AS reserves, {r("production * 100 / (SELECT SUM(production) FROM prod)")} AS production_share_pct,
   {r("reserves * 100 / (SELECT SUM(reserves) FROM res)")} AS reserves_share_pct, CAST(production IS NOT NULL AS INTEGER) AS listed
 FROM nation n LEFT JOIN prod ON prod.country = n_name LEFT JOIN res ON res.country = n_name WHERE n_nationkey < 12""",
 )
@@ -173,7 +173,7 @@ def compare_shares(spark, sf):
     s = I.supply(spark, sf)
     wanted = I.table(spark, sf, "nation").where(F.col("n_nationkey") < 12).select(F.col("n_name").alias("country"))
     out = FA.compare_shares(wanted, s.where(F.col("country") != "NATION_7"), s.where(F.col("country") != "NATION_3"), "country", "production", "reserves")
-    digits = {"production": 6, "reserves": 1, "production_share_pct": 6, "reserves_share_pct": 6}
+    digits = {"production": 6, "reserves": 2, "production_share_pct": 6, "reserves_share_pct": 6}
     return out.select(*[(F.round(c, digits[c]) + 0.0).alias(c) if c in digits else F.col(c) for c in out.columns])
 
 

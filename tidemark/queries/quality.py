@@ -244,10 +244,10 @@ def orders_profile(df):
 @query(
     "profile",
     "G9 Q18",
-    f"""SELECT grouping, key_value, n_rows, n_values, n_distinct, ROUND(sum_value, 1) + 0.0 AS sum_value, min_num, max_num, min_text, max_text FROM ({_profile_sql("orders")})""",
+    f"""SELECT grouping, key_value, n_rows, n_values, n_distinct, ROUND(sum_value, 2) + 0.0 AS sum_value, min_num, max_num, min_text, max_text FROM ({_profile_sql("orders")})""",
 )
 def profile(spark, sf):
-    return orders_profile(I.table(spark, sf, "orders")).withColumn("sum_value", F.round("sum_value", 1) + 0.0)
+    return orders_profile(I.table(spark, sf, "orders")).withColumn("sum_value", F.round("sum_value", 2) + 0.0)
 
 
 def _diff_sql(a_where: str, b_where: str) -> str:
