@@ -26,6 +26,21 @@ def test_line_numbers_are_exact_when_a_file_is_split(spark, tmp_path):
     assert got == want
 
 
+def test_splits_that_move_between_the_passes_stop_the_job(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("".join(f"row {i}\n" for i in range(5000)))
+    (tmp_path / "b.csv").write_text("".join(f"row {i}\n" for i in range(300)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    lines = text.read_lines(spark, str(tmp_path))
+    cells = text.read_raw_text(spark, str(tmp_path), ["row 0"], 0, "S1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        for df in (lines, cells.select("row 0")):
+            with pytest.raises(Exception, match="splits changed"):
+                df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_preamble_header_and_blanks(spark, tmp_path):
     (tmp_path / "x1.csv").write_text('sep=,\ntitle\nDate,Cash\n01 Jan 2020,\n"02 Jan 2020",5\n')
     (tmp_path / "x2.csv").write_text("sep=,\ntitle\nDate,Other\n03 Jan 2020,9\n")

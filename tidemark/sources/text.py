@@ -1,8 +1,8 @@
 """Raw text ingest: everything as text, with line-level lineage.
 
-Line numbers are exact for files of any size without reading a file in one task.
-Spark numbers rows inside each file split; the rows of all earlier splits of the same
-file (one small row per split) give the offset.
+Line numbers are exact for files of any size without reading a file in one task and
+without moving the lines. Spark numbers rows inside each file split; the rows of all
+earlier splits of the same file (one small row per split) give the offset.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import empty_as_null
+from tidemark.session import cut_lineage
 
 def _cp1252_controls() -> tuple[str, str]:
     """The control characters that windows-1252 uses for punctuation, and what they stand for."""
@@ -30,8 +31,20 @@ def _blank(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def _numbered(raw: DataFrame, first_line: int) -> DataFrame:
-    """Add source_file and file_line to a file scan (columns must come straight from the scan)."""
+# Up to this many file splits (about 64 TB at the default split size) their offsets,
+# some 100 bytes each, are sent to every task; beyond it the join is shuffled.
+MAX_BROADCAST_SPLITS = 500_000
+_MOVED = "file splits changed while lines were numbered; set spark.sql.files.minPartitionNum to keep them fixed"
+
+
+def _numbered(raw: DataFrame, first_line: int, is_header: Column | None = None) -> DataFrame:
+    """Add source_file, file_line and header_line to a file scan (columns straight from the scan).
+
+    A first pass counts the rows of every split; it runs at once. The second pass numbers
+    the rows without moving them. Should the splits differ between the passes (a cluster
+    that grows changes the default split size), the rows no longer fit their offsets and the
+    job stops with a message; a wrong number is never given.
+    """
     cols = raw.columns
     scan = raw.select(
         *cols,
@@ -40,19 +53,33 @@ def _numbered(raw: DataFrame, first_line: int) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_at"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    earlier = Window.partitionBy("_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    splits = scan.groupBy("_path", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).select(
-        "_path", "_at", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    header_id = F.min(F.when(is_header, F.col("_id"))) if is_header is not None else F.lit(None).cast("bigint")
+    counted = scan.groupBy("_path", "_at").agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"), header_id.alias("_h")
     )
-    line = F.col("_id") - F.col("_first") + F.col("_before") + first_line
-    return scan.join(splits, ["_path", "_at"]).select(
-        *cols, "source_file", line.alias("file_line"), F.col("_path").alias("source_path")
+    splits = cut_lineage(counted)
+    earlier = Window.partitionBy("_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("*", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    header_line = F.min(F.col("_h") - F.col("_first") + F.col("_before") + first_line)
+    offsets = offsets.withColumn("header_line", header_line.over(Window.partitionBy("_path"))).drop("_h")
+    if splits.count() <= MAX_BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
+    inside = F.col("_id") - F.col("_first")
+    fits = F.coalesce((inside >= 0) & (inside < F.col("_n")), F.lit(False))
+
+    def checked(c: Column) -> Column:
+        return F.when(fits, c).otherwise(F.raise_error(F.lit(_MOVED)).cast("bigint"))
+
+    return scan.join(offsets, ["_path", "_at"], "left").select(
+        *cols, "source_file",
+        checked(inside + F.col("_before") + first_line).alias("file_line"),
+        checked(F.col("header_line")).alias("header_line"),
     )
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of one or many files: value, source_file, file_line (from 1)."""
-    return _numbered(spark.read.text(path), 1)
+    return _numbered(spark.read.text(path), 1).drop("header_line")
 
 
 def read_raw_text(
@@ -60,16 +87,17 @@ def read_raw_text(
 ) -> DataFrame:
     """Delimited files with ``skip`` preamble lines and a header line, all columns as text.
 
-    Blanks stay ''. Only files whose header is exactly ``columns`` are read.
+    Blanks stay ''. Only files whose header line (right after the preamble) is exactly
+    ``columns`` are read; quotes and spaces in the header do not matter.
     """
-    lines = read_lines(spark, path)
-    header = F.transform(F.split("value", sep, -1), lambda c: F.btrim(c, F.lit('" ')))
-    good = lines.where(F.col("file_line") == skip + 1).where(header == F.array(*[F.lit(c) for c in columns])).select("source_path")
+    def bare(text: Column) -> Column:
+        return F.translate(text, '" ', "")
+
+    lines = _numbered(spark.read.text(path), 1, bare(F.col("value")) == bare(F.lit(sep.join(columns))))
     schema = ", ".join(f"`{c}` string" for c in columns)
     cells = F.from_csv("value", schema, {"sep": sep})
     return (
-        lines.where((F.col("file_line") > skip + 1) & (F.trim("value") != ""))
-        .join(good, "source_path", "left_semi")
+        lines.where((F.col("header_line") == skip + 1) & (F.col("file_line") > skip + 1) & (F.trim("value") != ""))
         .select("source_file", "file_line", cells.alias("_c"))
         .select("source_file", "file_line", *[_blank(f"_c.`{c}`").alias(c) for c in columns], F.lit(source_id).alias("source_id"))
     )
@@ -95,7 +123,7 @@ def read_raw_csv(
         .option("header", True).option("encoding", "ISO-8859-1" if cp1252 else encoding)
         .csv(path)
     )
-    out = _numbered(raw, 2).drop("source_path")
+    out = _numbered(raw, 2)
     if cp1252:
         src, dst = _cp1252_controls()
         out = out.select(*[F.translate(F.col(f"`{c}`"), src, dst).alias(c) for c in columns], "source_file", "file_line")
