@@ -3,6 +3,10 @@
 A plain keyed window puts all rows of a key in one task. These helpers cut a key
 into blocks of consecutive positions, scan inside the blocks in parallel, and
 carry one small summary row per block from block to block.
+
+The input is used in two steps, so it must come out the same each time: stored data, or
+values that do not depend on the order of floating-point sums. ``rank_rows``, which ranks
+such sums, stores its input itself.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 BLOCK_ROWS = 65_536
 
 
@@ -47,10 +53,13 @@ def block_ids(df: DataFrame, by: Sequence[str], order: str, n_blocks: int) -> Da
     """Split each key into about ``n_blocks`` even ranges of a numeric ``order``.
 
     Cut points come from approximate percentiles (a mergeable sketch). Equal
-    values always share a block, so results do not depend on the cut points.
+    values always share a block, so results do not depend on the cut points. A sketch
+    can differ between two runs of one task, so the cut points (one row per key) are
+    written out: every step and every retry uses the same blocks.
     """
     steps = [i / n_blocks for i in range(1, n_blocks)]
     cuts = df.groupBy(*by).agg(F.percentile_approx(order, steps, 10_000).alias("_cuts"))
+    cuts = cut_lineage(cuts)
     tagged = df.join(cuts, list(by), "left") if by else df.withColumn("_cuts", cuts.scalar())
     return tagged.withColumn(
         "_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))
@@ -111,7 +120,7 @@ def rank_rows(
     ``running_<column>``. Rows without an order value come last.
     """
     # Rows without an order value share the last block.
-    d = df.withColumn("_o", F.coalesce(order.cast("double"), F.lit(float("inf"))))
+    d = cut_lineage(df.withColumn("_o", F.coalesce(order.cast("double"), F.lit(float("inf")))))
     d = block_ids(d, by, "_o", n_blocks)
     inside = Window.partitionBy(*by, "_b").orderBy("_o", *ties).rowsBetween(Window.unboundedPreceding, 0)
     blocks = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
