@@ -105,3 +105,16 @@ def test_sensitivity_and_tornado(spark):
         (0, "Reference case", 0.0, 0.0), (1, "b", 10.0, 10.0), (1, "c", 20.0, 20.0), (2, "y and c", 21.0, 21.0)]
     bars = {r.bar: (r.low, r.high, r.low_label, r.high_label, r.swing) for r in SC.tornado(sens, ["g"]).collect()}
     assert bars == {"P": (0.0, 20.0, "", "c", 20.0), "Q": (0.0, 21.0, "", "y and c", 21.0)}
+
+
+def test_supply_shares_use_the_published_world_total(spark):
+    prod = spark.createDataFrame([("a", 60.0), ("b", 20.0), ("other", 15.0)], "country string, production double")
+    res = spark.createDataFrame([("a", 600.0), ("c", 100.0)], "country string, reserves double")
+    names = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("other", 0)], "country string, placeable int")
+    world = spark.createDataFrame([(100.0, 1000.0)], "production double, reserves double")
+    got = {r.country: r for r in FA.supply_table(prod, res, names, world=world).collect()}
+    assert (got["a"].share_of_production_pct, got["a"].share_of_reserves_pct, got["a"].life_years, got["a"]["rank"]) == (60.0, 60.0, 10.0, 1)
+    assert (got["b"]["rank"], got["c"]["rank"], got["other"]["rank"]) == (2, 3, None)
+    assert (got["c"].production, got["b"].reserves, got["World total"].share_of_production_pct) == (None, None, 100.0)
+    listed = {r.country: r for r in FA.supply_table(prod, res, names).collect()}
+    assert listed["World total"].production == 95.0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.panel import window_of
 from tidemark.operators.scan import rank_rows
-from tidemark.operators.tables import append_total, enrich, outer_merge, rank_placeable
+from tidemark.operators.tables import enrich, outer_merge, rank_placeable
 
 
 def _first_peak(value: str, month: str) -> Column:
@@ -140,29 +140,37 @@ def breakeven(constants: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def supply_table(production: DataFrame, stock: DataFrame, mapping: DataFrame, key: str = "country") -> DataFrame:
+def supply_table(
+    production: DataFrame, stock: DataFrame, mapping: DataFrame, key: str = "country", world: DataFrame | None = None
+) -> DataFrame:
     """Shares of world production and stock, stock-to-flow, rank, and a world row.
 
-    Entities that appear on one side only stay, with NULL on the other.
+    ``world`` is one row with the published totals (production, reserves), which need not
+    equal the sum of the listed entities; without it the sums are used. Entities that
+    appear on one side only stay, with NULL on the other.
     """
-    both = enrich(outer_merge(production, stock, [key]), mapping, [key])
-    both = append_total(both, key, "World total", ["production", "reserves"])
-    world = both.agg(
-        F.max(F.when(F.col(key) == "World total", F.col("production"))).alias("p"),
-        F.max(F.when(F.col(key) == "World total", F.col("reserves"))).alias("r"),
-    )
-    out = both.withColumns({
+    both = outer_merge(production, stock, [key])
+    if world is None:
+        world = both.agg(F.sum("production").alias("production"), F.sum("reserves").alias("reserves"))
+    row = world.select(F.lit("World total").alias(key), "production", "reserves")
+    out = enrich(both.unionByName(row), mapping, [key]).withColumns({
         "placeable": F.coalesce("placeable", F.lit(0)),
-        "share_of_production_pct": F.try_divide(F.col("production") * 100, world.select("p").scalar()),
-        "share_of_reserves_pct": F.try_divide(F.col("reserves") * 100, world.select("r").scalar()),
+        "share_of_production_pct": F.try_divide(F.col("production") * 100, world.select("production").scalar()),
+        "share_of_reserves_pct": F.try_divide(F.col("reserves") * 100, world.select("reserves").scalar()),
         "life_years": F.try_divide("reserves", "production"),
     })
     return rank_placeable(out, "placeable", "production", [key])
 
 
-def compare_shares(wanted: DataFrame, a: DataFrame, b: DataFrame, key: str, va: str, vb: str) -> DataFrame:
-    """Two measures as shares of their totals for a wanted list; missing stays NULL, never zero."""
-    ta, tb = a.agg(F.sum(va)).scalar(), b.agg(F.sum(vb)).scalar()
+def compare_shares(
+    wanted: DataFrame, a: DataFrame, b: DataFrame, key: str, va: str, vb: str, world: DataFrame | None = None
+) -> DataFrame:
+    """Two measures as shares of their world totals for a wanted list; missing stays NULL, never zero.
+
+    ``world`` is one row with the published totals of both measures; without it the sums are used.
+    """
+    ta = world.select(va).scalar() if world is not None else a.agg(F.sum(va)).scalar()
+    tb = world.select(vb).scalar() if world is not None else b.agg(F.sum(vb)).scalar()
     out = wanted.join(a.select(key, va), key, "left").join(b.select(key, vb), key, "left")
     return out.select(
         "*",
@@ -250,22 +258,27 @@ def period_changes(
     companions: Mapping[str, Sequence[str]],
     ret_a: str,
     ret_b: str,
+    anchors: Mapping[str, str] | None = None,
+    level: str | None = None,
     month: str = "month",
 ) -> DataFrame:
     """Change from the start of each period to the latest month, per price basis.
 
     The start is N months before the latest row (or the first row), moved forward to
-    the first month with a value. The second series starts no earlier than its own first
-    value; direction counts cover the months strictly after its start. ``df`` must have one
-    row per month of the series (see ``on_spine``), so rows are months.
+    the first month with a value. The window of the second series and of ``level`` starts
+    where the ``anchors`` column of the basis starts (its own price column by default), the
+    second series no earlier than its own first value; direction counts cover the months
+    strictly after that. ``df`` must have one row per month of the series (see
+    ``on_spine``), so rows are months.
     """
+    anchors = anchors or dict(bases)
     w = window_of(by, month)
     whole = Window.partitionBy(*by)
     d = df.select("*", F.row_number().over(w).alias("_pos"), F.count(F.lit(1)).over(whole).alias("_last"))
     combos = F.array(
         *[
             F.struct(
-                F.lit(p).alias("period"), F.lit(b).alias("basis"), F.col(c).alias("v"),
+                F.lit(p).alias("period"), F.lit(b).alias("basis"), F.col(c).alias("v"), F.col(anchors[b]).alias("u"),
                 (F.greatest(F.lit(1), F.col("_last") - n) if n is not None else F.lit(1)).cast("bigint").alias("target"),
                 *[F.col(x).alias(f"c{i}") for i, x in enumerate(companions[b])],
             )
@@ -274,13 +287,19 @@ def period_changes(
         ]
     )
     n_comp = len(next(iter(companions.values())))
-    long = d.select(*by, month, "_pos", "_last", second, ret_a, ret_b, F.inline(combos))
+    # The first month with a value of the second series, the same for every period.
+    d = d.withColumn("_first2", F.min(F.when(F.col(second).isNotNull(), F.col("_pos"))).over(whole))
+    extra = [level] if level else []
+    long = d.select(*by, month, "_pos", "_last", "_first2", second, ret_a, ret_b, *extra, F.inline(combos))
     keys = [*by, "period", "basis"]
     g = Window.partitionBy(*keys)
-    start = F.min(F.when(F.col("v").isNotNull() & (F.col("_pos") >= F.col("target")), F.col("_pos"))).over(g)
-    long = long.withColumn("_s", start)
-    second_start = F.min(F.when(F.col(second).isNotNull() & (F.col("_pos") >= F.col("_s")), F.col("_pos"))).over(g)
-    long = long.withColumn("_s2", second_start)
+
+    def first_valid(c: str) -> Column:
+        return F.min(F.when(F.col(c).isNotNull() & (F.col("_pos") >= F.col("target")), F.col("_pos"))).over(g)
+
+    long = long.select("*", first_valid("v").alias("_s"), first_valid("u").alias("_su"))
+    # NULL if the second series has no value at all.
+    long = long.withColumn("_s2", F.when(F.col("_first2").isNotNull(), F.greatest("_su", "_first2")))
     at_start, at_end, at_s2 = F.col("_pos") == F.col("_s"), F.col("_pos") == F.col("_last"), F.col("_pos") == F.col("_s2")
 
     def at(cond: Column, c: str) -> Column:
@@ -293,6 +312,7 @@ def period_changes(
         at(at_start, month).alias("start_month"),
         ((F.try_divide(at(at_end, "v"), at(at_start, "v")) - 1) * 100).alias("change_pct"),
         *[F.try_divide(at(at_end, f"c{i}") * 100, at(at_start, f"c{i}")).alias(f"companion{i}_rebased") for i in range(n_comp)],
+        *([at(F.col("_pos") == F.col("_su"), level).alias("level_start")] if level else []),
         at(at_s2, month).alias("second_start_month"),
         ((F.try_divide(at(at_end, second), at(at_s2, second)) - 1) * 100).alias("second_change_pct"),
         F.count_if(both & (b > 0)).alias("second_rose_n"),

@@ -135,10 +135,17 @@ SUPPLY_SQL = views("supply") + """,
 prod AS (SELECT country, production FROM supply WHERE country <> 'NATION_7'), res AS (SELECT country, reserves FROM supply WHERE country <> 'NATION_3'),
 iso AS (SELECT n_name AS country, 'N' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS code, CASE WHEN n_nationkey % 10 = 9 THEN 0 ELSE 1 END AS placeable FROM nation),
 sup AS (SELECT country, production, reserves FROM prod FULL JOIN res USING (country)),
-w AS (SELECT SUM(production) AS p, SUM(reserves) AS r FROM sup),
+w AS (SELECT ROUND(SUM(production) / 1000) * 1000 AS p, ROUND(SUM(reserves) / 1000000) * 1000000 AS r FROM supply),
 all_ AS (SELECT sup.*, code, placeable FROM sup LEFT JOIN iso USING (country) UNION ALL SELECT 'World total', p, r, NULL, 0 FROM w)"""
 
 
+def published_total(s):
+    """World totals as a publisher prints them, rounded."""
+    return s.agg(
+        (F.round(F.sum("production") / 1000) * 1000).alias("production"), (F.round(F.sum("reserves") / 1000000) * 1000000).alias("reserves")
+    )
+
+
 @query(
     "supply_table",
     "R8 J9 J11 W13 K9",
@@ -157,6 +164,7 @@ def supply_table(spark, sf):
         s.where(F.col("country") != "NATION_7").select("country", "production"),
         s.where(F.col("country") != "NATION_3").select("country", "reserves"),
         mapping,
+        world=published_total(s),
     )
     digits = {"production": 6, "reserves": 2, "share_of_production_pct": 6, "share_of_reserves_pct": 6, "life_years": 4}
     return out.select(*[(F.round(c, digits[c]) + 0.0).alias(c) if c in digits else F.col(c) for c in out.columns])
@@ -165,14 +173,14 @@ def supply_table(spark, sf):
 @query(
     "compare_shares",
     "R9",
-    f"""WITH {SUPPLY_SQL} SELECT n_name AS country, {r("production")} AS production, {r("reserves", 2)} AS reserves, {r("production * 100 / (SELECT SUM(production) FROM prod)")} AS production_share_pct,
-  {r("reserves * 100 / (SELECT SUM(reserves) FROM res)")} AS reserves_share_pct, CAST(production IS NOT NULL AS INTEGER) AS listed
+    f"""WITH {SUPPLY_SQL} SELECT n_name AS country, {r("production")} AS production, {r("reserves", 2)} AS reserves, {r("production * 100 / (SELECT p FROM w)")} AS production_share_pct,
+  {r("reserves * 100 / (SELECT r FROM w)")} AS reserves_share_pct, CAST(production IS NOT NULL AS INTEGER) AS listed
 FROM nation n LEFT JOIN prod ON prod.country = n_name LEFT JOIN res ON res.country = n_name WHERE n_nationkey < 12""",
 )
 def compare_shares(spark, sf):
     s = I.supply(spark, sf)
     wanted = I.table(spark, sf, "nation").where(F.col("n_nationkey") < 12).select(F.col("n_name").alias("country"))
-    out = FA.compare_shares(wanted, s.where(F.col("country") != "NATION_7"), s.where(F.col("country") != "NATION_3"), "country", "production", "reserves")
+    out = FA.compare_shares(wanted, s.where(F.col("country") != "NATION_7"), s.where(F.col("country") != "NATION_3"), "country", "production", "reserves", published_total(s))
     digits = {"production": 6, "reserves": 2, "production_share_pct": 6, "reserves_share_pct": 6}
     return out.select(*[(F.round(c, digits[c]) + 0.0).alias(c) if c in digits else F.col(c) for c in out.columns])
 
@@ -283,18 +291,20 @@ SPANS = {"1y": 12, "3y": 36, "all": None}
     "period_changes",
     "R16",
     f"""WITH {CHANGES_SQL},
-d AS (SELECT p.series_id, p.month, p.px, p.px_fx, CASE WHEN p.month >= DATE '1997-03-01' THEN p.idx END AS idx, c.px_pct_m AS ra, c.idx_pct_m AS rb,
+d AS (SELECT p.series_id, p.month, p.px, p.px_fx, CASE WHEN p.month >= DATE '1997-03-01' THEN p.idx END AS idx, p.defl, c.px_pct_m AS ra, c.idx_pct_m AS rb,
     ROW_NUMBER() OVER (PARTITION BY p.series_id ORDER BY p.month) AS pos, COUNT(*) OVER (PARTITION BY p.series_id) AS last_
   FROM panel p JOIN changes c ON c.series_id = p.series_id AND c.month = p.month),
 spans AS (SELECT * FROM (VALUES ('1y', 12), ('3y', 36), ('all', 100000)) t(period, n)),
-l AS (SELECT series_id, month, pos, last_, idx, ra, rb, period, 'quoted' AS basis, px AS v, px_fx AS c0, greatest(1, last_ - n) AS target FROM d CROSS JOIN spans
-  UNION ALL SELECT series_id, month, pos, last_, idx, ra, rb, period, 'other', px_fx, px, greatest(1, last_ - n) FROM d CROSS JOIN spans),
+l AS (SELECT series_id, month, pos, last_, idx, defl, ra, rb, period, 'quoted' AS basis, px AS v, px AS u, px_fx AS c0, greatest(1, last_ - n) AS target FROM d CROSS JOIN spans
+  UNION ALL SELECT series_id, month, pos, last_, idx, defl, ra, rb, period, 'other', px_fx, px, px, greatest(1, last_ - n) FROM d CROSS JOIN spans),
 s AS (SELECT *, MIN(CASE WHEN v IS NOT NULL AND pos >= target THEN pos END) OVER (PARTITION BY series_id, period, basis) AS st FROM l),
-s2 AS (SELECT *, MIN(CASE WHEN idx IS NOT NULL AND pos >= st THEN pos END) OVER (PARTITION BY series_id, period, basis) AS st2 FROM s)
+su AS (SELECT *, MIN(CASE WHEN u IS NOT NULL AND pos >= target THEN pos END) OVER (PARTITION BY series_id, period, basis) AS stu,
+    MIN(CASE WHEN idx IS NOT NULL THEN pos END) OVER (PARTITION BY series_id) AS f2 FROM s),
+s2 AS (SELECT *, CASE WHEN f2 IS NOT NULL THEN greatest(stu, f2) END AS st2 FROM su)
 SELECT series_id, period, basis, MAX(CASE WHEN pos = st THEN month END) AS start_month,
   {r("(MAX(CASE WHEN pos = last_ THEN v END) / MAX(CASE WHEN pos = st THEN v END) - 1) * 100")} AS change_pct,
   {r("MAX(CASE WHEN pos = last_ THEN c0 END) * 100 / MAX(CASE WHEN pos = st THEN c0 END)")} AS companion0_rebased,
-  MAX(CASE WHEN pos = st2 THEN month END) AS second_start_month, {r("(MAX(CASE WHEN pos = last_ THEN idx END) / MAX(CASE WHEN pos = st2 THEN idx END) - 1) * 100")} AS second_change_pct,
+  {r("MAX(CASE WHEN pos = stu THEN defl END)")} AS level_start, MAX(CASE WHEN pos = st2 THEN month END) AS second_start_month, {r("(MAX(CASE WHEN pos = last_ THEN idx END) / MAX(CASE WHEN pos = st2 THEN idx END) - 1) * 100")} AS second_change_pct,
   COUNT(*) FILTER (WHERE pos > st2 AND ra IS NOT NULL AND rb > 0) AS second_rose_n, COUNT(*) FILTER (WHERE pos > st2 AND ra < 0 AND rb > 0) AS fell_when_rose_n,
   COUNT(*) FILTER (WHERE pos > st2 AND ra IS NOT NULL AND rb < 0) AS second_fell_n, COUNT(*) FILTER (WHERE pos > st2 AND ra > 0 AND rb < 0) AS rose_when_fell_n
 FROM s2 GROUP BY series_id, period, basis""",
@@ -302,7 +312,9 @@ FROM s2 GROUP BY series_id, period, basis""",
 def period_changes(spark, sf):
     w = P.window_of(BY)
     d = panel(spark, sf).select(
-        "series_id", "month", "px", "px_fx", F.when(F.col("month") >= F.lit("1997-03-01").cast("date"), F.col("idx")).alias("idx"),
+        "series_id", "month", "px", "px_fx", F.when(F.col("month") >= F.lit("1997-03-01").cast("date"), F.col("idx")).alias("idx"), "defl",
         P.pct_change(F.col("px"), F.lag("px").over(w)).alias("ra"), P.pct_change(F.col("idx"), F.lag("idx").over(w)).alias("rb"),
     )
-    return rounded(FA.period_changes(d, BY, {"quoted": "px", "other": "px_fx"}, SPANS, "idx", {"quoted": ["px_fx"], "other": ["px"]}, "ra", "rb"))
+    companions = {"quoted": ["px_fx"], "other": ["px"]}
+    anchors = {"quoted": "px", "other": "px"}
+    return rounded(FA.period_changes(d, BY, {"quoted": "px", "other": "px_fx"}, SPANS, "idx", companions, "ra", "rb", anchors, "defl"))
