@@ -82,24 +82,27 @@ def check_manifest(catalog: DataFrame, manifest: DataFrame, large_rows: int = 10
     return j.select("table_name", "n_rows", problem.alias("finding"))
 
 
+def cited_checks(datasets: DataFrame, checks: DataFrame) -> DataFrame:
+    """One row per dataset and check of its table."""
+    return datasets.select("dataset", "table_name").join(
+        checks.select("table_name", "check_no", "description", "status"), "table_name"
+    )
+
+
 def provenance(datasets: DataFrame, manifest: DataFrame, checks: DataFrame) -> DataFrame:
-    """Dataset -> table, writer, sources and its checks (a short list per table)."""
+    """Dataset -> table, writer, sources, and how many checks (and judged checks) its table has."""
     per_table = checks.groupBy("table_name").agg(
-        F.sort_array(F.collect_list(F.struct("check_no", "description", "status"))).alias("checks")
+        F.count(F.lit(1)).alias("n_checks"), F.count_if(F.col("status") != "INFO").alias("n_judged")
     )
     return (
         datasets.join(manifest.select("table_name", "sources"), "table_name", "left")
         .join(per_table, "table_name", "left")
-        .withColumn("n_checks", F.coalesce(F.size("checks"), F.lit(0)))
-        .withColumn("n_judged", F.coalesce(F.size(F.filter("checks", lambda c: c["status"] != "INFO")), F.lit(0)))
+        .fillna(0, ["n_checks", "n_judged"])
     )
 
 
-def check_provenance(prov: DataFrame, shown: DataFrame) -> DataFrame:
+def check_provenance(cited: DataFrame, prov: DataFrame, shown: DataFrame) -> DataFrame:
     """Cited checks that are not shown with that table and status, and datasets without a judged check."""
-    cited = prov.select("dataset", "table_name", F.explode("checks").alias("_c")).select(
-        "dataset", "table_name", "_c.check_no", "_c.status"
-    )
     stale = cited.join(shown.select("check_no", "table_name", "status"), ["check_no", "table_name", "status"], "left_anti")
     a = stale.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).select("dataset", F.lit("cited check not shown").alias("finding"), "n")
     b = prov.where(F.col("n_judged") == 0).select("dataset", F.lit("no judged check").alias("finding"), F.lit(1).cast("bigint").alias("n"))

@@ -123,7 +123,7 @@ def build_path(df: DataFrame, total: str, years: str, growth: Column) -> DataFra
     return df.select("*", F.inline(paths))
 
 
-SLOWER = "The build in the target year is slower than in the base year; this is not negative demand."
+SLOWER = "Fewer units are built in the target year than in the base year, so the extra is below zero."
 
 
 def build_cases(path: DataFrame, intensities: Sequence[Column], bases: Sequence[Column]) -> DataFrame:

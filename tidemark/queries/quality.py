@@ -22,7 +22,7 @@ from tidemark.queries.common import (
 )
 from tidemark.queries.registry import query
 from tidemark.queries.scenarios import GRID_SQL, grid
-from tidemark.session import shared_folder
+from tidemark.session import cut_lineage, shared_folder
 from tidemark.sources import store
 
 BY = ["series_id"]
@@ -585,21 +585,25 @@ def check_manifest(spark, sf):
 DATASETS = [("page.orders", "orders", "job a"), ("page.lines", "lineitem", "job a"), ("page.events", "events", "job b"), ("page.nations", "nation", "job b")]
 
 
-def prov(spark, sf):
+def datasets(spark):
+    return TB.inline_rows(spark, DATASETS, "dataset string, table_name string, writer string")
+
+
+def prov(spark, checks):
     man = TB.inline_rows(spark, MANIFEST, "table_name string, sources string, large_ok boolean")
-    return G.provenance(TB.inline_rows(spark, DATASETS, "dataset string, table_name string, writer string"), man, report(spark, sf))
+    return G.provenance(datasets(spark), man, checks)
 
 
 PROV_SQL = REPORT_SQL + f""",
 ds AS (SELECT * FROM (VALUES {", ".join(str(d) for d in DATASETS)}) t(dataset, table_name, writer)),
 m AS (SELECT * FROM (VALUES {", ".join(f"('{t}', '{s}', {str(ok).upper()})" for t, s, ok in MANIFEST)}) t(table_name, sources, large_ok)),
-prov AS (SELECT dataset, ds.table_name, writer, m.sources, CAST(COUNT(check_no) AS INTEGER) AS n_checks, CAST(COUNT(CASE WHEN status <> 'INFO' THEN 1 END) AS INTEGER) AS n_judged
+prov AS (SELECT dataset, ds.table_name, writer, m.sources, COUNT(check_no) AS n_checks, COUNT(CASE WHEN status <> 'INFO' THEN 1 END) AS n_judged
   FROM ds LEFT JOIN m ON m.table_name = ds.table_name LEFT JOIN report ON report.table_name = ds.table_name GROUP BY ALL)"""
 
 
 @query("provenance", "V6", f"WITH {PROV_SQL} SELECT * FROM prov")
 def provenance(spark, sf):
-    return prov(spark, sf).drop("checks")
+    return prov(spark, report(spark, sf))
 
 
 @query(
@@ -610,4 +614,5 @@ UNION ALL SELECT dataset, 'no judged check', 1 FROM prov WHERE n_judged = 0""",
 )
 def check_provenance(spark, sf):
     # The shown list lacks the first check, so its citation must be found.
-    return G.check_provenance(prov(spark, sf), report(spark, sf).where("check_no <> 1"))
+    checks = cut_lineage(report(spark, sf))
+    return G.check_provenance(G.cited_checks(datasets(spark), checks), prov(spark, checks), checks.where("check_no <> 1"))
