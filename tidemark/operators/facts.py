@@ -18,8 +18,13 @@ def _first_peak(value: str, month: str) -> Column:
     return F.max_by(month, present)
 
 
-def records(df: DataFrame, by: Sequence[str], nominal: str, real: str, month: str = "month") -> DataFrame:
-    """Latest value against the series' own peak, as quoted and deflated. One aggregation."""
+def records(
+    df: DataFrame, by: Sequence[str], nominal: str, real: str, month: str = "month", extra: Sequence[Column] = ()
+) -> DataFrame:
+    """Latest value against the series' own peak, as quoted and deflated.
+
+    One aggregation; ``extra`` aggregates of the same groups ride along.
+    """
     def side(v: str, name: str) -> list[Column]:
         return [
             F.max_by(v, month).alias(f"latest_{name}"),
@@ -32,6 +37,7 @@ def records(df: DataFrame, by: Sequence[str], nominal: str, real: str, month: st
         F.max(month).alias("latest_month"),
         *side(nominal, "nominal"),
         *side(real, "real"),
+        *extra,
     )
     for name in ("nominal", "real"):
         latest, top = F.col(f"latest_{name}"), F.col(f"{name}_peak")
@@ -231,10 +237,16 @@ def facts(df: DataFrame, by: Sequence[str], items: Sequence[tuple[str, Column, s
 
 def kpis(series: DataFrame, by: Sequence[str], value: str, real: str, month: str = "month") -> DataFrame:
     """Latest-month figures of each series as long facts."""
-    d = latest_rank(series, by, real).select(*by, F.col("rank").alias("_rank"))
-    wide = records(series, by, value, real, month).join(d, list(by)).join(
-        latest_change(series, by, value, 12, month).select(*by, "change_pct"), list(by)
+    whole = Window.partitionBy(*by)
+    d = series.select(
+        "*", F.max(month).over(whole).alias("_z"),
+        F.max_by(real, F.when(F.col(real).isNotNull(), F.col(month))).over(whole).alias("_now"),
     )
+    ago = F.max(F.when(F.col(month) == F.add_months("_z", -12), F.col(value)))
+    extra = [F.count_if(F.col(real) > F.col("_now")).alias("_above"), ago.alias("_ago")]
+    wide = records(d, by, value, real, month, extra).withColumns({
+        "_rank": F.col("_above") + 1, "change_pct": (F.try_divide("latest_nominal", "_ago") - 1) * 100,
+    })
     return facts(
         wide, by,
         [
