@@ -116,9 +116,9 @@ pair AS (
 ),
 near AS (
   SELECT DISTINCT x FROM pair
-  WHERE CASE WHEN nx = ny THEN len(list_filter(range(1, nx + 1), i -> substr(x, i, 1) <> substr(y, i, 1))) = 1
-             WHEN nx > ny THEN len(list_filter(range(1, nx + 1), i -> left(x, i - 1) || substr(x, i + 1) = y)) > 0
-             ELSE len(list_filter(range(1, ny + 1), i -> left(y, i - 1) || substr(y, i + 1) = x)) > 0 END
+  WHERE CASE WHEN nx = ny THEN len(list_filter(range(1, nx + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1))) = 1
+             WHEN nx > ny THEN len(list_filter(range(1, nx + 1), lambda i: left(x, i - 1) || substr(x, i + 1) = y)) > 0
+             ELSE len(list_filter(range(1, ny + 1), lambda i: left(y, i - 1) || substr(y, i + 1) = x)) > 0 END
 ),
 told AS (
   SELECT e.*, n.x IS NOT NULL AS near, u.spot IS NOT NULL AND (n.x IS NOT NULL OR u.spot <> e.doc_id * 10000000 + e.line) AS gone
@@ -166,8 +166,8 @@ FROM placed p JOIN cuts c USING (s_null, s_name, block)
 
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
