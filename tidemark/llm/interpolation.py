@@ -303,7 +303,7 @@ def learn_weights(chains: DataFrame, order: int, v: int, rounds: int = 20) -> np
 # --- operator -------------------------------------------------------------------------------------------------
 
 
-def interpolated_scores(docs: DataFrame, train: Column, dev: Column, order: int = 2, block_tokens: int = 2_000_000, rounds: int = 20) -> DataFrame:
+def interpolated_scores(docs: DataFrame, train: Column, dev: Column, order: int = 2, block_tokens: int = 1_000_000, rounds: int = 20) -> DataFrame:
     """log10 probability of every text under a model of order `order`.
 
     docs: doc_id, text; other columns are not read. train: texts to learn from; dev: those of them that decide the
