@@ -10,10 +10,11 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "shared_folder", "ship", "table", "split_words", "word_keys", "mix", "binary_of", "array_of"]
+__all__ = ["cut_lineage", "shared_folder", "ship", "table", "split_words", "word_keys", "mix", "binary_of", "array_of", "small"]
 
 
 def ship(name: str) -> None:
@@ -28,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+MOST_BROADCAST_ROWS = 500_000  # of a few longs each: some 20 MB
+
+
+def small(df: DataFrame) -> DataFrame:
+    """For a written table of few longs a row: broadcast it if its counted rows allow, else leave the join to Spark."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST_ROWS else df
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
     """Words per text and all words in order; words end at the six ASCII space characters. Null is empty.
 

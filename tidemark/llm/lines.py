@@ -19,18 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage, mix, ship
+from tidemark.llm.common import cut_lineage, mix, ship, small
 
 ship(__name__)
 
 MIN_NEAR = 20  # characters; shorter lines are copies only if equal
 BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so it has an inverse
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-ORDER = "doc long, tie long, line int"
-
 VARIANT_DDL = "id long, variant long, place int"
 
 
@@ -91,38 +89,33 @@ def repeated_lines(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
     each = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).alias("tie"), F.posexplode(F.split(text, "\n")).alias("line", "content")
     ).where(F.trim("content") != "")
+    # The key stands for the line's text; 64 bits make an accidental match of two lines of one corpus unlikely.
     each = each.withColumn("key", F.xxhash64("content"))
     at = F.struct("doc", "tie", "line")
-    # The key stands for the line's text; 64 bits make an accidental match of two lines of one corpus unlikely.
-    first = each.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.min("content").alias("content"))
-    lines = cut_lineage(first)
-    long_enough = lines.where(F.char_length("content") >= min_near - 1)
-    halves = long_enough.select("key", F.explode(_halves(F.col("content"))).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("half")
-    able = halves.join(shared, "half", "left_semi").select("key").distinct()
-    able = cut_lineage(long_enough.join(able, "key", "left_semi"))
-    emitted = cut_lineage(able.select(F.col("key").alias("id"), "content").mapInArrow(_emit, VARIANT_DDL))
-    order = able.select(F.col("key").alias("id"), "first", F.char_length("content").alias("size"))
-    placed = emitted.join(order, "id")
-    # One edit, at `min_near` characters or more in the longer line: an insertion into a line of min_near - 1 counts.
+    # An edit makes a line of min_near characters or more; the shorter one of an insertion may have one less.
+    halves = F.when(F.char_length("content") >= min_near - 1, _halves(F.col("content")))
+    lines = cut_lineage(each.withColumn("halves", halves).groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")))
+    half = lines.select("key", F.explode("halves").alias("half"))
+    shared = cut_lineage(half.groupBy("half").agg(F.min("key").alias("p"), F.max("key").alias("q")).where("p != q").select("half"))
+    able = cut_lineage(half.join(small(shared), "half", "left_semi").select("key").distinct().join(lines.select("key", "first"), "key"))
+    same = (F.col("doc") == F.col("first.doc")) & (F.col("tie") == F.col("first.tie")) & (F.col("line") == F.col("first.line"))
+    texts = cut_lineage(each.join(small(able), "key").where(same).select("key", "first", "content").dropDuplicates(["key"]))
+    emitted = texts.select(F.col("key").alias("id"), "content").mapInArrow(_emit, VARIANT_DDL)
+    # Most variants belong to one line alone: only the others go on.
+    met = cut_lineage(emitted.groupBy("variant").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p != q").select("variant"))
+    order = texts.select(F.col("key").alias("id"), "first", F.char_length("content").alias("size"))
+    placed = cut_lineage(emitted.join(small(met), "variant", "left_semi").join(order, "id"))
     known = placed.select("id", "variant", "place", "first", F.struct("first", "id").alias("who"), "size")
-    swaps = known.where((F.col("place") >= 0) & (F.col("size") >= min_near)).groupBy("variant", "place").agg(F.min("who").alias("best"))
-    whole = known.where("place = -1").groupBy("variant").agg(F.min("who").alias("best"))
-    less = known.where((F.col("place") >= 0) & (F.col("size") >= min_near)).groupBy("variant").agg(F.min("who").alias("best"))
-    ask = lambda left, right, on: left.join(right, on).where(F.col("best.first") < F.col("first")).select("id", F.col("best.id").alias("other"), F.col("best.first").alias("other_first"))
-    cut = known.where((F.col("place") >= 0) & (F.col("size") >= min_near))
-    hits = ask(cut, swaps, ["variant", "place"]).unionByName(ask(cut, whole, ["variant"])).unionByName(ask(known.where("place = -1"), less, ["variant"]))
-    pairs = hits.groupBy("id", "other").count().drop("count")
-    texts = able.select("key", "content")
-    checked = (
-        pairs.join(texts.select(F.col("key").alias("id"), F.col("content").alias("x")), "id")
-        .join(texts.select(F.col("key").alias("other"), F.col("content").alias("y")), "other")
-        .where(F.levenshtein("x", "y", 1) == 1)
-    )
+    whole, cut = known.where("place = -1"), known.where((F.col("place") >= 0) & (F.col("size") >= min_near))
+    best = lambda df, *on: df.groupBy(*on).agg(F.min("who").alias("best"))
+    ask = lambda left, right, on: left.join(right, on).where(F.col("best.first") < F.col("first")).select("id", F.col("best.id").alias("other"))
+    hits = ask(cut, best(cut, "variant", "place"), ["variant", "place"]).unionByName(ask(cut, best(whole, "variant"), ["variant"])).unionByName(ask(whole, best(cut, "variant"), ["variant"]))
+    text_of = lambda name, column: texts.select(F.col("key").alias(name), F.col("content").alias(column))
+    checked = hits.distinct().join(text_of("id", "x"), "id").join(text_of("other", "y"), "other").where(F.levenshtein("x", "y", 1) == 1)
     near = cut_lineage(checked.select(F.col("id").alias("key"), F.lit(True).alias("near")).distinct())
     # Lines that go: all occurrences of a near copy, and all but the first of the rest.
-    bad = lines.join(near, "key", "left").where("n > 1 OR near").select("key", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    return each.select("key", "doc", "tie", "line").join(bad, "key").where(F.col("near") | (F.struct("doc", "tie", "line") != F.col("first"))).select("doc", "tie", "line", "near").distinct()
+    bad = lines.select("key", "first", "n").join(near, "key", "left").where("n > 1 OR near").select("key", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    return each.select("key", "doc", "tie", "line").join(bad, "key").where(F.col("near") | ~same).select("doc", "tie", "line", "near").distinct()
 
 
 def line_dedup(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
