@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -89,6 +91,19 @@ def test_long_percentile_equals_brute_force_on_both_paths(spark):
         assert got == want
 
 
+def test_long_percentile_has_no_span_of_its_own(spark):
+    rng = random.Random(4)
+    pos = sorted([*rng.sample(range(-900, 3000), 120), 1 << 40])
+    values = [float(rng.randint(0, 9)) for _ in pos]
+    want = {p: None if i < 2 else sum(x <= v for x in values[:i]) * 100.0 / i for i, (p, v) in enumerate(zip(pos, values))}
+    df = spark.createDataFrame([("a", p, v) for p, v in zip(pos, values)], "k string, pos long, v double")
+    for most in (None, 5):
+        out = PC.past_percentile_long(df, "v", ["k"], "pos", most, 2, "p", base_log2=2)
+        assert {r.pos: r.p for r in out.collect()} == want
+    with pytest.raises(ValueError):
+        PC.past_percentile_long(df.withColumn("pos", F.lit(None).cast("long")), "v", ["k"], "pos", None, 2, "p")
+
+
 def test_blocked_scans_equal_plain_windows(spark):
     rng = random.Random(3)
     data = [("hot" if rng.random() < 0.8 else "cold", float(i), rng.randint(-5, 5)) for i in range(300)]

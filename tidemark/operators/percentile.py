@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.panel import window_of
-from tidemark.operators.scan import running_sum
+from tidemark.operators.scan import BLOCK_ROWS, running_sum
 from tidemark.session import cut_lineage
 
 
@@ -42,16 +42,19 @@ def past_percentile_long(
     value: str,
     by: Sequence[str],
     pos: str,
-    max_log2: int,
+    max_log2: int | None,
     warmup: int,
     alias: str,
     base_log2: int = 8,
     plain_levels: int = 16,
-    n_blocks: int = 64,
+    n_blocks: int | None = None,
 ) -> DataFrame:
     """Exact past percentile for long series, without comparing all pairs of rows.
 
-    ``pos`` is a unique integer order in [0, 2**max_log2), gaps allowed. Inside blocks
+    ``pos`` is a unique integer order, gaps and negative numbers allowed; rows without one
+    raise. The tree spans all positions of the data: its height comes from the smallest and the
+    largest, and ``max_log2`` can only make it taller. ``n_blocks`` follows the rows unless given.
+    Inside blocks
     of 2**base_log2 positions earlier rows are counted directly. Beyond that, row j comes
     before row i exactly once in the binary tree of positions: at the level where j lies in
     the left half and i in the right half of the same node. So each row goes to one node
@@ -61,6 +64,13 @@ def past_percentile_long(
     so it is written out once first.
     """
     df = cut_lineage(df)
+    low, high, rows, missing = df.agg(F.min(pos), F.max(pos), F.count(pos), F.count_if(F.col(pos).isNull())).first()
+    if missing:
+        raise ValueError(f"{missing} rows have no {pos}")
+    max_log2 = max(max_log2 or 0, (int(high - low) if rows else 0).bit_length())
+    n_blocks = n_blocks or max(64, -(-rows // BLOCK_ROWS))
+    given, pos = pos, "_pos"
+    df = df.withColumn(pos, F.col(given).cast("long") - F.lit(int(low or 0)))
     block = Window.partitionBy(*by, F.expr(f"shiftright({pos}, {base_log2})")).orderBy(pos)
     before = block.rowsBetween(Window.unboundedPreceding, -1)
     near = _count_at_or_below(F.collect_list(value).over(before), F.col(value))
@@ -72,7 +82,7 @@ def past_percentile_long(
     past = F.col("_near_past") + F.coalesce("_far_past", F.lit(0))
     found = F.col("_near_hits") + F.coalesce("_far_hits", F.lit(0))
     share = F.when(past >= max(warmup, 1), F.try_divide(found * 100.0, past))
-    return out.withColumn(alias, share).drop("_near_hits", "_near_past", "_far_hits", "_far_past")
+    return out.withColumn(alias, share).drop("_near_hits", "_near_past", "_far_hits", "_far_past", pos)
 
 
 def _far_counts(

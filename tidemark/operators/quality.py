@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.panel import date_gaps, drop_incomplete_last, month_of, shift_join, window_of
 from tidemark.operators.stats import corr
 from tidemark.operators.tables import duplicates
+from tidemark.session import cut_lineage
 
 COLUMNS = ("table_name", "description", "status", "detail")
 
@@ -431,7 +432,8 @@ def run_checks(
             row = ("optional checks", f"skipped: {title}", "INFO", f"needs {', '.join(missing)}, which is not present")
             df = spark.createDataFrame([row], ", ".join(f"{c} string" for c in COLUMNS))
         out.append(df.select(F.lit(i).alias("block_no"), *COLUMNS))
-    rows = reduce(lambda a, b: a.unionByName(b), out)
+    # The few check rows are stored: numbering needs them twice, the checks run once.
+    rows = cut_lineage(reduce(lambda a, b: a.unionByName(b), out))
     # Numbers run on from block to block: each check is numbered on its own, the
     # offsets come from one small row per check.
     inside = Window.partitionBy("block_no").orderBy("table_name", "description")

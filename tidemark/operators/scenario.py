@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.tables import expand_structs
@@ -182,8 +182,9 @@ def sensitivity(
         <= max((len(o) for *_, o in overrides), default=0)
     ).select(*by, F.col(value).alias("value"), F.explode(F.filter(hits, lambda h: h["_key"] == own)).alias("_h"))
     flat = matched.select(*by, "_h.bar_order", "_h.bar", "_h.alt_label", "value")
-    ref = flat.where(F.col("bar_order") == 0).select(*by, F.col("value").alias("_ref"))
-    return flat.join(ref, list(by)).select(
+    group, is_ref = Window.partitionBy(*by), F.col("bar_order") == 0
+    known = flat.withColumn("_ref", F.max(F.when(is_ref, F.col("value"))).over(group))
+    return known.withColumn("_has", F.max(is_ref).over(group)).where("_has").select(
         *by, "bar_order", "bar", "alt_label", "value", (F.col("value") - F.col("_ref")).alias("change_vs_reference")
     )
 

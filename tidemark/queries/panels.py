@@ -139,10 +139,9 @@ SELECT a.series_id, a.date, {r("CASE WHEN a.p >= 120 THEN COUNT(*) FILTER (WHERE
 FROM o a LEFT JOIN o b ON b.series_id = a.series_id AND b.p < a.p GROUP BY a.series_id, a.date, a.p, a.value""",
 )
 def past_percentile_daily(spark, sf):
-    # Days since a fixed day order the series; 13 bits span about 22 years.
-    day = F.datediff("date", F.lit("1992-01-01").cast("date"))
+    day = F.unix_date("date")
     d = I.px_daily(spark, sf).select("series_id", "date", day.alias("pos"), "value")
-    out = PC.past_percentile_long(d, "value", BY, "pos", 13, 120, "pctile")
+    out = PC.past_percentile_long(d, "value", BY, "pos", None, 120, "pctile")
     return rounded(out.select("series_id", "date", "pctile"))
 
 
