@@ -123,11 +123,11 @@ def build_path(df: DataFrame, total: str, years: str, growth: Column) -> DataFra
     return df.select("*", F.inline(paths))
 
 
-SLOWER = "Fewer units are built in the target year than in the base year, so the extra is below zero."
+BELOW_BASE = "below_base"
 
 
 def build_cases(path: DataFrame, intensities: Sequence[Column], bases: Sequence[Column]) -> DataFrame:
-    """Path x intensity x base-year build; a negative extra carries an explaining note."""
+    """Path x intensity x base-year build; a build below the base year's carries a code as note."""
     d = expand_structs(path, intensities, bases)
     build, base, per = F.col("target_year"), F.col("base_build"), F.col("intensity")
     return d.select(
@@ -135,7 +135,7 @@ def build_cases(path: DataFrame, intensities: Sequence[Column], bases: Sequence[
         (build * per).alias("new_amount"),
         (base * per).alias("base_amount"),
         ((build - base) * per).alias("extra"),
-        F.when(build < base, SLOWER).alias("note"),
+        F.when(build < base, BELOW_BASE).alias("note"),
     )
 
 

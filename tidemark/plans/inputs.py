@@ -6,7 +6,7 @@ oracles use, so both sides start from the same definition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -145,52 +145,42 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Years of the sheet and their columns; years before the first or after the last count in the outer columns.
+SHEET_YEARS = {1995: "C", 1996: "D", 1997: "E", 1998: "G", 1999: "H", 2000: "I", 2001: "J"}
+SHEET_HEADING, SHEET_MARKER = "Shipped from ", "of which by sea"
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sheet as cells: regions as section headers, nations as data rows."""
+    """A sheet as cells: regions as section headers, nations as data rows. The cells of a nation come from one row."""
     li = table(spark, sf_dir, "lineitem")
     na = table(spark, sf_dir, "nation")
     rg = table(spark, sf_dir, "region")
     su = table(spark, sf_dir, "supplier")
-    year = F.year("l_shipdate")
-    rev = (
-        li.where(year.between(1995, 1998))
-        .groupBy("l_suppkey", year.alias("y"))
-        .agg(F.sum("l_quantity").alias("q"))
+    year = F.greatest(F.lit(min(SHEET_YEARS)), F.least(F.lit(max(SHEET_YEARS)), F.year("l_shipdate")))
+    wide = (
+        li.groupBy("l_suppkey").agg(*[F.sum(F.when(year == y, F.col("l_quantity"))).alias(f"q{y}") for y in SHEET_YEARS])
         .join(su, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("s_nationkey", "y")
-        .agg(F.sum("q").alias("q"))
+        .groupBy("s_nationkey").agg(*[F.sum(f"q{y}").alias(f"q{y}") for y in SHEET_YEARS])
     )
     by_region = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
     nat = na.select("n_nationkey", "n_name", "n_regionkey", F.row_number().over(by_region).alias("i"))
-    row = (F.col("n_regionkey") * 20 + 1 + F.col("i")).cast("int")
-
-    def cell(df, at, col, kind, text):
-        return df.select(
-            F.lit("Data").alias("sheet"),
-            at.cast("int").alias("excel_row"),
-            col.alias("excel_col"),
-            F.lit(kind).alias("cell_type"),
-            text.alias("value_text"),
-        )
 
-    heads = cell(
-        rg,
-        F.col("r_regionkey") * 20 + 1,
-        F.lit("B"),
-        "s",
-        F.concat(F.lit("Installed capacity "), F.col("r_name")),
-    )
-    labels = cell(nat, row, F.lit("B"), "s", F.when(F.col("i") == 3, "IT").otherwise(F.col("n_name")))
-    col = F.when(F.col("y") == 1995, "C").when(F.col("y") == 1996, "D").when(F.col("y") == 1997, "E").otherwise("G")
-    data = cell(
-        nat.join(rev, F.col("s_nationkey") == F.col("n_nationkey")),
-        row,
-        col,
-        "n",
-        F.col("q").cast("int").cast("string"),
+    def cell(col: str, kind: str, text: Column) -> Column:
+        return F.struct(F.lit(col).alias("excel_col"), F.lit(kind).alias("cell_type"), text.alias("value_text"))
+
+    def sheet_row(row: Column) -> list[Column]:
+        return [F.lit("Data").alias("sheet"), row.cast("int").alias("excel_row")]
+
+    head = F.array(cell("B", "s", F.concat(F.lit(SHEET_HEADING), F.col("r_name"))))
+    heads = rg.select(*sheet_row(F.col("r_regionkey") * 20 + 1), F.inline(head))
+    own = F.array(
+        cell("B", "s", F.when(F.col("i") == 3, SHEET_MARKER).otherwise(F.col("n_name"))),
+        *[cell(letter, "n", F.col(f"q{y}").cast("bigint").cast("string")) for y, letter in SHEET_YEARS.items()],
+        cell("F", "e", F.lit("#REF!")),
     )
-    errors = cell(nat, row, F.lit("F"), "e", F.lit("#REF!"))
-    return heads.unionByName(labels).unionByName(data).unionByName(errors)
+    rows = nat.join(wide, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    data = rows.select(*sheet_row(F.col("n_regionkey") * 20 + 1 + F.col("i")), F.inline(own)).where(F.col("value_text").isNotNull())
+    return heads.unionByName(data)
 
 
 VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
@@ -253,19 +243,18 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "rev": (
         (),
-        "SELECT s_nationkey, year(l_shipdate) AS y, SUM(l_quantity) AS q FROM lineitem"
-        " JOIN supplier ON s_suppkey = l_suppkey WHERE year(l_shipdate) BETWEEN 1995 AND 1998"
-        " GROUP BY s_nationkey, year(l_shipdate)",
+        f"SELECT s_nationkey, greatest({min(SHEET_YEARS)}, least({max(SHEET_YEARS)}, year(l_shipdate))) AS y, SUM(l_quantity) AS q"
+        " FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL",
     ),
     "cells": (
         ("nat", "rev"),
         "SELECT 'Data' AS sheet, CAST(r_regionkey * 20 + 1 AS INT) AS excel_row, 'B' AS excel_col,"
-        " 's' AS cell_type, concat('Installed capacity ', r_name) AS value_text FROM region"
+        f" 's' AS cell_type, concat('{SHEET_HEADING}', r_name) AS value_text FROM region"
         " UNION ALL SELECT 'Data', CAST(n_regionkey * 20 + 1 + i AS INT), 'B', 's',"
-        " CASE WHEN i = 3 THEN 'IT' ELSE n_name END FROM nat"
+        f" CASE WHEN i = 3 THEN '{SHEET_MARKER}' ELSE n_name END FROM nat"
         " UNION ALL SELECT 'Data', CAST(n_regionkey * 20 + 1 + i AS INT),"
-        " CASE y WHEN 1995 THEN 'C' WHEN 1996 THEN 'D' WHEN 1997 THEN 'E' ELSE 'G' END, 'n',"
-        " CAST(CAST(q AS INT) AS VARCHAR) FROM nat JOIN rev ON s_nationkey = n_nationkey"
+        f" CASE y {' '.join(f'WHEN {y} THEN {chr(39)}{c}{chr(39)}' for y, c in SHEET_YEARS.items())} END, 'n',"
+        " CAST(CAST(q AS BIGINT) AS VARCHAR) FROM nat JOIN rev ON s_nationkey = n_nationkey"
         " UNION ALL SELECT 'Data', CAST(n_regionkey * 20 + 1 + i AS INT), 'F', 'e', '#REF!' FROM nat",
     ),
 }
