@@ -221,6 +221,23 @@ def test_signatures_estimate_weighted_jaccard():
         assert (s[a] == s[b]).mean() == pytest.approx(true, abs=0.04)
 
 
+def test_bit_sketch_keeps_pairs_at_the_limit():
+    from tidemark.llm.bagminhash import LONGER, bit_words, least_agreeing
+
+    base = [f"w{i}" for i in range(1000)]
+    texts = [" ".join(base), " ".join(base[:890] + [f"z{i}" for i in range(110)]), " ".join(base[:500] + [f"y{i}" for i in range(500)]), "one"]
+    words = bit_words(signatures(*bags(pa.array(texts)), 4, LONGER)).view(np.uint64)
+    half = LONGER // 64
+
+    def agreeing(i: int, j: int) -> int:
+        apart = words[i] ^ words[j]
+        return LONGER - sum(int(a | b).bit_count() for a, b in zip(apart[:half], apart[half:], strict=True))
+
+    assert agreeing(0, 0) == LONGER and agreeing(3, 3) == LONGER
+    assert agreeing(0, 1) >= least_agreeing(0.8) > agreeing(0, 2)  # 886 of 1,106 shingles; 496 of 1,496
+    assert least_agreeing(1.0) == LONGER and least_agreeing(0.0) < LONGER / 4
+
+
 def test_near_duplicates_against_all_pairs(spark, docs, hard):
     rows = [(r.doc_id, (r.text or "")) for r in docs.collect()]
     bag = []
