@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -179,6 +180,19 @@ def test_licenses(hard):
     assert license_scan(hard.limit(0)).count() == 0
 
 
+def test_every_license_rule_fires_on_its_own_wording(spark):
+    def wording(pattern, pick):
+        return " ".join(re.sub(r"\(\?:([^)]*)\)(\?)?", lambda m: "" if m[2] and pick else m[1].split("|")[-pick], pattern).split())
+
+    texts = sorted({wording(r.pattern, pick) for r in rules() for pick in (0, 1)})
+    out = license_scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert len(out) == len(texts) > 600
+    assert [r.text for r in out if not any(d.start == 0 and d.stop == r.n_words for d in r.detections)] == []
+    said = {"All rights reserved.": "all-rights-reserved", "Released under GPLv3": "gpl-3.0", "BSD 3-Clause": "bsd-3-clause", "GNU GFDL 1.3": "gfdl-1.3"}
+    told = license_scan(spark.createDataFrame([(t,) for t in said], "text string")).collect()
+    assert all(said[r.text] in {d.label for d in r.detections} for r in told)
+
+
 def vectors(spark, n=300):
     rng = np.random.default_rng(2)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((n, 12)).astype("f4"))]

@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
 A rule is a label, a tier (0 best), a keyword and a pattern over the normalised words of a text. A rule's pattern runs only
-where its keyword stands in the text, and rules at all only where one of the GATE words does. Detections are
+where its keyword and the longest run of fixed words of its pattern stand in the text; every match holds both. Detections are
 intervals of words. One that lies within another goes if the other's tier is better, or equal and it is longer, or it
 is the same interval of an earlier rule.
 
@@ -10,6 +10,7 @@ Only DataFrame functions. The rule table is built from families, versions and wo
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import cache
 
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 
 # The phrases whose places are counted, and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-GATE = ("license", "licensed", "licence", "licenced", "licenses", "cc", "cc0", "creative", "creativecommons", "gpl", "lgpl", "agpl", "copyright", "permission", "redistribution", "spdx", "unlicense", "warranty", "public")
 TIERS = (1.0, 0.9, 0.8, 0.6, 0.3)  # confidence of a detection, by tier
 
 
@@ -26,9 +26,14 @@ TIERS = (1.0, 0.9, 0.8, 0.6, 0.3)  # confidence of a detection, by tier
 class Rule:
     label: str
     tier: int
-    keyword: str  # words that every match holds
+    keyword: str  # words that every match holds, the last of them as a word or its beginning
     pattern: str  # over words written " w1  w2 ": each with a space on either side
 
+    @property
+    def fixed(self) -> str:
+        """The longest part of the pattern that every match holds as it is: what stands outside its alternatives."""
+        return max(re.split(r"\(\?:[^)]*\)\??", self.pattern), key=len)
+
 
 def _words(text: str) -> str:
     """A wording with alternatives in braces, "a {b c|d} e", as a pattern; "?" after a brace: it may be missing."""
@@ -175,25 +180,22 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """
     own = ["n_words", "base", "detections"]
     words = docs.drop(*own).withColumn("_norm", normal_words(F.col("text")))
-    norm = F.col("_norm")
-    padded = F.concat(F.lit(" "), norm, F.lit(" "))
-    gate = F.lit(False)
-    for w in GATE:
-        gate = gate | F.contains(F.col("_padded"), F.lit(f" {w} "))
-    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.tier).alias("tier"), F.lit(i).alias("number"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for i, r in enumerate(rules())])
-    phrases = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(0).alias("tier"), F.lit(i).alias("number"), F.lit(phrase).alias("keyword"), F.lit(_words(phrase)).alias("pattern")) for i, (phrase, label) in enumerate(BASE)])
-    double = F.concat(F.lit(" "), F.replace(norm, F.lit(" "), F.lit("  ")), F.lit(" "))
+    norm, double = F.col("_norm"), F.col("_double")
+    by_keyword: dict[str, list[Column]] = {}
+    for i, r in enumerate(rules()):
+        by_keyword.setdefault(r.keyword, []).append(F.struct(F.lit(r.label).alias("label"), F.lit(r.tier).alias("tier"), F.lit(i).alias("number"), F.lit(r.fixed).alias("fixed"), F.lit(r.pattern).alias("pattern")))
+    table = F.array(*[F.struct(F.lit(f" {keyword}").alias("keyword"), F.array(*some).alias("rules")) for keyword, some in by_keyword.items()])
+    phrases = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(0).alias("tier"), F.lit(i).alias("number"), F.lit(_words(phrase)).alias("fixed"), F.lit(_words(phrase)).alias("pattern")) for i, (phrase, label) in enumerate(BASE)])
 
     def found(which: Column) -> Column:
-        near = F.filter(which, lambda r: F.contains(norm, r["keyword"]))
-        return F.flatten(F.transform(near, lambda r: _found(F.col("_double"), r)))
+        near = F.filter(which, lambda r: F.contains(double, r["fixed"]))
+        return F.flatten(F.transform(near, lambda r: _found(double, r)))
 
     # No phrase overlaps itself, so a pattern finds all its places.
     base = F.transform(found(phrases), lambda d: F.struct(d["start"].alias("start"), d["label"].alias("label")))
-    none = F.array().cast("array<struct<start:bigint,label:string>>")
-    spots = "array<struct<start:bigint,stop:bigint,tier:int,label:string>>"
+    # Each keyword is looked for once, not once a rule.
+    likely = F.flatten(F.transform(F.filter(table, lambda k: F.contains(F.col("_padded"), k["keyword"])), lambda k: k["rules"]))
     n_words = F.when(norm == "", F.lit(0)).otherwise(_spaces(norm) + 1).cast("long")
-    gated = words.withColumn("_padded", padded).withColumn("_gate", gate).drop("_padded").withColumn("_double", F.when(F.col("_gate"), double))
-    gated = gated.withColumn("n_words", n_words).withColumn("base", F.when(F.col("_gate"), base).otherwise(none))
-    gated = gated.withColumn("detections", F.when(F.col("_gate"), _kept(found(table))).otherwise(F.array().cast(spots)))
-    return gated.drop("_norm", "_gate", "_double")
+    scanned = words.withColumn("_padded", F.concat(F.lit(" "), norm)).withColumn("_double", F.concat(F.lit(" "), F.replace(norm, F.lit(" "), F.lit("  ")), F.lit(" ")))
+    scanned = scanned.withColumn("n_words", n_words).withColumn("base", base).withColumn("detections", _kept(found(likely)))
+    return scanned.drop("_norm", "_padded", "_double")
