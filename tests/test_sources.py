@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import SF_DIR, rows
 from tidemark.sources import store, text
 
 
@@ -56,6 +56,32 @@ def test_single_byte_encoding_and_empty_to_null(spark, tmp_path):
     assert rows(nulls.select("note", "source_id")) == [("“quoted” – dash", "S2"), (None, "S2")]
 
 
+def test_quoted_cells_are_read_whole_when_a_file_is_split(spark, tmp_path):
+    df = spark.read.parquet(f"{SF_DIR}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    hard = ['say ""hi""', 'a,"b"\n"c",\n\n', '"', '""\n"', "x\r\ny", "\n\nz \"\n", ",", "a\nb,\"c"]
+    df = df.unionByName(spark.createDataFrame([(f"h{i}", t) for i, t in enumerate(hard)], "doc_id string, text string"))
+    want = {r.doc_id: r.text for r in df.collect()}
+    options = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.repartition(3).write.options(**options).csv(str(tmp_path / "w"))
+    (tmp_path / "w" / "part-x.csv").write_bytes(b'doc_id,text\r\n\r\np,5" pipe\r\nq,"a\r\nb"\r\n')
+    want |= {"p": '5" pipe', "q": "a\r\nb"}
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {k: spark.conf.get(k) for k in keys}
+    spark.conf.set(keys[0], "5000")
+    spark.conf.set(keys[1], "0")
+    try:
+        got = text.read_raw_csv(spark, str(tmp_path / "w"), ["doc_id", "text"], "S2").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert any("\n" in t for t in want.values()) and len(got) == len(want)
+    assert {r.doc_id: r.text for r in got} == {k: v or "" for k, v in want.items()}
+    files: dict = {}
+    for r in got:
+        files.setdefault(r.source_file, []).append(r.file_line)
+    assert all(sorted(v) == list(range(2, len(v) + 2)) for v in files.values())
+
+
 def test_longest_file_wins_among_good_headers(spark):
     df = spark.createDataFrame([("a", 1)] * 3 + [("b", 1)] * 5 + [("c", 0)] * 9, "source_file string, ok int")
     used, report = text.pick_longest_file(df, F.col("ok") == 1)

@@ -53,7 +53,7 @@ def raw_csv_ingest(spark, sf):
         F.concat(F.lit("x"), F.regexp_replace(F.substring("text", 1, 60), _KEEP, "")).alias("word"),
     )
     keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    d.write.options(header=True, encoding="ISO-8859-1", emptyValue="", **keep_spaces).csv(path)
+    d.write.options(header=True, encoding="ISO-8859-1", emptyValue="", escape='"', **keep_spaces).csv(path)
     raw = text.read_raw_csv(spark, path, ["doc_id", "source", "word"], "S2", "windows-1252", empty_to_null=True)
     return raw.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.md5("word").alias("word_md5"))
 

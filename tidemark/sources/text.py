@@ -77,6 +77,77 @@ def _numbered(raw: DataFrame, first_line: int, is_header: Column | None = None)
     )
 
 
+def _ends_quoted(line: Column, quoted: bool, sep: str) -> Column:
+    """Does the line end inside quotes, if it starts inside them or not? A quote opens at the start of a cell alone."""
+    OUT, IN, CLOSED = 0, 1, 2
+    pieces = F.split(line, '"')
+    before = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p, i: F.struct(p.alias("p"), (i == 0).alias("first")))
+
+    def quote(state: Column, x: Column) -> Column:
+        opens = F.endswith(x["p"], F.lit(sep)) | ((x["p"] == "") & (x["first"] | (state == CLOSED)))
+        return F.when(state == IN, CLOSED).when(opens, IN).otherwise(OUT)
+
+    return F.aggregate(before, F.lit(IN if quoted else OUT), quote) == IN
+
+
+def _carried(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """Add _s0, _s1: is a row's start quoted, if the first row of its key starts outside (0) or inside (1) quotes?
+
+    _e0, _e1 tell how a row ends by how it starts. The last row that ends alike either way fixes the state; the rows
+    since then either keep or turn it.
+    """
+    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    turned = df.withColumn("_turns", F.sum((F.col("_e0") & ~F.col("_e1")).cast("long")).over(upto))
+    fixed = F.when(F.col("_e0") == F.col("_e1"), F.struct(F.col("_e0").alias("ends"), F.col("_turns").alias("turns")))
+    turned = turned.withColumns({"_fixed": F.last(fixed, ignorenulls=True).over(before), "_t": F.coalesce(F.last("_turns").over(before), F.lit(0))})
+
+    def start(quoted: bool) -> Column:
+        at, since = F.coalesce("_fixed.ends", F.lit(quoted)), F.col("_t") - F.coalesce("_fixed.turns", F.lit(0))
+        return at != (since % 2 == 1)
+
+    return turned.withColumns({"_s0": start(False), "_s1": start(True)}).drop("_turns", "_fixed", "_t")
+
+
+def _records(raw: DataFrame, sep: str = ",") -> DataFrame:
+    """Lines of a file scan joined to records: value, source_file, file_line (the record's number, from 1).
+
+    The state of the quotes is carried inside each file split for either start, then from split to split (one small row
+    each), so no file is read in one task. Only a record of several lines is put together from its lines.
+    """
+    lines = raw.select(
+        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"),
+    )
+    lines = lines.withColumns({"_e0": _ends_quoted(F.col("value"), False, sep), "_e1": _ends_quoted(F.col("value"), True, sep), "_some": F.trim(F.translate("value", "\r", "")) != ""})
+
+    def counted(df: DataFrame) -> DataFrame:
+        upto = Window.partitionBy("_path", "_at").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+        starts = [F.sum((~F.col(f"_s{k}") & F.col("_some")).cast("long")).over(upto).alias(f"_n{k}") for k in (0, 1)]
+        return _carried(df, ["_path", "_at"], "_id").select("*", *starts, F.row_number().over(upto.rowsBetween(Window.unboundedPreceding, 0)).alias("_row"))
+
+    # The first pass runs at once, over lines without their text.
+    last = lambda k: F.max_by(F.when(F.col(f"_s{k}"), F.col("_e1")).otherwise(F.col("_e0")), "_id").alias(f"_e{k}")
+    splits = cut_lineage(counted(lines.drop("value")).groupBy("_path", "_at").agg(last(0), last(1), F.max("_n0").alias("_n0"), F.max("_n1").alias("_n1"), F.count(F.lit(1)).alias("_rows")))
+    earlier = Window.partitionBy("_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.when(F.col("_s0"), F.col("_n1")).otherwise(F.col("_n0"))
+    offsets = _carried(splits, ["_path"], "_at").select("_path", "_at", F.col("_s0").alias("_quoted"), F.coalesce(F.sum(own).over(earlier), F.lit(0)).alias("_before"), "_rows")
+    if splits.count() <= MAX_BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
+    told = counted(lines).join(offsets, ["_path", "_at"], "left")
+    fits = F.coalesce(F.col("_row") <= F.col("_rows"), F.lit(False))
+    number = F.col("_before") + F.when(F.col("_quoted"), F.col("_n1")).otherwise(F.col("_n0"))
+    inside = F.when(F.col("_quoted"), F.col("_s1")).otherwise(F.col("_s0"))
+    ends = F.when(inside, F.col("_e1")).otherwise(F.col("_e0"))
+    told = told.select(
+        "_path", "source_file", "_at", "_row", "value", "_some", inside.alias("_in"), ends.alias("_open"),
+        F.when(fits, number).otherwise(F.raise_error(F.lit(_MOVED)).cast("bigint")).alias("file_line"),
+    )
+    whole = told.where(~F.col("_in") & ~F.col("_open") & F.col("_some")).select("value", "source_file", "file_line")
+    parts = told.where(F.col("_in") | F.col("_open")).groupBy("_path", "source_file", "file_line").agg(F.sort_array(F.collect_list(F.struct("_at", "_row", "value"))).alias("_parts"))
+    return whole.unionByName(parts.select(F.array_join(F.transform("_parts", lambda p: p["value"]), "\n").alias("value"), "source_file", "file_line"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of one or many files: value, source_file, file_line (from 1)."""
     return _numbered(spark.read.text(path), 1).drop("header_line")
@@ -113,17 +184,20 @@ def read_raw_csv(
 ) -> DataFrame:
     """CSV with a header in any encoding, all columns as text; blanks kept or turned into NULL.
 
-    file_line counts records from 2, the line after the header. Spark reads no
-    windows-1252; it equals ISO-8859-1 but for the control range, which is translated.
+    Cells may be quoted, with line breaks and doubled quotes inside; lines end with \\n or \\r\\n. file_line
+    counts records from 2, the record after the header; blank lines are none. Spark reads no windows-1252; it equals
+    ISO-8859-1 but for the control range, which is translated.
     """
-    schema = ", ".join(f"`{c}` string" for c in columns)
     cp1252 = encoding.lower() in ("windows-1252", "cp1252")
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True).option("encoding", "ISO-8859-1" if cp1252 else encoding)
-        .csv(path)
-    )
-    out = _numbered(raw, 2)
+    coded = "ISO-8859-1" if cp1252 else encoding
+    raw = spark.read.option("lineSep", "\n").option("encoding", coded).text(path)
+    if coded.lower() not in ("utf-8", "utf8"):
+        raw = raw.withColumn("value", F.decode(F.col("value").cast("binary"), coded))
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    record = F.regexp_replace("value", r"\r\z", "")
+    cells = F.from_csv(record, schema, {"escape": '"', "multiLine": "true", "lineSep": "\n"})
+    out = _records(raw).where("file_line > 1").select("source_file", "file_line", cells.alias("_c"))
+    out = out.select("source_file", "file_line", *[F.col(f"_c.`{c}`").alias(c) for c in columns])
     if cp1252:
         src, dst = _cp1252_controls()
         out = out.select(*[F.translate(F.col(f"`{c}`"), src, dst).alias(c) for c in columns], "source_file", "file_line")
