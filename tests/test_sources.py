@@ -106,6 +106,21 @@ def test_store_round_trips(spark, tmp_path):
     assert rows(store.load_tables(spark, str(tmp_path / "tabs"), ["t"])["t"].select("k", "v")) == rows(df)
 
 
+def test_texts_survive_the_master_copy(spark, tmp_path):
+    df = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").where("text <> ''")
+    hard = ["two\nlines", 'say "hi"', '"\n""', "  spaces ", "a\r\nb", 'x\\"', ",\n"]
+    df = df.unionByName(spark.createDataFrame([(-i, t) for i, t in enumerate(hard, 1)], df.schema))
+    store.save_result(df, "docs", str(tmp_path))
+    schema = {"docs": "doc_id long, text string"}
+    assert rows(store.load_results(spark, str(tmp_path), schema)["docs"]) == rows(df)
+    some = df.where("doc_id < 0")
+    store.export_csv({"docs": some}, f"{tmp_path}/base")
+    assert rows(store.read_baseline(spark, f"{tmp_path}/base/docs", schema["docs"])) == rows(some)
+    store.export_csv({"docs": some}, f"{tmp_path}/csv")
+    with pytest.raises(ValueError, match="7 rows in the master copy"):
+        store.load_results(spark, str(tmp_path), schema)
+
+
 def test_collected_and_baseline_nulls(spark, tmp_path):
     (tmp_path / "facts.csv").write_text('id,v,note\nF1,1.5,"two\nlines"\nF2,,NA\n')
     got = store.read_collected(spark, str(tmp_path), {"facts": "id string, v double, note string"})["facts"]

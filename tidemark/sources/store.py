@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.governance import assert_no_columns, trim_restricted
 
 
+# Cells with line breaks, quotes and outer spaces come back as they were written.
+_QUOTED = {"header": True, "escape": '"'}
+_WRITE = {**_QUOTED, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_READ = {**_QUOTED, "multiLine": True}
+
+
 def read_collected(spark: SparkSession, folder: str, schemas: Mapping[str, str]) -> dict[str, DataFrame]:
     """Small hand-collected tables, one CSV each, with their declared types."""
     return {
@@ -20,7 +27,7 @@ def read_collected(spark: SparkSession, folder: str, schemas: Mapping[str, str])
 
 def read_baseline(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A frozen profile: only an empty cell is NULL; words such as 'NA' or 'null' are text."""
-    return spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
+    return spark.read.schema(schema).options(**_READ, nullValue="").csv(path)
 
 
 def require_tables(present: Sequence[str], needed: Sequence[str]) -> None:
@@ -50,7 +57,7 @@ def load_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[
 def export_csv(tables: Mapping[str, DataFrame], folder: str) -> None:
     """Every table and view as CSV with a header."""
     for name, df in tables.items():
-        df.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(f"{folder}/{name}")
+        df.write.mode("overwrite").options(**_WRITE).csv(f"{folder}/{name}")
 
 
 def save_result(df: DataFrame, name: str, folder: str, deny: Sequence[str] = ()) -> dict[str, int]:
@@ -67,8 +74,20 @@ def save_result(df: DataFrame, name: str, folder: str, deny: Sequence[str] = ())
 
 
 def load_results(spark: SparkSession, folder: str, schemas: Mapping[str, str]) -> dict[str, DataFrame]:
-    """Results of an earlier run, from their CSV master copies."""
-    return {n: spark.read.schema(s).option("header", True).csv(f"{folder}/csv/{n}") for n, s in schemas.items()}
+    """Results of an earlier run, from their CSV master copies. A copy that has lost or gained rows against its table,
+    where there is one, stops the job."""
+    out = {n: spark.read.schema(s).options(**_READ).csv(f"{folder}/csv/{n}") for n, s in schemas.items()}
+    for name, copy in out.items():
+        try:
+            saved = spark.read.parquet(f"{folder}/table/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        rows, want = copy.count(), saved.count()
+        if rows != want:
+            raise ValueError(f"{name}: {rows} rows in the master copy, {want} in the table")
+    return out
 
 
 def json_cell(c: Column) -> Column:
