@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidemark.llm.bagminhash import bags, keep_one, near_duplicates, signatures
-from tidemark.llm.cover_tree import exact_top_k
+from tidemark.llm.cover_tree import dual_search, exact_top_k
 from tidemark.llm.interpolation import interpolated_scores
 from tidemark.llm.licenses import license_scan, rules
 from tidemark.llm.lines import line_dedup, repeated_lines
@@ -206,6 +206,28 @@ def best(rows, value, zero, k=20):
     return {q: sorted(((float(use[q] @ v), -i) for i, v in use.items() if i != q and len(v) == len(use[q])), reverse=True)[:k] for q in use if q % 20 == 0}
 
 
+@pytest.mark.parametrize("scale", [3e5, 5e6])
+def test_cover_tree_keeps_large_vectors(spark, scale):
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate((rng.standard_normal((300, 8)) * np.where(np.arange(300) % 3, 0.3, scale)[:, None]).astype("f4"))]
+    rows += [(300, [1e25] + [0.0] * 7), (301, [1e30] + [0.0] * 7)]  # out of range with each other and themselves
+    rows = [(i, [0.0] + v[1:]) if i < 300 else (i, v) for i, v in rows]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in exact_top_k(frame.where("vec_id < 301"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, -r.vec_id))
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows if i < 301}
+    assert got == {q: sorted(((sum(x * y for x, y in zip(whole[q], v)), -i) for i, v in whole.items() if i != q), reverse=True)[:20] for q in whole if q % 20 == 0}
+    with pytest.raises(Exception, match="does not fit a long"):
+        exact_top_k(frame, F.col("vec_id") == 300).collect()
+
+
+def test_cover_tree_keeps_ties_of_negative_scores():
+    data = np.array([[100.0, 50.0]] * 200 + [[100.0, -50.0]] * 200)
+    row, found, score = dual_search(np.arange(400), data, np.array([1000]), np.array([[-100.0, 0.0]]), 20)
+    assert sorted(found) == list(range(20)) and set(score) == {-10000}
+
+
 def test_cover_tree_is_exact(spark):
     frame, rows = vectors(spark)
     got: dict = {}

@@ -18,10 +18,10 @@ from tidemark.llm.knn import search, usable
 ship(__name__)
 
 LEAF = 256
-LOWEST = -(1 << 62)  # below all scores; its negative fits too
+LOWEST = -(1 << 63)  # below all scores
 FEWEST = 32
 STEP = 1.3  # between the radii of levels
-LARGEST = 1 << 24  # of a quantised component, so that sums of products fit 64 bits
+LARGEST = 1e150  # of a quantised component: squares of more are no doubles
 
 
 class Node:
@@ -69,26 +69,46 @@ def cover_tree(points: np.ndarray, leaf: int = LEAF) -> Node:
     return root
 
 
+def _wrapped(x: np.ndarray) -> np.ndarray:
+    """Whole doubles as 64-bit integers, modulo 2^64."""
+    x = np.fmod(x, 2.0**64)
+    return np.where(x >= 2.0**63, x - 2.0**64, np.where(x < -(2.0**63), x + 2.0**64, x)).astype(np.int64)
+
+
+def _fitting(scores: np.ndarray, own: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """scores: x times y modulo 2^64, right where the product surely fits; the others but `own` anew by Python's integers."""
+    near, slack = x @ y.T, (np.abs(x) @ np.abs(y).T) * x.shape[1] * 2.0**-50 + 1
+    for i, j in np.argwhere(~own & ~(np.abs(near) + slack < 2.0**63)):
+        score = sum(int(p) * int(q) for p, q in zip(x[i], y[j]))
+        if not LOWEST < score < -LOWEST:
+            raise OverflowError(f"the score {score} of two vectors does not fit a long")
+        scores[i, j] = score
+    return scores
+
+
 def dual_search(ids: np.ndarray, data: np.ndarray, qs: np.ndarray, q_data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vec_id, score) of the k best; integer data, exact."""
     top = np.full((len(qs), k), LOWEST)
     top_ids = np.full((len(qs), k), np.iinfo(np.int64).max)
-    exact = float(np.abs(data).max(initial=0)) * float(np.abs(q_data).max(initial=0)) * data.shape[1] < 2.0**53
-    a, b = (data, q_data) if exact else (data.astype(np.int64), q_data.astype(np.int64))
+    most = float(np.abs(data).max(initial=0)) * float(np.abs(q_data).max(initial=0)) * data.shape[1]
+    a, b = (data, q_data) if most < 2.0**53 else (_wrapped(data), _wrapped(q_data))
 
     def base(q: Node, r: Node) -> None:
         scores = (b[q.rows] @ a[r.rows].T).astype(np.int64)
-        scores[qs[q.rows][:, None] == ids[r.rows][None]] = LOWEST
+        own = qs[q.rows][:, None] == ids[r.rows][None]
+        if most >= 2.0**62:
+            scores = _fitting(scores, own, q_data[q.rows], data[r.rows])
+        scores[own] = LOWEST
         worst = top[q.rows, k - 1]
         hit = np.flatnonzero((scores >= worst[:, None]).any(axis=1))
         for i in hit:
             row = q.rows[i]
             some = np.flatnonzero(scores[i] >= worst[i])
             if len(some) > 4 * k:
-                some = some[scores[i][some] >= -np.partition(-scores[i][some], k - 1)[k - 1]]
+                some = some[scores[i][some] >= np.partition(scores[i][some], -k)[-k]]
             both = np.concatenate([top[row], scores[i][some]])
             both_ids = np.concatenate([top_ids[row], ids[r.rows[some]]])
-            order = np.lexsort((both_ids, -both))[:k]
+            order = np.lexsort((both_ids, ~both))[:k]
             top[row], top_ids[row] = both[order], both_ids[order]
 
     low = LOWEST
@@ -96,7 +116,8 @@ def dual_search(ids: np.ndarray, data: np.ndarray, qs: np.ndarray, q_data: np.nd
     def bounds(q: Node, others: list[Node]) -> np.ndarray:
         centres = np.array([r.centre for r in others])
         radii, norms = np.array([r.radius for r in others]), np.array([r.norm for r in others])
-        return (centres @ q.centre + q.norm * radii + norms * q.radius + q.radius * radii) * (1 + 1e-9) + 1e-6
+        slack = (q.norm + q.radius) * (norms + radii) * 1e-9 + 1e-6  # rounding goes with the lengths, whatever the score
+        return centres @ q.centre + q.norm * radii + norms * q.radius + q.radius * radii + slack
 
     tree, queries = cover_tree(data), cover_tree(q_data)
     stack = [(queries, tree, np.inf)]
@@ -121,9 +142,14 @@ def exact_top_k(vectors: DataFrame, asked: Column, k: int = 20) -> DataFrame:
 
     A component x becomes floor(64 * x), x as double. vectors: vec_id, embedding; asked (over vec_id): the queries;
     candidates: every row but the query's own. Vectors null, empty, or with null or non-finite components take no part,
-    nor a null vec_id, nor vectors with a component that becomes LARGEST or more (their score may not fit a long). Zero
-    vectors do. Ties go to the smaller vec_id. Vectors of equal vec_id are one candidate, with their best score.
+    nor a null vec_id. Zero vectors do. Ties go to the smaller vec_id. Vectors of equal vec_id are one candidate, with
+    their best score. A score that does not fit a long stops the job, as does a component that becomes LARGEST or more.
     """
-    rows = usable(vectors, lambda x: F.when(F.abs(x) < float("inf"), F.floor(x * 64.0).cast("double")), zero=True)
-    rows = rows.where(~F.exists("v", lambda x: F.abs(x) >= float(LARGEST)))
+    too_large = F.raise_error(F.lit("a component is too large for scores that fit a long")).cast("double")
+
+    def quantised(x: Column) -> Column:  # from 2^53 on, doubles are whole
+        whole = F.when(F.abs(x) < 2.0**53, F.floor(x * 64.0).cast("double")).when(F.abs(x) < LARGEST / 64, x * 64.0).otherwise(too_large)
+        return F.when(F.abs(x) < float("inf"), whole)
+
+    rows = usable(vectors, quantised, zero=True)
     return search(rows, asked, k, dual_search, "long")
