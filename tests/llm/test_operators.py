@@ -312,7 +312,7 @@ def test_mix(spark, hard):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
     tables = [QUERIES[name](spark, SF_DIR).toArrow(), con.sql(SQL[name]).to_arrow_table()]
     a, b = (sorted(tuple(map(repr, (r[c] for c in sorted(r)))) for r in t.to_pylist()) for t in tables)

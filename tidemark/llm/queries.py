@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.bagminhash import near_duplicates
 from tidemark.llm.common import cut_lineage, table
 from tidemark.llm.cover_tree import exact_top_k
+from tidemark.llm.impact_ranking import ranked
 from tidemark.llm.interpolation import interpolated_scores
 from tidemark.llm.licenses import TIERS, license_scan
 from tidemark.llm.lines import MIN_NEAR, line_dedup
 from tidemark.llm.mixing import BLOCK_WORDS, mixed, word_count
+from tidemark.llm.multiset_hash import document_fingerprints
 from tidemark.llm.packing import packed
 from tidemark.llm.projected_knn import nearest_projected
 from tidemark.llm.quality import quality_scores
+from tidemark.llm.spelling import spelling_groups
 from tidemark.llm.token_files import read_token_files, write_token_files
 
 WORD_BPE = "word_bpe_49k.json"
@@ -84,6 +87,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1,
     "op2_token_files": op2,
@@ -95,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8,
     "op9_best_fit_packing": op9,
     "op10_cover_tree": op10,
+    "op11_impact_ranking": op11,
+    "op12_spelling_variants": op12,
+    "op13_multiset_hash": op13,
 }
 
 LINES_SQL = f"""
@@ -174,4 +192,21 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """
 
-SQL = {"op3_line_dedup": LINES_SQL, "op8_source_mix": MIX_SQL, "op10_cover_tree": TOP_K_SQL}
+RANK_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS spot, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+tok AS (SELECT spot, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+ask AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+),
+len AS (SELECT spot, any_value(doc_id) AS doc_id, count(*) AS n FROM tok GROUP BY spot),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM len),
+post AS (SELECT spot, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM ask) GROUP BY spot, term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM post, whole GROUP BY term, docs),
+part AS (SELECT spot, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) AS score FROM post JOIN weight USING (term) JOIN len USING (spot), whole),
+told AS (SELECT item_id, doc_id, CAST(sum(score) AS BIGINT) AS score FROM part JOIN ask USING (term) JOIN len USING (spot) GROUP BY item_id, spot, doc_id HAVING sum(score) > 0)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM told WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER o <= 10
+"""
+
+SQL = {"op3_line_dedup": LINES_SQL, "op8_source_mix": MIX_SQL, "op10_cover_tree": TOP_K_SQL, "op11_impact_ranking": RANK_SQL}
