@@ -258,20 +258,60 @@ def test_signatures_estimate_weighted_jaccard():
 
 
 def test_bit_sketch_keeps_pairs_at_the_limit():
-    from tidemark.llm.bagminhash import LONGER, bit_words, least_agreeing
+    from tidemark.llm.bagminhash import LONGER, agreeing, bit_pieces, least_agreeing
 
     base = [f"w{i}" for i in range(1000)]
     texts = [" ".join(base), " ".join(base[:890] + [f"z{i}" for i in range(110)]), " ".join(base[:500] + [f"y{i}" for i in range(500)]), "one"]
-    words = bit_words(signatures(*bags(pa.array(texts)), 4, LONGER)).view(np.uint64)
-    half = LONGER // 64
+    pieces = bit_pieces(signatures(*bags(pa.array(texts)), 4, LONGER))
+    count = agreeing(pieces[0], pieces)
+    assert count[0] == LONGER and agreeing(pieces[3], pieces[3:])[0] == LONGER
+    assert count[1] >= least_agreeing(0.8) > count[2]  # 886 of 1,106 shingles; 496 of 1,496
+    assert count[2] == pytest.approx(LONGER * (1 + 3 * 496 / 1496) / 4, abs=70)
+    assert least_agreeing(1.0) == LONGER and least_agreeing(0.0) < LONGER / 4
 
-    def agreeing(i: int, j: int) -> int:
-        apart = words[i] ^ words[j]
-        return LONGER - sum(int(a | b).bit_count() for a, b in zip(apart[:half], apart[half:], strict=True))
 
-    assert agreeing(0, 0) == LONGER and agreeing(3, 3) == LONGER
-    assert agreeing(0, 1) >= least_agreeing(0.8) > agreeing(0, 2)  # 886 of 1,106 shingles; 496 of 1,496
-    assert least_agreeing(1.0) == LONGER and least_agreeing(0.0) < LONGER / 4
+def classes(texts):
+    """Smallest index of each text's class, by all pairs."""
+    bag = []
+    for t in texts:
+        w = t.encode().lower().split()
+        bag.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = sum((bag[i] & bag[j]).values())
+            if both and both >= 0.8 * (bag[i].total() + bag[j].total() - both) and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("most", [1024, 8])
+def test_near_duplicates_in_a_group_that_is_mostly_below_the_limit(spark, monkeypatch, most):
+    """A chain of edits from one text: neighbours at 0.8 or just below, the rest far less; and copies of one of them."""
+    from tidemark.llm import bagminhash
+
+    monkeypatch.setattr(bagminhash, "MOST", most)
+    random.seed(11)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(150):
+        own = list(words)
+        for at in random.sample(range(0, 120, 6), random.choice([1, 2, 3, 4, 6])):
+            own[at] = f"x{k}{at}"
+        texts.append(" ".join(own))
+        if k % 3 == 0:
+            words = own
+    texts += [texts[3]] * 20 + [texts[0].upper()]
+    group = classes(texts)
+    assert 5 < len(set(group)) < 140
+    rows = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(group))
+
+
+def test_keep_one_with_names_of_its_own(spark):
+    frame = spark.createDataFrame([(1, "a b c d e f", 7, "x", "r"), (2, "a b c d e f", 8, "y", "s"), (3, " ", 9, "z", "t")], "doc_id long, text string, _id long, keeper_key string, row string").withColumn("id", F.lit("i")).withColumn("wordless", F.lit(5))
+    assert [tuple(r) for r in keep_one(frame).orderBy("doc_id").collect()] == [(1, "a b c d e f", 7, "x", "r", "i", 5), (3, " ", 9, "z", "t", "i", 5)]
 
 
 def test_near_duplicates_against_all_pairs(spark, docs, hard):
