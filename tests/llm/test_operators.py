@@ -127,6 +127,75 @@ def test_interpolation(spark, hard, docs):
     assert interpolated_scores(hard, F.lit(False), F.lit(False)).where("score != 0").count() == 0
 
 
+def dictionary_model(tokens, role, rounds=20):
+    """Scores by dictionaries: bigram and unigram likelihoods mixed by weights per context-frequency bucket."""
+
+    def counts(*roles):
+        one, two, docs = Counter(), Counter(), 0
+        for i, words in tokens.items():
+            if role[i] in roles:
+                docs += 1
+                one.update(words)
+                two.update(zip([0, *words[:-1]], words, strict=True))
+        return one, two, docs
+
+    def chain(words, one, two, docs):
+        n = sum(one.values())
+        for before, w in zip([0, *words[:-1]], words, strict=True):
+            yield ((one[w], n), (two[before, w], docs if before == 0 else one[before]))
+
+    bucket = lambda h: int(math.log2(h)) + 1 if h else 0
+    fit = counts("fit")
+    v = len(fit[0])
+    dev = Counter(c for i, words in tokens.items() if role[i] == "dev" for c in chain(words, *fit))
+    weights = [[0.0] + [0.5] * 40, [0.0] + [0.5] * 40]
+    for _ in range(rounds):
+        mine, reach = [Counter(), Counter()], [Counter(), Counter()]
+        for (low, high), times in dev.items():
+            p, made, rest = 1 / (v + 1), [], []
+            for k, (c, h) in enumerate((low, high)):
+                share = weights[k][bucket(h)]
+                made.append(share * c / max(h, 1))
+                rest.append((1 - share) * p)
+                p = made[k] + rest[k]
+            left = 1.0
+            for k, (_, h) in ((1, high), (0, low)):
+                post = made[k] / (made[k] + rest[k])
+                mine[k][bucket(h)] += left * post * times
+                reach[k][bucket(h)] += left * times
+                left *= 1 - post
+        new = [[0.0], [0.0]]
+        for k in range(2):
+            for b in range(1, 41):
+                some = reach[k][b] > 0
+                new[k].append(min(max(mine[k][b] / reach[k][b], 1e-9), 1 - 1e-9) if some else new[k][b - 1] if b > 1 else 0.5)
+        done = max(abs(x - y) for k in range(2) for x, y in zip(new[k], weights[k], strict=True)) < 1e-4
+        weights = new
+        if done:
+            break
+    whole = counts("fit", "dev")
+    out = {}
+    for i, words in tokens.items():
+        total = 0.0
+        for steps in chain(words, *whole):
+            p = 1 / (len(whole[0]) + 1)
+            for k, (c, h) in enumerate(steps):
+                share = weights[k][bucket(h)]
+                p = share * c / max(h, 1) + (1 - share) * p
+            total += math.log10(p)
+        out[i] = total
+    return out
+
+
+@pytest.mark.parametrize("block_tokens", [700_000, 3_000])
+def test_interpolation_against_dictionaries(docs, block_tokens):
+    part = F.crc32(F.col("doc_id").cast("string")) % 7
+    got = {r.doc_id: r.score for r in interpolated_scores(docs, part != 2, part == 3, block_tokens=block_tokens).collect()}
+    tokens = {r.doc_id: [*(r.text or "").encode().lower().split(), None] for r in docs.collect()}
+    role = {i: {2: "rest", 3: "dev"}.get(zlib.crc32(str(i).encode()) % 7, "fit") for i in tokens}
+    assert got == pytest.approx(dictionary_model(tokens, role), rel=1e-9)
+
+
 def near(a: str, b: str) -> bool:
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b, strict=True)) == 1

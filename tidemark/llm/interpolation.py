@@ -149,23 +149,27 @@ def _answer(asked: pa.Table) -> pa.Table:
 
     The first row also carries the bucket's sums for N and V.
     """
-    asks = asked.to_pylist()
+    asked_by = asked.column("role").to_pylist()
     with np.errstate(over="ignore"):
-        keys = [np.cumsum(array_of(a["keys"], "<u8"), dtype=np.uint64) for a in asks]
+        keys = [np.cumsum(array_of(a.as_py(), "<u8"), dtype=np.uint64) for a in asked.column("keys")]
     sizes = np.array([len(x) for x in keys])
     uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([array_of(a["counts"], "<i8") for a in asks])
-    roles = np.repeat([a["role"] for a in asks], sizes)
-    fit = np.bincount(at[roles == FIT], weights=counts[roles == FIT], minlength=len(uniq)).astype(np.int64)
-    dev = np.bincount(at[roles == DEV], weights=counts[roles == DEV], minlength=len(uniq)).astype(np.int64)
-    both, ends = fit + dev, np.cumsum(sizes)
+    del keys
+    at, distinct = at.astype(np.int32), len(uniq)
+    del uniq
+    ends = np.cumsum(sizes)
     to = [at[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    fit, dev = np.zeros(distinct, dtype=np.int64), np.zeros(distinct, dtype=np.int64)
+    for role, x, a in zip(asked_by, to, asked.column("counts"), strict=True):
+        if role != REST:  # a block asks for a key once
+            (fit if role == FIT else dev)[x] += array_of(a.as_py(), "<i8")
+    both = fit + dev
     sums = [both.sum(), (both > 0).sum(), fit.sum(), (fit > 0).sum()]
     columns = {c: asked.column(c) for c in ("block", "role", "k", "bucket")}
-    columns["fit"] = pa.array([binary_of(fit[x]) if a["role"] == DEV else None for a, x in zip(asks, to, strict=True)], pa.binary())
+    columns["fit"] = pa.array([binary_of(fit[x]) if role == DEV else None for role, x in zip(asked_by, to, strict=True)], pa.binary())
     columns["all"] = pa.array([binary_of(both[x]) for x in to], pa.binary())
     for name, total in zip(("tokens", "distinct", "fit_tokens", "fit_distinct"), sums, strict=True):
-        columns[name] = pa.array([int(total)] + [0] * (len(asks) - 1), pa.int64())
+        columns[name] = pa.array([int(total)] + [0] * (len(to) - 1), pa.int64())
     return pa.table(columns)
 
 
@@ -195,6 +199,16 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(np.float64))[1], MOST_BUCKET)
 
 
+def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of some integer columns, and how often each stands there; columns are folded into one key, never held as a matrix."""
+    key = np.zeros(len(columns[0]), dtype=np.int64)
+    for x in columns:
+        values, code = np.unique(x, return_inverse=True)
+        _, key = np.unique(key * len(values) + code, return_inverse=True)  # both codes are below the number of rows
+    _, first, times = np.unique(key, return_index=True, return_counts=True)
+    return [x[first] for x in columns], times
+
+
 def _dev_counts(order: int, n: int, docs: int):
     """Dev blocks to the distinct (count, context) chains and how many tokens have each."""
 
@@ -205,8 +219,9 @@ def _dev_counts(order: int, n: int, docs: int):
         for row in left.to_pylist():
             block = _Block(row, order)
             levels = _levels(block, _counted(block, replies, order, "fit"), n, docs)
-            chains, times = np.unique(np.stack([x for level in levels for x in level], axis=1), axis=0, return_counts=True)
-            parts.append(pa.table({**{c: chains[:, i].astype(np.int64) for i, c in enumerate(names)}, "times": times.astype(np.int64)}))
+            chains, times = _distinct([x for level in levels for x in level])
+            del block, levels
+            parts.append(pa.table({**{c: x.astype(np.int64) for c, x in zip(names, chains, strict=True)}, "times": times.astype(np.int64)}))
         return pa.concat_tables(parts) if parts else pa.table({c: pa.array([], pa.int64()) for c in [*names, "times"]})
 
     return run
@@ -303,7 +318,7 @@ def learn_weights(chains: DataFrame, order: int, v: int, rounds: int = 20) -> np
 # --- operator -------------------------------------------------------------------------------------------------
 
 
-def interpolated_scores(docs: DataFrame, train: Column, dev: Column, order: int = 2, block_tokens: int = 1_000_000, rounds: int = 20) -> DataFrame:
+def interpolated_scores(docs: DataFrame, train: Column, dev: Column, order: int = 2, block_tokens: int = 700_000, rounds: int = 20) -> DataFrame:
     """log10 probability of every text under a model of order `order`.
 
     docs: doc_id, text; other columns are not read. train: texts to learn from; dev: those of them that decide the
