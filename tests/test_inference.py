@@ -133,7 +133,7 @@ def test_holm_equals_step_down_for_any_number_of_blocks(spark):
         want[i] = max(want[j] for j in range(len(ps)) if ps[j] == p)
     df = spark.createDataFrame([(i, p) for i, p in enumerate(ps)] + [(999, None)], "i int, p double")
     for blocks in (2, 16):
-        got = {r.i: r.p_holm for r in S.holm(df, "p", n_blocks=blocks).collect()}
+        got = {r.i: r.p_holm for r in S.holm(df, "p", block_rows=blocks).collect()}
         assert got.pop(999) is None
         assert got == pytest.approx(want, abs=1e-12)
 
@@ -152,3 +152,36 @@ def test_direction_counts_treat_zero_as_unchanged(spark):
     df = spark.createDataFrame([("a", x, y) for x, y in [(1.0, -1.0), (-1.0, 1e-300), (2.0, 3.0), (0.0, 1.0), (1e-300, -1e-300), (None, 1.0)]], "k string, a double, b double")
     r = T.direction_counts(df, "a", "b", ["k"]).first()
     assert (r.n, r.opposite, r.same, r.unchanged) == (5, 3, 1, 1)
+
+
+def test_corr_rows_against_resamples_built_row_by_row(spark):
+    data, df = frame(spark, 47, 9)
+    short = spark.createDataFrame([("short", dt.date(2000, m, 1), float(m * m), None, float(m)) for m in range(1, 5)] + [("flat", dt.date(2000, m, 1), 1.0, None, float(m)) for m in range(1, 9)], df.schema)
+    got = {r.k: r for r in B.corr_rows(df.unionByName(short), "y", "x", ["k"], lags=3, block=6, n_boot=300, seed=5).collect()}
+    starts = B.block_starts(47, 6, 300, 5)
+    for k in ("a", "b"):
+        rows = sorted((r[1], r[4], r[2]) for r in data if r[0] == k)
+        y, x = (np.array([r[i] for r in rows]) for i in (1, 2))
+        rank = lambda v: np.array([(v < u).sum() + ((v == u).sum() + 1) / 2 for u in v])
+        take = (starts[:, :, None] + np.arange(6)).reshape(300, -1)[:, :47]
+        row = got[k]
+        for r, low, high, (u, v) in ((row.r, row.ci_low, row.ci_high, (y, x)), (row.rho, row.rho_low, row.rho_high, (rank(y), rank(x)))):
+            assert r == pytest.approx(np.corrcoef(u, v)[0, 1])
+            assert (low, high) == pytest.approx(tuple(np.percentile([np.corrcoef(u[i], v[i])[0, 1] for i in take], [2.5, 97.5])))
+        b, se, _ = numpy_hac(y, [x], 3)
+        assert (row.slope, row.slope_high - row.slope) == pytest.approx((b[1], 1.959963984540054 * se[1]))
+        assert row.n == 47 and 0 < row.p < 1 and row.p == pytest.approx(incomplete_beta(22.5, 0.5, 1 - row.r**2))
+    assert got["short"].r is not None and got["short"].ci_low is None and got["short"].rho == pytest.approx(1.0)
+    assert got["flat"].n == 8 and got["flat"].r is None and got["flat"].slope is None and got["flat"].rho_low is None
+
+
+def test_measures_periods_and_versions(spark):
+    rows = [("a", dt.date(2000, m, 1), float(m), None if m < 4 else float(-m), 2.0 * m) for m in range(1, 11)]
+    df = spark.createDataFrame(rows, "k string, month date, y double, one double, two double")
+    periods = [("early", "2000-01-01", "2000-05-01"), ("all", "2000-01-01", "2000-12-01")]
+    long = T.by_measure_and_period(df, "y", {"one": "one", "two": "two"}, periods, ["k"], skip=[("one", "early")])
+    got = {(r.measure, r.period): (r.n, r.r) for r in B.corr_rows(long, "y", "x", ["k", "measure", "period"], n_boot=20).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {("one", "all"): 7, ("two", "early"): 5, ("two", "all"): 10}
+    assert got["one", "all"][1] == pytest.approx(-1.0)
+    versions = T.by_version(df, {"first": ("y", "one"), "second": ("y", "two")}, ["k"])
+    assert {r.version: r["count"] for r in versions.groupBy("version").count().collect()} == {"first": 7, "second": 7}

@@ -86,7 +86,7 @@ def test_long_percentile_equals_brute_force_on_both_paths(spark):
             want[(key, p)] = None if i < 5 else sum(x <= v for x in past) * 100.0 / i
     df = spark.createDataFrame(data, "k string, pos int, v double")
     for base, plain in ((0, 16), (0, 3), (2, 5), (9, 16)):
-        out = PC.past_percentile_long(df, "v", ["k"], "pos", 9, 5, "p", base_log2=base, plain_levels=plain, n_blocks=4)
+        out = PC.past_percentile_long(df, "v", ["k"], "pos", 9, 5, "p", base_log2=base, plain_levels=plain, block_rows=20)
         got = {(r.k, r.pos): r.p for r in out.collect()}
         assert got == want
 
@@ -110,10 +110,34 @@ def test_blocked_scans_equal_plain_windows(spark):
     df = spark.createDataFrame(data, "k string, o double, v int")
     w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     plain = df.select("k", "o", F.sum("v").over(w).alias("s"), F.max("v").over(w).alias("m"))
-    blocked = SN.running_max(SN.running_sum(df, ["k"], "o", "v", "s", 7), ["k"], "o", "v", "m", 5).select("k", "o", "s", "m")
+    blocked = SN.running_max(SN.running_sum(df, ["k"], "o", "v", "s", 20), ["k"], "o", "v", "m", 9).select("k", "o", "s", "m")
     assert rows(plain) == rows(blocked)
 
 
+def test_blocks_follow_the_rows_and_tied_values_are_split(spark):
+    rng = random.Random(8)
+    names = [f"customer#{i:06d}" + ("é" if i % 2 else "") for i in range(900)]
+    data = [("hot", 5.0, n, 1.0) for n in names] + [("hot", None, n + "z", 1.0) for n in names[:400]] + [("cold", float(i), "same", 1.0) for i in range(50)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "k string, v double, name string, w double")
+    blocks = SN.block_ids(df.withColumn("o", F.coalesce("v", F.lit(float("inf")))), ["k"], "o", 60, ["name"])
+    sizes = {(r.k, tuple(r._b)): r["count"] for r in blocks.groupBy("k", "_b").count().collect()}
+    assert sum(k == "hot" for k, _ in sizes) > 10 and max(sizes.values()) <= 120 and sum(k == "cold" for k, _ in sizes) == 1
+    out = SN.rank_rows(df, ["k"], F.col("v"), ["name"], "rank", block_rows=60, also_sum="w").collect()
+    for key in ("hot", "cold"):
+        mine = sorted((r for r in out if r.k == key), key=lambda r: (r.v is None, r.v or 0, r.name))
+        assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1)) == [int(r.running_w) for r in mine]
+
+
+def test_ties_of_every_type_keep_their_order(spark):
+    values = "(1, -3.5D, DATE'2001-02-03', true, TIMESTAMP'2001-02-03 04:05:06', 'ab'), (2, -3.5D, DATE'2001-02-04', false, TIMESTAMP'2001-02-03 04:05:07', 'a'), (3, NULL, NULL, NULL, NULL, NULL), (4, 0D, DATE'1969-01-01', true, TIMESTAMP'1960-01-01', 'é')"
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS t(i, d, day, flag, at, name)").withColumn("o", F.lit(1.0)).crossJoin(spark.range(30).select(F.col("id").alias("copy")))
+    for tie in ("d", "day", "flag", "at", "name"):
+        got = {(r.i, r.copy): r.n for r in SN.rank_rows(df, [], F.col("o"), [tie, "i", "copy"], "n", block_rows=7).collect()}
+        want = df.orderBy(tie, "i", "copy").select("i", "copy").collect()
+        assert got == {(r.i, r.copy): n for n, r in enumerate(want, 1)}
+
+
 def test_carry_forward_include_current(spark):
     df = spark.createDataFrame([("a", i, "h" + str(i) if i % 10 == 0 else None) for i in range(1, 45)], "k string, o int, v string")
     for block in (1, 8, 100):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.special import Z975, incomplete_beta
 from tidemark.operators.stats import complete
 
 # Executors need not have this package installed: the helpers travel with the function.
@@ -57,6 +58,50 @@ def resampled_corr(x: np.ndarray, y: np.ndarray, block: int, starts: np.ndarray)
         return (n * sxy - sx * sy) / np.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
 
 
+def _interval(x: np.ndarray, y: np.ndarray, block: int, starts: np.ndarray | None) -> tuple[float | None, float | None]:
+    """The middle 95% of the resampled r; nothing without starts or where no resample varies."""
+    if starts is None:
+        return None, None
+    r = resampled_corr(x, y, block, starts)
+    r = r[~np.isnan(r)]
+    return tuple(float(v) for v in np.percentile(r, [2.5, 97.5])) if len(r) else (None, None)
+
+
+def _corr(x: np.ndarray, y: np.ndarray) -> float | None:
+    x, y = x - x.mean(), y - y.mean()
+    size = math.sqrt((x @ x) * (y @ y))
+    return min(1.0, max(-1.0, float(x @ y) / size)) if size else None
+
+
+def _p(r: float | None, n: int) -> float | None:
+    return incomplete_beta((n - 2) / 2.0, 0.5, 1.0 - r * r) if r is not None and n > 2 else None
+
+
+def _hac_slope(x: np.ndarray, y: np.ndarray, lags: int) -> tuple[float | None, float | None]:
+    """Slope of y on x and its error, scores weighted by Bartlett's window over `lags` rows."""
+    x, y = x - x.mean(), y - y.mean()
+    if not x @ x:
+        return None, None
+    b = float(x @ y / (x @ x))
+    s = (y - b * x) * x
+    meat = s @ s + sum(2 * (1 - k / (lags + 1)) * float(s[k:] @ s[:-k]) for k in range(1, min(lags, len(s) - 1) + 1))
+    return b, math.sqrt(meat) / float(x @ x) if meat >= 0 else None
+
+
+class _Starts:
+    """Drawn starts of a task, shared by its groups of equal size."""
+
+    def __init__(self, block: int, n_boot: int, seed: int):
+        self.block, self.rest, self.drawn = block, (block, n_boot, seed), {}
+
+    def __call__(self, n: int) -> np.ndarray | None:
+        if n < self.block:
+            return None
+        if n not in self.drawn:
+            self.drawn[n] = block_starts(n, *self.rest)
+        return self.drawn[n]
+
+
 def block_bootstrap_corr(
     df: DataFrame,
     x: str,
@@ -82,18 +127,49 @@ def block_bootstrap_corr(
         ]
     )
 
-    drawn: dict[int, np.ndarray] = {}  # filled in the task, shared by its groups of equal size
+    starts = _Starts(block, n_boot, seed)
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        low = high = None
-        if len(pdf) >= block:
-            if len(pdf) not in drawn:
-                drawn[len(pdf)] = block_starts(len(pdf), block, n_boot, seed)
-            r = resampled_corr(pdf[x].to_numpy(float), pdf[y].to_numpy(float), block, drawn[len(pdf)])
-            r = r[~np.isnan(r)]
-            if len(r):
-                low, high = (float(v) for v in np.percentile(r, [2.5, 97.5]))
+        low, high = _interval(pdf[x].to_numpy(float), pdf[y].to_numpy(float), block, starts(len(pdf)))
         return pd.DataFrame([[*key, len(pdf), low, high]], columns=[*by, "n", "ci_low", "ci_high"])
 
     return complete(df, [x, y]).select(*by, order, F.col(x), F.col(y)).groupBy(*by).applyInPandas(one, schema)
+
+
+FIGURES = ("r", "p", "ci_low", "ci_high", "rho", "rho_p", "rho_low", "rho_high", "slope", "slope_low", "slope_high")
+
+
+def corr_rows(
+    df: DataFrame,
+    y: str,
+    x: str,
+    by: Sequence[str],
+    lags: int = 3,
+    block: int = 6,
+    n_boot: int = 5000,
+    seed: int = 42,
+    order: str = "month",
+) -> DataFrame:
+    """All that is told of one pair of changes: a row per group of complete pairs.
+
+    n; r and rho (ranks, ties share their mean) with two-sided p and the 95% interval over block resamples; the
+    slope of y on x with the 95% interval of its HAC error. The blocks of a group are drawn once; values and ranks are
+    summed over the same ones. Groups are monthly samples, bounded by the calendar. NULL: figures of a side that does not vary,
+    p of fewer than three pairs, intervals of groups shorter than a block.
+    """
+    schema = T.StructType([*(df.schema[c] for c in by), T.StructField("n", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in FIGURES)])
+    starts = _Starts(block, n_boot, seed)
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        a, b, n = pdf[y].to_numpy(float), pdf[x].to_numpy(float), len(pdf)
+        told = []
+        for u, v in ((a, b), (pdf[y].rank().to_numpy(float), pdf[x].rank().to_numpy(float))):
+            r = _corr(u, v)
+            told += [r, _p(r, n), *(_interval(u, v, block, starts(n)) if r is not None else (None, None))]
+        slope, se = _hac_slope(b, a, lags)
+        told += [slope, *((slope - Z975 * se, slope + Z975 * se) if se is not None else (None, None))]
+        return pd.DataFrame([[*key, n, *told]], columns=[*by, "n", *FIGURES]).astype(dict.fromkeys(FIGURES, "float64"))
+
+    return complete(df, [y, x]).select(*by, order, F.col(y), F.col(x)).groupBy(*by).applyInPandas(one, schema)

@@ -47,13 +47,13 @@ def past_percentile_long(
     alias: str,
     base_log2: int = 8,
     plain_levels: int = 16,
-    n_blocks: int | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact past percentile for long series, without comparing all pairs of rows.
 
     ``pos`` is a unique integer order, gaps and negative numbers allowed; rows without one
     raise. The tree spans all positions of the data: its height comes from the smallest and the
-    largest, and ``max_log2`` can only make it taller. ``n_blocks`` follows the rows unless given.
+    largest, and ``max_log2`` can only make it taller.
     Inside blocks
     of 2**base_log2 positions earlier rows are counted directly. Beyond that, row j comes
     before row i exactly once in the binary tree of positions: at the level where j lies in
@@ -68,7 +68,6 @@ def past_percentile_long(
     if missing:
         raise ValueError(f"{missing} rows have no {pos}")
     max_log2 = max(max_log2 or 0, (int(high - low) if rows else 0).bit_length())
-    n_blocks = n_blocks or max(64, -(-rows // BLOCK_ROWS))
     given, pos = pos, "_pos"
     df = df.withColumn(pos, F.col(given).cast("long") - F.lit(int(low or 0)))
     block = Window.partitionBy(*by, F.expr(f"shiftright({pos}, {base_log2})")).orderBy(pos)
@@ -76,7 +75,7 @@ def past_percentile_long(
     near = _count_at_or_below(F.collect_list(value).over(before), F.col(value))
     out = df.select("*", near.alias("_near_hits"), F.count(value).over(before).alias("_near_past"))
     if max_log2 > base_log2:
-        out = out.join(_far_counts(df, value, by, pos, base_log2, max_log2, plain_levels, n_blocks), [*by, pos], "left")
+        out = out.join(_far_counts(df, value, by, pos, base_log2, max_log2, plain_levels, block_rows), [*by, pos], "left")
     else:
         out = out.select("*", F.lit(0).alias("_far_hits"), F.lit(0).alias("_far_past"))
     past = F.col("_near_past") + F.coalesce("_far_past", F.lit(0))
@@ -86,7 +85,7 @@ def past_percentile_long(
 
 
 def _far_counts(
-    df: DataFrame, value: str, by: Sequence[str], pos: str, base_log2: int, max_log2: int, plain_levels: int, n_blocks: int
+    df: DataFrame, value: str, by: Sequence[str], pos: str, base_log2: int, max_log2: int, plain_levels: int, block_rows: int
 ) -> DataFrame:
     """Earlier rows in other blocks: how many, and how many at or below the value."""
     levels = F.explode(F.sequence(F.lit(base_log2), F.lit(max_log2 - 1)))
@@ -109,7 +108,7 @@ def _far_counts(
     if max_log2 > plain_levels:
         big = per_value.where(F.col("_level") >= plain_levels)
         totals = big.groupBy(*node).agg(F.sum("_left").alias("_earlier"))
-        run = running_sum(big, node, "_x", "_left", "_at_or_below", n_blocks).join(totals, node)
+        run = running_sum(big, node, "_x", "_left", "_at_or_below", block_rows).join(totals, node)
         counted = counted.unionByName(run.select(*out_cols))
     return (
         tree.where(F.col("_right") == 1)

@@ -157,7 +157,7 @@ def refit_variants(
     order: str = "month",
     with_p: bool = True,
 ) -> DataFrame:
-    """Refit with another dependent column and without some months.
+    """Refit with another dependent column and without some months; r beside each fit (with one regressor, its sign and the root of r2).
 
     ``variants``: name -> (dependent column, months to leave out). All variants
     share one scan: each row is expanded to the variants that use it.
@@ -174,7 +174,8 @@ def refit_variants(
         ]
     )
     long = df.select(*by, order, x, F.explode(rows).alias("_v")).select(*by, "_v.variant", order, F.col("_v.dep").alias("dep"), x)
-    return ols_hac(long, "dep", [x], [*by, "variant"], lags, order, with_p=with_p)
+    fit = ols_hac(long, "dep", [x], [*by, "variant"], lags, order, with_p=with_p)
+    return fit.withColumn("r", F.signum("coefficient") * F.sqrt(F.greatest("r2", F.lit(0.0))))
 
 
 def _as_date(text: str):

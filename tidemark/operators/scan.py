@@ -49,21 +49,47 @@ def carry_forward(
     )
 
 
-def block_ids(df: DataFrame, by: Sequence[str], order: str, n_blocks: int) -> DataFrame:
-    """Split each key into about ``n_blocks`` even ranges of a numeric ``order``.
-
-    Cut points come from approximate percentiles (a mergeable sketch). Equal
-    values always share a block, so results do not depend on the cut points. A sketch
-    can differ between two runs of one task, so the cut points (one row per key) are
-    written out: every step and every retry uses the same blocks.
+TIE_BYTES, TIE_CHUNKS = 6, 8  # of a text tie-breaker: bytes to one number, and how many numbers
+
+
+def _numbers(df: DataFrame, name: str) -> list[Column]:
+    """A column as numbers in its own order, each to split what equals in those before it; missing values first."""
+    kind, c = df.schema[name].dataType.typeName(), F.col(name)
+    if kind in ("string", "varchar", "char"):
+        chunk = lambda i: F.hex(F.substring(F.encode(c, "UTF-8"), TIE_BYTES * i + 1, TIE_BYTES))
+        parts = [F.conv(F.rpad(chunk(i), 2 * TIE_BYTES, "0"), 16, 10).cast("double") for i in range(TIE_CHUNKS)]
+    elif kind == "date":
+        parts = [F.unix_date(c).cast("double")]
+    elif kind.startswith("timestamp"):
+        parts = [F.unix_micros(c.cast("timestamp")).cast("double")]
+    elif kind in ("byte", "short", "integer", "long", "float", "double", "boolean") or kind.startswith("decimal"):
+        parts = [c.cast("double")]
+    else:
+        parts = []
+    return [F.coalesce(x, F.lit(float("-inf"))) for x in parts]
+
+
+def block_ids(df: DataFrame, by: Sequence[str], order: str, block_rows: int = BLOCK_ROWS, ties: Sequence[str] = ()) -> DataFrame:
+    """Add ``_b``: blocks of each key that ascend with a numeric ``order``, then with ``ties``.
+
+    A key of up to twice ``block_rows`` rows is one block. A larger one is cut into as many as its rows ask for, at
+    approximate percentiles of the order (a mergeable sketch). Equal values share a block; one that is still too large is cut
+    again by the first of ``ties``, and so on, so rows of one value, or without any, spread as well (rows that equal in
+    all of them, or in the first bytes of a text, stay together). A sketch can differ between two runs of one task, so the
+    cut points (a row for each large block) are written out: every step and every retry uses the same blocks.
     """
-    steps = [i / n_blocks for i in range(1, n_blocks)]
-    cuts = df.groupBy(*by).agg(F.percentile_approx(order, steps, 10_000).alias("_cuts"))
-    cuts = cut_lineage(cuts)
-    tagged = df.join(cuts, list(by), "left") if by else df.withColumn("_cuts", cuts.scalar())
-    return tagged.withColumn(
-        "_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))
-    ).drop("_cuts")
+    d = df.withColumn("_b", F.array().cast("array<int>"))
+    for level in [F.col(order).cast("double"), *(x for t in ties for x in _numbers(df, t))]:
+        large = cut_lineage(d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 2 * block_rows))
+        most = large.agg(F.max("_rows")).first()[0]
+        if not most:
+            break
+        n = -(-most // block_rows)
+        cuts = d.join(large.drop("_rows"), [*by, "_b"], "left_semi").groupBy(*by, "_b")
+        cuts = cut_lineage(cuts.agg(F.percentile_approx(level, [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("_cuts")))
+        below = F.coalesce(F.size(F.filter("_cuts", lambda c: c < level)), F.lit(0))  # noqa: B023  used within this turn
+        d = d.join(cuts, [*by, "_b"], "left").withColumn("_b", F.concat("_b", F.array(below))).drop("_cuts")
+    return d
 
 
 def running_sum(
@@ -72,11 +98,11 @@ def running_sum(
     order: str,
     value: str,
     alias: str,
-    n_blocks: int = 64,
+    block_rows: int = BLOCK_ROWS,
     include_current: bool = True,
 ) -> DataFrame:
     """Running sum over a numeric order that is unique inside each key, block by block."""
-    d = block_ids(df, by, order, n_blocks)
+    d = block_ids(df, by, order, block_rows)
     inside = Window.partitionBy(*by, "_b").orderBy(order)
     inside = inside.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     blocks = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,9 +119,9 @@ def running_sum(
     )
 
 
-def running_max(df: DataFrame, by: Sequence[str], order: str, value: str, alias: str, n_blocks: int = 64) -> DataFrame:
+def running_max(df: DataFrame, by: Sequence[str], order: str, value: str, alias: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Running maximum (current row included), block by block."""
-    d = block_ids(df, by, order, n_blocks)
+    d = block_ids(df, by, order, block_rows)
     inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     blocks = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     summary = (
@@ -112,16 +138,16 @@ def running_max(df: DataFrame, by: Sequence[str], order: str, value: str, alias:
 
 
 def rank_rows(
-    df: DataFrame, by: Sequence[str], order: Column, ties: Sequence[str], alias: str, n_blocks: int = 64, also_sum: str | None = None
+    df: DataFrame, by: Sequence[str], order: Column, ties: Sequence[str], alias: str, block_rows: int = BLOCK_ROWS, also_sum: str | None = None
 ) -> DataFrame:
-    """Row number by a numeric order, then by ``ties``; block by block, so any group size works.
+    """Row number by a numeric order, then by ``ties``; block by block, so any group size works, also if all values tie.
 
     With ``also_sum`` the running sum of that column in rank order is added as
     ``running_<column>``. Rows without an order value come last.
     """
-    # Rows without an order value share the last block.
+    # Rows without an order value stand in the last blocks.
     d = cut_lineage(df.withColumn("_o", F.coalesce(order.cast("double"), F.lit(float("inf")))))
-    d = block_ids(d, by, "_o", n_blocks)
+    d = block_ids(d, by, "_o", block_rows, ties)
     inside = Window.partitionBy(*by, "_b").orderBy("_o", *ties).rowsBetween(Window.unboundedPreceding, 0)
     blocks = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = [F.count(F.lit(1)).alias("_n")] + ([F.sum(also_sum).alias("_s")] if also_sum else [])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.panel import forward_changes
 from tidemark.operators.percentile import past_percentile, trailing_percentile
 from tidemark.operators.regression import ols_hac
-from tidemark.operators.scan import block_ids, running_max
+from tidemark.operators.scan import BLOCK_ROWS, block_ids, running_max
 from tidemark.operators.stats import geo_mean_pct, wilson_ci
 from tidemark.session import cut_lineage
 
@@ -171,7 +171,7 @@ def signal_difference(months: DataFrame, by: Sequence[str], max_horizon: int, wi
     return fit.select(*by, "n", *cols, *([F.col("p").alias("p_hac")] if with_p else []))
 
 
-def holm(df: DataFrame, p: str, alias: str = "p_holm", n_blocks: int = 64) -> DataFrame:
+def holm(df: DataFrame, p: str, alias: str = "p_holm", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Holm step-down adjustment over all tests in the table (NULL p stays NULL).
 
     Equal p-values share the largest multiplier of their run, so the work is on
@@ -181,9 +181,9 @@ def holm(df: DataFrame, p: str, alias: str = "p_holm", n_blocks: int = 64) -> Da
     """
     df = cut_lineage(df)
     tests = df.where(F.col(p).isNotNull())
-    distinct = block_ids(tests.groupBy(p).agg(F.count(F.lit(1)).alias("_ties")), [], p, n_blocks)
+    distinct = block_ids(tests.groupBy(p).agg(F.count(F.lit(1)).alias("_ties")), [], p, block_rows)
     inside = Window.partitionBy("_b").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    # At most n_blocks rows: the number of tests per block.
+    # One row a block: its number of tests.
     blocks = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per_block = distinct.groupBy("_b").agg(F.sum("_ties").alias("_t")).select(
         "_b",
@@ -195,7 +195,7 @@ def holm(df: DataFrame, p: str, alias: str = "p_holm", n_blocks: int = 64) -> Da
         .join(F.broadcast(per_block), "_b")
         .select(p, ((F.col("_m") - F.col("_before") - F.col("_earlier")) * F.col(p)).alias("_step"))
     )
-    adjusted = running_max(stepped, [], p, "_step", "_adj", n_blocks).select(
+    adjusted = running_max(stepped, [], p, "_step", "_adj", block_rows).select(
         p, F.least(F.lit(1.0), F.col("_adj")).alias(alias)
     )
     return df.join(adjusted, p, "left")

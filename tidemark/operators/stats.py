@@ -59,28 +59,38 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], with_p: bool = Tr
     return pearson(ranks, "_rx", "_ry", by, with_p).withColumnRenamed("r", "rho")
 
 
-def corr_by_period(
-    df: DataFrame, x: str, y: str, periods: Sequence[tuple[str, str, str]], by: Sequence[str], month: str = "month"
+def by_measure_and_period(
+    df: DataFrame, y: str, measures: Mapping[str, str], periods: Sequence[tuple[str, str, str]], by: Sequence[str], month: str = "month", skip: Sequence[tuple[str, str]] = ()
 ) -> DataFrame:
-    """Correlation inside each named period; a month may belong to several periods."""
+    """Long sample for split-sample figures: ``y`` beside each measure (as ``x``) in each named period.
+
+    A month may belong to several periods. ``skip``: (measure, period) combinations that are left out, such as a period that begins before
+    the measure does. One pass over ``df``: each row is expanded to the samples it belongs to.
+    """
     spans = F.array(
         *[
-            F.struct(F.lit(n).alias("period"), F.lit(a).cast("date").alias("a"), F.lit(z).cast("date").alias("z"))
+            F.struct(F.lit(m).alias("measure"), F.col(c).cast("double").alias("x"), F.lit(n).alias("period"), F.lit(a).cast("date").alias("a"), F.lit(z).cast("date").alias("z"))
+            for m, c in measures.items()
             for n, a, z in periods
+            if (m, n) not in set(skip)
         ]
     )
-    tagged = (
-        complete(df, [x, y])
-        .withColumn("_p", F.explode(F.filter(spans, lambda p: F.col(month).between(p["a"], p["z"]))))
-        .withColumn("period", F.col("_p.period"))
-    )
-    return pearson(tagged, x, y, [*by, "period"], with_p=False)
+    mine = F.filter(spans, lambda p: F.col(month).between(p["a"], p["z"]) & p["x"].isNotNull())
+    tagged = df.where(F.col(y).isNotNull()).select(*by, month, F.col(y).alias("y"), F.explode(mine).alias("_p"))
+    return tagged.select(*by, "_p.measure", "_p.period", month, "y", "_p.x")
+
+
+def by_version(df: DataFrame, versions: Mapping[str, tuple[str, str]], by: Sequence[str], order: str = "month") -> DataFrame:
+    """Long sample of versions (name -> dependent and independent column) on the rows that all of them have."""
+    whole = complete(df, sorted({c for pair in versions.values() for c in pair}))
+    rows = F.array(*[F.struct(F.lit(n).alias("version"), F.col(a).alias("y"), F.col(b).alias("x")) for n, (a, b) in versions.items()])
+    return whole.select(*by, order, F.inline(rows))
 
 
 def lead_lag_corr(
     df: DataFrame, x: str, y: str, ks: Sequence[int], by: Sequence[str], order: str = "month"
 ) -> DataFrame:
-    """Correlation of x with y shifted by k rows (k > 0: y leads)."""
+    """Correlation of x with y shifted by k rows (k > 0: y leads), with its two-sided p."""
     w = Window.partitionBy(*by).orderBy(order)
     shifted = df.select(*by, x, *[F.lag(y, k).over(w).alias(f"_k{i}") for i, k in enumerate(ks)])
     aggs = []
@@ -94,7 +104,7 @@ def lead_lag_corr(
             for i, k in enumerate(ks)
         ]
     )
-    return wide.select(*by, F.explode(rows).alias("_e")).select(*by, "_e.k", "_e.r", "_e.n")
+    return wide.select(*by, F.explode(rows).alias("_e")).select(*by, "_e.k", "_e.r", "_e.n").withColumn("p", corr_two_sided("r", "n"))
 
 
 def rebase(cols: Sequence[str], base_month: str, by: Sequence[str], month: str = "month") -> list[Column]:

@@ -140,9 +140,10 @@ def ordered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def rank_placeable(df: DataFrame, flag: str, value: str, ties: Sequence[str] = (), alias: str = "rank") -> DataFrame:
-    """Rank by value among rows with flag = 1; NULL for the others.
+    """Rank by value among rows with flag = 1; NULL for the others, which are not ranked at all.
 
     Ranks are found block by block (see ``scan.rank_rows``), so no task holds all entities.
     """
-    ranked = rank_rows(df, [flag], -F.col(value), list(ties), alias)
-    return ranked.withColumn(alias, F.when(F.col(flag) == 1, F.col(alias)))
+    ranked = rank_rows(df.where(F.col(flag) == 1), [], -F.col(value), list(ties), alias)
+    rest = df.where(F.coalesce(F.col(flag) != 1, F.lit(True))).withColumn(alias, F.lit(None).cast("int"))
+    return ranked.unionByName(rest.select(ranked.columns))

@@ -146,7 +146,7 @@ def ols_hac_two(spark, sf):
     return rounded(R.ols_hac(link(spark, sf), "px", ["idx", "dd"], BY, HAC_LAGS, with_p=False))
 
 
-N_BOOT, SEED = 1000, 42
+N_BOOT, SEED = 5000, 42
 _P = B.PRIME
 
 
@@ -155,6 +155,16 @@ def _round_sql(src: str, dst: str, add: int) -> str:
     return f"{dst} AS (SELECT *  REPLACE (((({sq} * {sq}) % {_P}) * x + {add}) % {_P} AS x) FROM {src})"
 
 
+def draws_sql(source: str) -> str:
+    """CTEs ending in ``draws``: the blocks of every resample, for each sample size n in ``source``."""
+    return f"""
+sizes AS (SELECT DISTINCT n, CAST(ceil(n / {BLOCK}.0) AS BIGINT) AS k FROM {source}),
+d0 AS (SELECT n, k, rep, blk, (rep * k + blk + {SEED} * 1000003 + 1) % {_P} AS x FROM sizes,
+    (SELECT unnest(range(0, {N_BOOT})) AS rep), LATERAL (SELECT unnest(range(0, k)) AS blk)),
+{_round_sql("d0", "d1", B.ROUND_ADD[0])}, {_round_sql("d1", "d2", B.ROUND_ADD[1])}, {_round_sql("d2", "d3", B.ROUND_ADD[2])},
+draws AS (SELECT n, rep, x % (n - {BLOCK} + 1) AS start_, CASE WHEN blk = k - 1 THEN n - (k - 1) * {BLOCK} ELSE {BLOCK} END AS len FROM d3)"""
+
+
 @query(
     "bootstrap_ci",
     "T3",
@@ -162,11 +172,7 @@ def _round_sql(src: str, dst: str, add: int) -> str:
 t AS (SELECT series_id, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY month) - 1 AS t,
     px - AVG(px) OVER (PARTITION BY series_id) AS x, idx - AVG(idx) OVER (PARTITION BY series_id) AS y,
     COUNT(*) OVER (PARTITION BY series_id) AS n FROM pairs_ok),
-sizes AS (SELECT DISTINCT n, CAST(ceil(n / {BLOCK}.0) AS BIGINT) AS k FROM t),
-d0 AS (SELECT n, k, rep, blk, (rep * k + blk + {SEED} * 1000003 + 1) % {_P} AS x FROM sizes,
-    (SELECT unnest(range(0, {N_BOOT})) AS rep), LATERAL (SELECT unnest(range(0, k)) AS blk)),
-{_round_sql("d0", "d1", B.ROUND_ADD[0])}, {_round_sql("d1", "d2", B.ROUND_ADD[1])}, {_round_sql("d2", "d3", B.ROUND_ADD[2])},
-draws AS (SELECT n, rep, x % (n - {BLOCK} + 1) AS start_, CASE WHEN blk = k - 1 THEN n - (k - 1) * {BLOCK} ELSE {BLOCK} END AS len FROM d3),
+{draws_sql("t")},
 m AS (SELECT t.series_id, d.rep, COUNT(*) AS n, SUM(x) AS sx, SUM(y) AS sy, SUM(x * x) AS sxx, SUM(y * y) AS syy, SUM(x * y) AS sxy
   FROM (SELECT *, unnest(range(0, len)) AS j FROM draws) d JOIN t ON t.n = d.n AND t.t = d.start_ + d.j GROUP BY t.series_id, d.rep),
 q AS (SELECT series_id, n, (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) AS rr FROM m)
@@ -177,15 +183,46 @@ def bootstrap_ci(spark, sf):
     return rounded(B.block_bootstrap_corr(link(spark, sf), "px", "idx", BY, BLOCK, N_BOOT, SEED))
 
 
+def corr_rows_sql(source: str, keys: str) -> str:
+    """CTEs ending in ``told``: the figures of corr_rows for complete pairs (y, x) of ``source``. Resamples are built row by row."""
+    k = f"PARTITION BY {keys}"
+    rank = lambda c: f"rank() OVER ({k} ORDER BY {c}) + (COUNT(*) OVER ({k}, {c}) - 1) / 2.0"
+    each = ", ".join(f"t.{c.strip()}" for c in keys.split(","))
+    sums = lambda a, b: f"COUNT(*) * SUM({a} * {b}) - SUM({a}) * SUM({b})"
+    return f"""
+ranked AS (SELECT {keys}, month, y, x, CAST({rank("y")} AS DOUBLE) AS ry, CAST({rank("x")} AS DOUBLE) AS rx FROM {source}),
+t AS (SELECT {keys}, ROW_NUMBER() OVER ({k} ORDER BY month) - 1 AS t, COUNT(*) OVER ({k}) AS n,
+    {", ".join(f"{c} - AVG({c}) OVER ({k}) AS {c}" for c in ("y", "x", "ry", "rx"))} FROM ranked),
+{draws_sql("t")},
+q AS (SELECT {each}, d.rep, ({sums("y", "t.x")}) / sqrt(({sums("y", "y")}) * ({sums("t.x", "t.x")})) AS rr,
+    ({sums("ry", "rx")}) / sqrt(({sums("ry", "ry")}) * ({sums("rx", "rx")})) AS rk
+  FROM (SELECT n, rep, start_, unnest(range(0, len)) AS j FROM draws) d JOIN t ON t.n = d.n AND t.t = d.start_ + d.j GROUP BY {each}, d.rep),
+ends AS (SELECT {keys}, quantile_cont(rr, 0.025) AS ci_low, quantile_cont(rr, 0.975) AS ci_high, quantile_cont(rk, 0.025) AS rho_low, quantile_cont(rk, 0.975) AS rho_high FROM q GROUP BY {keys}),
+mids AS (SELECT {keys}, COUNT(*) AS n, corr(y, x) AS r, corr(ry, rx) AS rho FROM ranked GROUP BY {keys}),
+{hac_sql(source, keys, "y", "x", str(HAC_LAGS), HAC_LAGS, "month")},
+told AS (SELECT {keys}, m.n, r, {corr_p_sql("r", "m.n")} AS p, ci_low, ci_high, rho, {corr_p_sql("rho", "m.n")} AS rho_p, rho_low, rho_high,
+    coefficient AS slope, coefficient - 1.959963984540054 * se AS slope_low, coefficient + 1.959963984540054 * se AS slope_high
+  FROM mids m JOIN ends USING ({keys}) JOIN hac USING ({keys}))"""
+
+
+MEASURES = {"index": "idx_logret_m", "rate": "fx_logret_m"}
+LEFT_OUT = [("rate", "all")]
+FIGURES = ", ".join(B.FIGURES)
+
+
 @query(
     "corr_by_period",
-    "T7",
-    f"""WITH {LINK_SQL}, p AS (SELECT * FROM (VALUES {", ".join(f"('{n}', DATE '{a}', DATE '{z}')" for n, a, z in PERIODS)}) v(period, a, z))
-SELECT series_id, period, COUNT(*) AS n, {r("corr(px, idx)")} AS r FROM pairs_ok JOIN p ON month BETWEEN a AND z
-GROUP BY series_id, period""",
+    "T1 T2 T3 T5 T7",
+    f"""WITH {CHANGES_SQL}, p AS (SELECT * FROM (VALUES {", ".join(f"('{n}', DATE '{a}', DATE '{z}')" for n, a, z in PERIODS)}) v(period, a, z)),
+measured AS ({" UNION ALL ".join(f"SELECT series_id, month, '{m}' AS measure, px_logret_m AS y, {c} AS x FROM changes" for m, c in MEASURES.items())}),
+src AS (SELECT series_id, measure, period, month, y, x FROM measured JOIN p ON month BETWEEN a AND z
+  WHERE y IS NOT NULL AND x IS NOT NULL AND {" AND ".join(f"NOT (measure = '{m}' AND period = '{n}')" for m, n in LEFT_OUT)}),
+{corr_rows_sql("src", "series_id, measure, period")}
+SELECT series_id, measure, period, n, {rs(FIGURES)} FROM told""",
 )
 def corr_by_period(spark, sf):
-    return rounded(T.corr_by_period(link(spark, sf), "px", "idx", PERIODS, BY))
+    long = T.by_measure_and_period(changes(spark, sf), "px_logret_m", MEASURES, PERIODS, BY, skip=LEFT_OUT)
+    return rounded(B.corr_rows(long, "y", "x", [*BY, "measure", "period"], HAC_LAGS, BLOCK, N_BOOT, SEED))
 
 
 KS = (-2, -1, 0, 1, 2, 3)
@@ -195,8 +232,9 @@ KS = (-2, -1, 0, 1, 2, 3)
     "lead_lag",
     "T8 W11",
     f"""WITH {LINK_SQL},
-l AS ({" UNION ALL ".join(f"SELECT series_id, {k} AS k, px, {'lag' if k >= 0 else 'lead'}(idx, {abs(k)}) OVER (PARTITION BY series_id ORDER BY month) AS y FROM link" for k in KS)})
-SELECT series_id, k, {r("corr(px, y)")} AS r, COUNT(*) AS n FROM l WHERE px IS NOT NULL AND y IS NOT NULL GROUP BY series_id, k""",
+l AS ({" UNION ALL ".join(f"SELECT series_id, {k} AS k, px, {'lag' if k >= 0 else 'lead'}(idx, {abs(k)}) OVER (PARTITION BY series_id ORDER BY month) AS y FROM link" for k in KS)}),
+a AS (SELECT series_id, k, corr(px, y) AS r, COUNT(*) AS n FROM l WHERE px IS NOT NULL AND y IS NOT NULL GROUP BY series_id, k)
+SELECT series_id, k, {r("r")} AS r, n, {r(corr_p_sql("r", "n"))} AS p FROM a""",
 )
 def lead_lag(spark, sf):
     return rounded(T.lead_lag_corr(link(spark, sf), "px", "idx", KS, BY))
@@ -278,8 +316,9 @@ SKIP = ["1998-10-01", "1998-11-01"]
 v AS (SELECT series_id, 'all months' AS variant, month, px_logret_m AS y, idx_logret_m AS x FROM changes
   UNION ALL SELECT series_id, 'without two months', month, CASE WHEN month NOT IN ({", ".join(f"DATE '{d}'" for d in SKIP)}) THEN px_logret_m END, idx_logret_m FROM changes
   UNION ALL SELECT series_id, 'deflated', month, px_real_logret_m, idx_logret_m FROM changes),
-{hac_sql("v", "series_id, variant", "y", "x", str(HAC_LAGS), HAC_LAGS, "month")}
-SELECT series_id, variant, {rs("coefficient, se, r2")}, n FROM hac""",
+{hac_sql("v", "series_id, variant", "y", "x", str(HAC_LAGS), HAC_LAGS, "month")},
+rr AS (SELECT series_id, variant, corr(y, x) AS r FROM v WHERE y IS NOT NULL AND x IS NOT NULL GROUP BY series_id, variant)
+SELECT series_id, variant, {rs("coefficient, se, r2, r")}, n FROM hac JOIN rr USING (series_id, variant)""",
 )
 def refit_variants(spark, sf):
     fit = R.refit_variants(
@@ -291,31 +330,25 @@ def refit_variants(spark, sf):
         },
         "idx_logret_m", BY, HAC_LAGS, with_p=False,
     )
-    return rounded(fit.select("series_id", "variant", "coefficient", "se", "r2", "n"))
+    return rounded(fit.select("series_id", "variant", "coefficient", "se", "r2", "r", "n"))
 
 
-PAIRED = ("px_logret_m", "idx_logret_m", "px_real_logret_m", "px_fx_logret_m")
+VERSIONS = {"nominal": ("px_logret_m", "idx_logret_m"), "real": ("px_real_logret_m", "idx_logret_m"), "in the other currency": ("px_fx_logret_m", "idx_logret_m")}
+PAIRED = sorted({c for pair in VERSIONS.values() for c in pair})
 
 
 @query(
     "paired_sample",
-    "T13 J10",
+    "T1 T2 T3 T5 T13 J10",
     f"""WITH {CHANGES_SQL},
-d AS (SELECT * FROM changes WHERE {" AND ".join(f"{c} IS NOT NULL" for c in PAIRED)})
-SELECT series_id, 'nominal' AS version, COUNT(*) AS n, {r("corr(px_logret_m, idx_logret_m)")} AS r, {r("regr_slope(px_logret_m, idx_logret_m)")} AS slope FROM d GROUP BY series_id
-UNION ALL SELECT series_id, 'real', COUNT(*), {r("corr(px_real_logret_m, idx_logret_m)")}, {r("regr_slope(px_real_logret_m, idx_logret_m)")} FROM d GROUP BY series_id""",
+common AS (SELECT * FROM changes WHERE {" AND ".join(f"{c} IS NOT NULL" for c in PAIRED)}),
+src AS ({" UNION ALL ".join(f"SELECT series_id, '{n}' AS version, month, {a} AS y, {b} AS x FROM common" for n, (a, b) in VERSIONS.items())}),
+{corr_rows_sql("src", "series_id, version")}
+SELECT series_id, version, n, {rs(FIGURES)} FROM told""",
 )
 def paired_sample(spark, sf):
-    d = T.complete(changes(spark, sf), PAIRED)
-
-    def version(c, name):
-        return F.struct(
-            F.lit(name).alias("version"), F.count(F.lit(1)).alias("n"),
-            T.corr(c, "idx_logret_m").alias("r"), F.regr_slope(c, "idx_logret_m").alias("slope"),
-        )
-
-    both = d.groupBy("series_id").agg(F.array(version("px_logret_m", "nominal"), version("px_real_logret_m", "real")).alias("_v"))
-    return rounded(both.select("series_id", F.inline("_v")))
+    long = T.by_version(changes(spark, sf), VERSIONS, BY)
+    return rounded(B.corr_rows(long, "y", "x", [*BY, "version"], HAC_LAGS, BLOCK, N_BOOT, SEED))
 
 
 @query(
