@@ -82,6 +82,14 @@ def test_quoted_cells_are_read_whole_when_a_file_is_split(spark, tmp_path):
     assert all(sorted(v) == list(range(2, len(v) + 2)) for v in files.values())
 
 
+def test_a_quote_that_is_never_closed_is_named(spark, tmp_path):
+    (tmp_path / "ok.csv").write_text('a,b\n1,"x\ny"\n')
+    (tmp_path / "open.csv").write_text('a,b\n1,x\n2,"never\nclosed\n3,z\n')
+    with pytest.raises(ValueError, match="record 3 of .*open.csv"):
+        text.read_raw_csv(spark, str(tmp_path), ["a", "b"], "S2")
+    assert rows(text.read_raw_csv(spark, str(tmp_path / "ok.csv"), ["a", "b"], "S2").select("a", "b")) == [("1", "x\ny")]
+
+
 def test_longest_file_wins_among_good_headers(spark):
     df = spark.createDataFrame([("a", 1)] * 3 + [("b", 1)] * 5 + [("c", 0)] * 9, "source_file string, ok int")
     used, report = text.pick_longest_file(df, F.col("ok") == 1)
@@ -95,6 +103,30 @@ def test_missing_inputs_are_named(spark):
     assert store.stub(spark, "x int, y string").count() == 0
 
 
+def test_available_tells_missing_empty_and_filled_tables(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.5)], "k string, v double")
+    df.write.parquet(str(tmp_path / "full"))
+    df.limit(0).write.parquet(str(tmp_path / "empty"))
+    (tmp_path / "bare").mkdir()
+    df.createOrReplaceTempView("shown")
+    tables = {t: str(tmp_path / t) for t in ("full", "empty", "bare", "none")} | {"shown": None, "hidden": None}
+    assert store.available(spark, tables) == {"full", "full_data", "empty", "shown", "shown_data"}
+    with pytest.raises(FileNotFoundError, match="empty_data, none"):
+        store.require_tables(store.available(spark, tables), ["full_data", "empty_data", "none"])
+
+
+def test_a_failed_rebuild_leaves_the_old_tables(spark, tmp_path):
+    folder, df = str(tmp_path / "build"), spark.createDataFrame([("a", 1.5), ("b", None)], "k string, v double")
+    store.save_tables({"t": df, "gone": df}, folder)
+    bad = df.withColumn("v", F.when(F.col("k") == "b", F.raise_error(F.lit("broken input"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="broken input"):
+        store.save_tables({"new": df, "t": bad}, folder)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["build"]
+    assert sorted(p.name for p in (tmp_path / "build").iterdir()) == ["gone", "t"] and rows(store.load_tables(spark, folder, ["t"])["t"]) == rows(df)
+    store.save_tables({"t": store.load_tables(spark, folder, ["t"])["t"].where("k = 'a'")}, folder)
+    assert [p.name for p in (tmp_path / "build").iterdir()] == ["t"] and rows(store.load_tables(spark, folder, ["t"])["t"]) == [("a", 1.5)]
+
+
 def test_store_round_trips(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.5), ("b", None)], "k string, v double")
     shape = store.save_result(df, "res", str(tmp_path))
@@ -138,6 +170,8 @@ def test_json_cells_are_typed(spark):
 
 def test_export_leaves_out_restricted_parts(spark, tmp_path):
     df = spark.createDataFrame([("x", "1", "licensed data"), ("y", "2", "own"), ("z", "3", None)], "k string, gw string, kind string")
-    store.export_datasets([("demand", "cases", df)], str(tmp_path), {"cases": ["gw"]}, {"cases": F.col("kind").contains("licensed")}, ["cash"])
-    got = rows(spark.read.text(str(tmp_path / "page=demand" / "dataset=cases")))
+    folder = str(tmp_path / "site")
+    store.export_datasets([("demand", "cases", df), ("home", "all", df.select("k"))], folder, {"cases": ["gw"]}, {"cases": F.col("kind").contains("licensed")}, ["cash"])
+    got = rows(spark.read.text(f"{folder}/page=demand/dataset=cases"))
     assert got == [('["y","own"]',), ('["z",null]',)]
+    assert rows(store.read_datasets(spark, folder).where("page = 'home'").select("dataset", "row")) == [("all", '["x"]'), ("all", '["y"]'), ("all", '["z"]')]

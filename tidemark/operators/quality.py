@@ -6,7 +6,7 @@ A check is one aggregation over the data it tests; only its few result rows leav
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -419,11 +419,12 @@ def catalog(tables: Mapping[str, DataFrame], meta: DataFrame, dates: Mapping[str
 
 
 def run_checks(
-    spark: SparkSession, checks: Sequence[tuple[str, Sequence[str], DataFrame | None]], present: Sequence[str], run_date: str
+    spark: SparkSession, checks: Sequence[tuple[str, Sequence[str], DataFrame | Callable[[], DataFrame] | None]], present: Collection[str], run_date: str
 ) -> DataFrame:
-    """Number and date the checks: (title, required tables, check rows).
+    """Number and date the checks: (title, required tables, check rows or what builds them).
 
-    A check whose tables are not present becomes one INFO row that says so.
+    present: what ``sources.store.available`` found. A check may require a table, or that it has rows (``<name>_data``); if something is missing the
+    check is not built and becomes one INFO row that says so.
     """
     out = []
     for i, (title, requires, df) in enumerate(checks, 1):
@@ -431,6 +432,8 @@ def run_checks(
         if missing or df is None:
             row = ("optional checks", f"skipped: {title}", "INFO", f"needs {', '.join(missing)}, which is not present")
             df = spark.createDataFrame([row], ", ".join(f"{c} string" for c in COLUMNS))
+        elif not isinstance(df, DataFrame):
+            df = df()
         out.append(df.select(F.lit(i).alias("block_no"), *COLUMNS))
     # The few check rows are stored: numbering needs them twice, the checks run once.
     rows = cut_lineage(reduce(lambda a, b: a.unionByName(b), out))

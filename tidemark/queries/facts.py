@@ -132,7 +132,7 @@ def breakeven(spark, sf):
 
 
 SUPPLY_SQL = views("supply") + """,
-prod AS (SELECT country, production FROM supply WHERE country <> 'NATION_7'), res AS (SELECT country, reserves FROM supply WHERE country <> 'NATION_3'),
+prod AS (SELECT country, production FROM supply), res AS (SELECT country, reserves FROM supply),
 iso AS (SELECT n_name AS country, 'N' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS code, CASE WHEN n_nationkey % 10 = 9 THEN 0 ELSE 1 END AS placeable FROM nation),
 sup AS (SELECT country, production, reserves FROM prod FULL JOIN res USING (country)),
 w AS (SELECT ROUND(SUM(production) / 1000) * 1000 AS p, ROUND(SUM(reserves) / 1000000) * 1000000 AS r FROM supply),
@@ -161,8 +161,8 @@ def supply_table(spark, sf):
         F.when(F.col("n_nationkey") % 10 == 9, 0).otherwise(1).alias("placeable"),
     )
     out = FA.supply_table(
-        s.where(F.col("country") != "NATION_7").select("country", "production"),
-        s.where(F.col("country") != "NATION_3").select("country", "reserves"),
+        s.select("country", "production"),
+        s.select("country", "reserves"),
         mapping,
         world=published_total(s),
     )
@@ -175,12 +175,12 @@ def supply_table(spark, sf):
     "R9",
     f"""WITH {SUPPLY_SQL} SELECT n_name AS country, {r("production")} AS production, {r("reserves", 2)} AS reserves, {r("production * 100 / (SELECT p FROM w)")} AS production_share_pct,
   {r("reserves * 100 / (SELECT r FROM w)")} AS reserves_share_pct, CAST(production IS NOT NULL AS INTEGER) AS listed
-FROM nation n LEFT JOIN prod ON prod.country = n_name LEFT JOIN res ON res.country = n_name WHERE n_nationkey < 12""",
+FROM nation n LEFT JOIN prod ON prod.country = n_name LEFT JOIN res ON res.country = n_name""",
 )
 def compare_shares(spark, sf):
     s = I.supply(spark, sf)
-    wanted = I.table(spark, sf, "nation").where(F.col("n_nationkey") < 12).select(F.col("n_name").alias("country"))
-    out = FA.compare_shares(wanted, s.where(F.col("country") != "NATION_7"), s.where(F.col("country") != "NATION_3"), "country", "production", "reserves", published_total(s))
+    wanted = I.table(spark, sf, "nation").select(F.col("n_name").alias("country"))
+    out = FA.compare_shares(wanted, s.select("country", "production"), s.select("country", "reserves"), "country", "production", "reserves", published_total(s))
     digits = {"production": 6, "reserves": 2, "production_share_pct": 6, "reserves_share_pct": 6}
     return out.select(*[(F.round(c, digits[c]) + 0.0).alias(c) if c in digits else F.col(c) for c in out.columns])
 

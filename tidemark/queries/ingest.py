@@ -37,25 +37,27 @@ def raw_text_ingest(spark, sf):
     )
 
 
-_KEEP = "[^a-zàâçéèêëîïôùûü ]"
-
-
 @query(
     "raw_csv_ingest",
     "A2",
-    f"""SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN source END AS source, md5(concat('x', regexp_replace(substr(text, 1, 60), '{_KEEP}', '', 'g'))) AS word_md5 FROM documents""",
+    """SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN source END AS source, length(text) AS n_chars, md5(nullif(text, '')) AS text_md5,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) + 1 AS file_line, lang FROM documents""",
 )
 def raw_csv_ingest(spark, sf):
-    """Text with accents in a single-byte encoding, written and read back; blank cells become NULL."""
+    """Whole texts in a single-byte encoding, one file a language: read back record by record with their line numbers; blank cells become NULL."""
     path = _folder(spark)
-    d = I.table(spark, sf, "documents").select(
-        "doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("source"),
-        F.concat(F.lit("x"), F.regexp_replace(F.substring("text", 1, 60), _KEEP, "")).alias("word"),
-    )
+    d = I.table(spark, sf, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("source"), "text")
     keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    d.write.options(header=True, encoding="ISO-8859-1", emptyValue="", escape='"', **keep_spaces).csv(path)
-    raw = text.read_raw_csv(spark, path, ["doc_id", "source", "word"], "S2", "windows-1252", empty_to_null=True)
-    return raw.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.md5("word").alias("word_md5"))
+    files = d.repartition("lang").sortWithinPartitions("lang", "doc_id").write.partitionBy("lang")
+    files.options(header=True, encoding="ISO-8859-1", emptyValue="", escape='"', **keep_spaces).csv(path)
+    raw = None
+    for lang in sorted(r.lang for r in d.select("lang").distinct().collect()):  # one row a file
+        one = text.read_raw_csv(spark, f"{path}/lang={lang}", ["doc_id", "source", "text"], "S2", "windows-1252", empty_to_null=True).withColumn("lang", F.lit(lang))
+        raw = one if raw is None else raw.unionByName(one)
+    return raw.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"),
+        F.col("file_line").cast("long").alias("file_line"), "lang",
+    )
 
 
 @query(
@@ -83,26 +85,75 @@ def profile_ingest(spark, sf):
 @query(
     "optional_input",
     "A8 A9",
-    f"""WITH {views("px_monthly")} SELECT series_id, month, {r("value")} AS value, CAST(NULL AS DOUBLE) AS licensed_cash FROM px_monthly""",
+    f"""WITH {views("px_monthly")} SELECT series_id, month, {r("value")} AS value, CAST(NULL AS DOUBLE) AS licensed_cash,
+  'lineitem, lineitem_data, part, part_data, supplement' AS found FROM px_monthly""",
 )
 def optional_input(spark, sf):
-    """A licensed input that is not present: its column stays empty, the panel still builds."""
-    store.require_tables(["lineitem", "part", "orders"], ["lineitem", "part"])
-    none = store.stub(spark, "series_id string, month date, licensed_cash double")
+    """A licensed input that is not there and a supplement without rows: their columns stay empty, the panel still builds."""
+    folder = _folder(spark)
+    store.save_tables({"supplement": store.stub(spark, "series_id string, month date, licensed_cash double")}, folder)
+    paths = {t: f"{sf}/{t}.parquet" for t in ("lineitem", "part")} | {t: f"{folder}/{t}" for t in ("licensed", "supplement")}
+    found = store.available(spark, paths)
+    store.require_tables(found, ["lineitem_data", "part_data"])
+    usable = next((t for t in ("licensed", "supplement") if f"{t}_data" in found), None)
+    schema = "series_id string, month date, licensed_cash double"
+    extra = spark.read.schema(schema).parquet(paths[usable]) if usable else store.stub(spark, schema)
     px = I.px_monthly(spark, sf).select("series_id", "month", "value")
-    return rounded(P.join_on_spine(px, (none, ["series_id", "month"])))
+    return rounded(P.join_on_spine(px, (extra, ["series_id", "month"]))).withColumn("found", F.lit(", ".join(sorted(found))))
 
 
 @query(
     "result_round_trip",
-    "A11 A12 A13 A14",
-    f"""WITH {views("supply")} SELECT country, region, {r("production")} AS production FROM supply""",
+    "A12 A13 A14",
+    "SELECT doc_id, lang, source, length(nullif(text, '')) AS n_chars, md5(nullif(text, '')) AS text_md5 FROM documents",
 )
 def result_round_trip(spark, sf):
-    """A result saved as table and CSV master copy, then loaded as the next build does."""
+    """Whole texts saved as table and CSV master copy, then loaded as the next build does."""
+    folder = _folder(spark)
+    store.save_result(I.table(spark, sf, "documents").select("doc_id", "lang", "source", "text"), "texts", folder, deny=["n_chars"])
+    got = store.load_results(spark, folder, {"texts": "doc_id long, lang string, source string, text string"})["texts"]
+    return got.select("doc_id", "lang", "source", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query(
+    "full_rebuild",
+    "A11",
+    f"""WITH {views("supply")} SELECT country, region, {r("production")} AS production, {r("production * 100 / SUM(production) OVER (PARTITION BY region)")} AS share_pct FROM supply""",
+)
+def full_rebuild(spark, sf):
+    """Tables built, then all built anew from those that are replaced; a table that is no longer built is gone."""
+    folder = _folder(spark)
+    supply = I.supply(spark, sf).select("country", "region", "production")
+    store.save_tables({"supply": supply, "dropped": supply.limit(0)}, folder, {"supply": ["region"]})
+    old = store.load_tables(spark, folder, ["supply"])["supply"]
+    whole = old.groupBy("region").agg(F.sum("production").alias("_whole"))
+    shares = old.join(whole, "region").withColumn("share_pct", F.try_divide(F.col("production") * 100, "_whole")).drop("_whole")
+    store.save_tables({"shares": shares}, folder, {"shares": ["region"]})
+    present = store.available(spark, {t: f"{folder}/{t}" for t in ("supply", "dropped", "shares")})
+    if present != {"shares", "shares_data"}:
+        raise ValueError(f"after the rebuild there are {sorted(present)}")
+    return rounded(store.load_tables(spark, folder, ["shares"])["shares"].select("country", "region", "production", "share_pct"))
+
+
+_BUNDLE = "'[' || c_custkey || ',' || to_json(c_name) || ',' || c_nationkey || ',' || to_json(c_mktsegment) || ']'"
+
+
+@query(
+    "dataset_bundle",
+    "A15",
+    f"""SELECT 'customers' AS page, 'list' AS dataset, {_BUNDLE} AS row FROM customer WHERE NOT contains(c_mktsegment, 'AUTO')
+UNION ALL SELECT 'nations', 'list', '[' || n_nationkey || ',' || to_json(n_name) || ']' FROM nation
+UNION ALL SELECT 'nations', 'regions', '[' || r_regionkey || ',' || to_json(r_name) || ']' FROM region""",
+)
+def dataset_bundle(spark, sf):
+    """All datasets of all pages written as one bundle, a folder for each, and read back."""
     folder = _folder(spark)
-    store.save_result(rounded(I.supply(spark, sf).select("country", "region", "production")), "supply", folder, deny=["reserves"])
-    return store.load_results(spark, folder, {"supply": "country string, region int, production double"})["supply"]
+    tables = [("customers", "list", I.table(spark, sf, "customer")), ("nations", "list", I.table(spark, sf, "nation")), ("nations", "regions", I.table(spark, sf, "region"))]
+    drops, rows = {"list": ["c_acctbal", "n_regionkey"]}, {"list": F.lit(False)}
+    customers, *rest = tables
+    limited = customers[2].where(~F.col("c_mktsegment").contains("AUTO"))
+    store.export_datasets([(*customers[:2], limited), *rest], folder, drops, rows, deny=["c_phone"])
+    return store.read_datasets(spark, folder)
 
 
 @query(

@@ -14,13 +14,17 @@ from tidemark.queries.registry import query
 @query(
     "outer_merge",
     "J9",
-    """SELECT key_ AS nation, customers, suppliers FROM (SELECT c_nationkey AS key_, COUNT(*) AS customers FROM customer WHERE c_nationkey < 20 GROUP BY 1) a
-FULL JOIN (SELECT s_nationkey AS key_, COUNT(*) AS suppliers FROM supplier WHERE s_nationkey > 4 GROUP BY 1) b USING (key_)""",
+    """SELECT nation, band, customers, suppliers
+FROM (SELECT c_nationkey AS nation, CAST(floor(c_acctbal / 1000) AS BIGINT) AS band, COUNT(*) AS customers FROM customer GROUP BY 1, 2) a
+FULL JOIN (SELECT s_nationkey AS nation, CAST(floor(s_acctbal / 1000) AS BIGINT) AS band, COUNT(*) AS suppliers FROM supplier GROUP BY 1, 2) b USING (nation, band)""",
 )
 def outer_merge(spark, sf):
-    a = I.table(spark, sf, "customer").where("c_nationkey < 20").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
-    b = I.table(spark, sf, "supplier").where("s_nationkey > 4").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("suppliers"))
-    return TB.outer_merge(a, b, ["nation"])
+    """Customers and suppliers by nation and thousand of balance; many pairs have one side alone."""
+    def per(table, p, name):
+        keys = [F.col(f"{p}_nationkey").alias("nation"), F.floor(F.col(f"{p}_acctbal") / 1000).cast("long").alias("band")]
+        return I.table(spark, sf, table).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+    return TB.outer_merge(per("customer", "c", "customers"), per("supplier", "s", "suppliers"), ["nation", "band"])
 
 
 @query(

@@ -131,9 +131,14 @@ def _records(raw: DataFrame, sep: str = ",") -> DataFrame:
     splits = cut_lineage(counted(lines.drop("value")).groupBy("_path", "_at").agg(last(0), last(1), F.max("_n0").alias("_n0"), F.max("_n1").alias("_n1"), F.count(F.lit(1)).alias("_rows")))
     earlier = Window.partitionBy("_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     own = F.when(F.col("_s0"), F.col("_n1")).otherwise(F.col("_n0"))
-    offsets = _carried(splits, ["_path"], "_at").select("_path", "_at", F.col("_s0").alias("_quoted"), F.coalesce(F.sum(own).over(earlier), F.lit(0)).alias("_before"), "_rows")
-    if splits.count() <= MAX_BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
+    ends_open = F.when(F.col("_s0"), F.col("_e1")).otherwise(F.col("_e0"))
+    offsets = _carried(splits, ["_path"], "_at").select("_path", "_at", F.col("_s0").alias("_quoted"), F.coalesce(F.sum(own).over(earlier), F.lit(0)).alias("_before"), "_rows", own.alias("_own"), ends_open.alias("_ends_open"))
+    # A quote that is never closed would take the rest of its file into one cell.
+    at_end = offsets.groupBy("_path").agg(F.max_by("_ends_open", "_at").alias("open"), F.max_by(F.col("_before") + F.col("_own"), "_at").alias("line"))
+    unclosed = at_end.where("open").orderBy("_path").limit(5).collect()
+    if unclosed:
+        raise ValueError("a quote is never closed: " + "; ".join(f"record {r.line} of {r._path}" for r in unclosed))
+    offsets = offsets.drop("_own", "_ends_open")
     told = counted(lines).join(offsets, ["_path", "_at"], "left")
     fits = F.coalesce(F.col("_row") <= F.col("_rows"), F.lit(False))
     number = F.col("_before") + F.when(F.col("_quoted"), F.col("_n1")).otherwise(F.col("_n0"))
@@ -206,6 +211,19 @@ def read_raw_csv(
     return out.withColumn("source_id", F.lit(source_id))
 
 
+def read_typed_csv(spark: SparkSession, path: str, schema: str, null_value: str | None = None) -> DataFrame:
+    """CSV with a header and declared types, as this library writes it: quoted cells with line breaks and doubled quotes.
+
+    Records are put together over file splits (see ``read_raw_csv``), so a large file is not read in one task. Blank cells are NULL, words such
+    as NA are text. A cell that does not fit its type is NULL.
+    """
+    lines = _records(spark.read.option("lineSep", "\n").text(path)).where("file_line > 1")
+    options = {"escape": '"', "multiLine": "true", "lineSep": "\n", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    if null_value is not None:
+        options["nullValue"] = null_value
+    return lines.select(F.from_csv(F.regexp_replace("value", r"\r\z", ""), schema, options).alias("_c")).select("_c.*")
+
+
 def pick_longest_file(df: DataFrame, has_header: Column, file_col: str = "source_file") -> tuple[DataFrame, DataFrame]:
     """Rows of the longest file among those that qualify, and a report of the others.
 
