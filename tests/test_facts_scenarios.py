@@ -60,8 +60,13 @@ def test_period_changes_skip_missing_starts(spark):
     idx = [None, None, None, 10.0, 20.0, 15.0]
     data = [("a", month(i), px[i], idx[i], None if i == 0 else float((-1) ** i), None if i == 0 else float((-1) ** (i + 1))) for i in range(6)]
     df = spark.createDataFrame(data, "k string, month date, px double, idx double, ra double, rb double")
-    out = FA.period_changes(df, ["k"], {"quoted": "px"}, {"3m": 3, "all": None}, "idx", {"quoted": ["idx"]}, "ra", "rb")
-    got = {r.period: r for r in out.collect()}
+    out = FA.period_changes(df, ["k"], {("own", "quoted"): "px", ("own", "real"): "ra", ("other", "quoted"): "idx"}, {"3m": 3, "all": None}, "idx", "ra", "rb", {("own", "quoted"): {"second": "idx"}}, {("other", "quoted"): "px"})
+    assert sorted({(r.currency, r.basis) for r in out.collect()}) == [("other", "quoted"), ("own", "quoted"), ("own", "real")]
+    other = {r.period: r for r in out.where("currency = 'other'").collect()}
+    # The other currency starts later, but its window of the second series starts with the anchor; it has no companion.
+    assert (other["all"].start_month, other["all"].change_pct, other["all"].second_start_month, other["all"].second_rebased) == (month(3), 50.0, month(3), None)
+    got = {r.period: r for r in out.where("currency = 'own' AND basis = 'quoted'").collect()}
+    assert got["3m"].second_rebased == 150.0
     # Three months back is a month without a price, so the window starts one month later.
     assert (got["3m"].start_month, got["3m"].change_pct) == (month(3), 50.0)
     assert (got["all"].start_month, got["all"].change_pct) == (month(1), 200.0)
@@ -118,3 +123,16 @@ def test_supply_shares_use_the_published_world_total(spark):
     assert (got["c"].production, got["b"].reserves, got["World total"].share_of_production_pct) == (None, None, 100.0)
     listed = {r.country: r for r in FA.supply_table(prod, res, names).collect()}
     assert listed["World total"].production == 95.0
+
+
+def test_events_off_the_series_or_without_a_source_stop_the_job(spark):
+    months = "month date, value double"
+    series = spark.createDataFrame([(dt.date(2020, 1, 1), 5.0), (dt.date(2020, 2, 1), None)], months)
+    sources = spark.createDataFrame([("S1", "one")], "source_id string, source_name string")
+    event = lambda month, source, status="approved": spark.createDataFrame([("e", month, status, source)], "label string, month date, status string, source_id string")
+    on = FA.events_on_series(event(dt.date(2020, 1, 1), "S1").unionByName(event(dt.date(2020, 2, 1), "S1")), series, sources)
+    assert sorted((r.month.month, r.value) for r in on.collect()) == [(1, 5.0), (2, None)]
+    for bad, said in ((event(dt.date(2020, 3, 1), "S1"), "2020-03-01 is not on the series"), (event(dt.date(2020, 1, 1), "S9"), "S9 is not in the register"), (event(None, "S1"), "none.* is not on the series")):
+        with pytest.raises(Exception, match=said):
+            FA.events_on_series(bad, series, sources).collect()
+    assert FA.events_on_series(event(dt.date(2020, 3, 1), "S9", "draft"), series, sources).collect() == []

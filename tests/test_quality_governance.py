@@ -110,3 +110,32 @@ def test_provenance_finds_stale_citations(spark):
     assert rows(G.check_provenance(cited, prov, checks)) == [("d2", "no judged check", 1)]
     changed = checks.withColumn("status", F.when(F.col("check_no") == 1, "FAIL").otherwise(F.col("status")))
     assert rows(G.check_provenance(cited, prov, changed)) == [("d1", "cited check not shown", 1), ("d2", "no judged check", 1)]
+
+
+def test_a_text_of_many_hits_is_scanned_in_linear_time(spark):
+    import time
+
+    text = " ".join(f"user{i % 20000}@example{i % 7}.com" for i in range(50_000))
+    df = spark.createDataFrame([(text,), ("a@b.org a@b.org",), (None,)], "text string")
+    start = time.perf_counter()
+    out = {r.match: (r.n_rows, r.n_hits) for r in G.scan_text(df, "text").where("pattern = 'email'").collect()}
+    assert time.perf_counter() - start < 60
+    assert out["a@b.org"] == (1, 2) and sum(h for _, h in out.values()) == 50_002
+
+
+def test_lists_of_too_many_values_stop_before_they_are_made(spark):
+    from tidemark.operators import tables as TB
+
+    df = spark.createDataFrame([("a", f"v{i:03d}") for i in range(30)] * 2 + [("b", "x")], "k string, v string")
+    assert {r.k: len(r.vs.split(", ")) for r in TB.list_values(df, ["k"], "v", "vs", most=30).collect()} == {"a": 30, "b": 1}
+    with pytest.raises(ValueError, match="more than 29 values of v"):
+        TB.list_values(df, ["k"], "v", "vs", most=29)
+
+
+def test_provenance_lists_the_checks_in_order(spark):
+    sets = spark.createDataFrame([("d1", "t", "job"), ("d2", "none", "job")], "dataset string, table_name string, writer string")
+    man = spark.createDataFrame([("t", "S1", True)], "table_name string, sources string, large_ok boolean")
+    checks = spark.createDataFrame([(2, "t", "second", "PASS"), (1, "t", "first", "INFO"), (3, "u", "other", "FAIL")], "check_no int, table_name string, description string, status string")
+    got = {r.dataset: r for r in G.provenance(sets, man, checks).collect()}
+    assert [tuple(c) for c in got["d1"].checks] == [(1, "first", "INFO"), (2, "second", "PASS")] and got["d1"].n_judged == 1
+    assert got["d2"].checks == [] and got["d2"].n_checks == 0

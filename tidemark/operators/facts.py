@@ -204,9 +204,21 @@ def within_pct(a: Column, b: Column, tol: float) -> tuple[Column, Column]:
 
 
 def events_on_series(events: DataFrame, series: DataFrame, register: DataFrame, month: str = "month") -> DataFrame:
-    """Approved events with their source and the value at the event month."""
+    """Approved events with their source and the value at the event month.
+
+    An approved event whose month is not on the series, or whose source is not in the register, stops the job; the test is part of
+    the columns ``month`` and ``source_id``. A month on the series without a value gives NULL.
+    """
     ok = events.where(F.col("status") == "approved")
-    return enrich(enrich(ok, register, ["source_id"]), series, [month])
+    found = enrich(enrich(ok, register.withColumn("_known", F.lit(True)), ["source_id"]), series.withColumn("_on", F.lit(True)), [month])
+
+    def asserted(column: str, flag: str, kind: str, what: str) -> Column:
+        said = F.concat(F.lit(f"event {column} "), F.coalesce(F.col(column).cast("string"), F.lit("(none)")), F.lit(what))
+        return F.when(F.col(flag), F.col(column)).otherwise(F.raise_error(said).cast(kind)).alias(column)
+
+    kinds = dict(found.dtypes)
+    checked = {month: asserted(month, "_on", kinds[month], " is not on the series"), "source_id": asserted("source_id", "_known", kinds["source_id"], " is not in the register")}
+    return found.select(*[checked.get(c, F.col(c)) for c in found.columns if c not in ("_known", "_on")])
 
 
 def latest_change(df: DataFrame, by: Sequence[str], value: str, k: int, month: str = "month") -> DataFrame:
@@ -264,46 +276,53 @@ def kpis(series: DataFrame, by: Sequence[str], value: str, real: str, month: str
 def period_changes(
     df: DataFrame,
     by: Sequence[str],
-    bases: Mapping[str, str],
+    columns: Mapping[tuple[str, str], str],
     periods: Mapping[str, int | None],
     second: str,
-    companions: Mapping[str, Sequence[str]],
     ret_a: str,
     ret_b: str,
-    anchors: Mapping[str, str] | None = None,
+    companions: Mapping[tuple[str, str], Mapping[str, str]] | None = None,
+    anchors: Mapping[tuple[str, str], str] | None = None,
     level: str | None = None,
     month: str = "month",
 ) -> DataFrame:
-    """Change from the start of each period to the latest month, per price basis.
-
-    The start is N months before the latest row (or the first row), moved forward to
-    the first month with a value. The window of the second series and of ``level`` starts
-    where the ``anchors`` column of the basis starts (its own price column by default), the
-    second series no earlier than its own first value; direction counts cover the months
-    strictly after that. ``df`` must have one row per month of the series (see
-    ``on_spine``), so rows are months.
+    """Change from the start of each period to the latest month, per currency and price basis.
+
+    columns: (currency, basis) -> price column; combinations that are not given are skipped, such as deflated prices in a currency
+    without a deflator. companions: (currency, basis) -> name -> column, rebased to 100 at the start (NULL for combinations without).
+    The start is N months before the latest row (or the first row), moved forward to the first month with a value of the
+    combination. The window of the second series and of ``level`` starts where the ``anchors`` column of the combination
+    starts (its own price column by default), the second series no earlier than its own first value; direction counts
+    cover the months strictly after that. A combination without any value from its start on has NULL figures. ``df`` must have one row per month of the
+    series (see ``on_spine``), so rows are months.
     """
-    anchors = anchors or dict(bases)
+    anchors, companions = anchors or {}, companions or {}
+    names = list(dict.fromkeys(n for of in companions.values() for n in of))
     w = window_of(by, month)
     whole = Window.partitionBy(*by)
     d = df.select("*", F.row_number().over(w).alias("_pos"), F.count(F.lit(1)).over(whole).alias("_last"))
+
+    def companion(combo: tuple[str, str], name: str) -> Column:
+        column = companions.get(combo, {}).get(name)
+        return (F.col(column) if column else F.lit(None)).cast("double").alias(f"_c_{name}")
+
     combos = F.array(
         *[
             F.struct(
-                F.lit(p).alias("period"), F.lit(b).alias("basis"), F.col(c).alias("v"), F.col(anchors[b]).alias("u"),
+                F.lit(p).alias("period"), F.lit(currency).alias("currency"), F.lit(basis).alias("basis"),
+                F.col(c).alias("v"), F.col(anchors.get((currency, basis), c)).alias("u"),
                 (F.greatest(F.lit(1), F.col("_last") - n) if n is not None else F.lit(1)).cast("bigint").alias("target"),
-                *[F.col(x).alias(f"c{i}") for i, x in enumerate(companions[b])],
+                *[companion((currency, basis), n) for n in names],
             )
             for p, n in periods.items()
-            for b, c in bases.items()
+            for (currency, basis), c in columns.items()
         ]
     )
-    n_comp = len(next(iter(companions.values())))
     # The first month with a value of the second series, the same for every period.
     d = d.withColumn("_first2", F.min(F.when(F.col(second).isNotNull(), F.col("_pos"))).over(whole))
     extra = [level] if level else []
     long = d.select(*by, month, "_pos", "_last", "_first2", second, ret_a, ret_b, *extra, F.inline(combos))
-    keys = [*by, "period", "basis"]
+    keys = [*by, "period", "currency", "basis"]
     g = Window.partitionBy(*keys)
 
     def first_valid(c: str) -> Column:
@@ -323,7 +342,7 @@ def period_changes(
     return long.groupBy(*keys).agg(
         at(at_start, month).alias("start_month"),
         ((F.try_divide(at(at_end, "v"), at(at_start, "v")) - 1) * 100).alias("change_pct"),
-        *[F.try_divide(at(at_end, f"c{i}") * 100, at(at_start, f"c{i}")).alias(f"companion{i}_rebased") for i in range(n_comp)],
+        *[F.try_divide(at(at_end, f"_c_{n}") * 100, at(at_start, f"_c_{n}")).alias(f"{n}_rebased") for n in names],
         *([at(F.col("_pos") == F.col("_su"), level).alias("level_start")] if level else []),
         at(at_s2, month).alias("second_start_month"),
         ((F.try_divide(at(at_end, second), at(at_s2, second)) - 1) * 100).alias("second_change_pct"),

@@ -61,13 +61,10 @@ def scan_text(
         return F.when(near, found)
 
     found = F.array(*[F.struct(F.lit(n).alias("pattern"), hits(n, p).alias("hits")) for n, p in patterns.items()])
-    per_row = df.select(F.inline(found)).where(F.size("hits") > 0).select(
-        "pattern", "hits", F.explode(F.array_distinct("hits")).alias("match")
-    )
-    n = F.size(F.filter("hits", lambda h: h == F.col("match")))
-    return per_row.select("pattern", "match", n.alias("k")).groupBy("pattern", "match").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("k").alias("n_hits")
-    )
+    each = df.select(F.monotonically_increasing_id().alias("_row"), F.inline(found)).where(F.size("hits") > 0)
+    # Two sums, linear in the hits of a text: of a row, then of all rows.
+    per_row = each.select("_row", "pattern", F.explode("hits").alias("match")).groupBy("_row", "pattern", "match").agg(F.count(F.lit(1)).alias("k"))
+    return per_row.groupBy("pattern", "match").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("k").alias("n_hits"))
 
 
 def check_manifest(catalog: DataFrame, manifest: DataFrame, large_rows: int = 100) -> DataFrame:
@@ -90,14 +87,19 @@ def cited_checks(datasets: DataFrame, checks: DataFrame) -> DataFrame:
 
 
 def provenance(datasets: DataFrame, manifest: DataFrame, checks: DataFrame) -> DataFrame:
-    """Dataset -> table, writer, sources, and how many checks (and judged checks) its table has."""
+    """Dataset -> table, writer, sources, its table's checks (number, description and status, by number), and how many there are (and are judged).
+
+    A table's list is as long as the check report has rows for it.
+    """
+    told = F.sort_array(F.collect_list(F.struct("check_no", "description", "status")))
     per_table = checks.groupBy("table_name").agg(
-        F.count(F.lit(1)).alias("n_checks"), F.count_if(F.col("status") != "INFO").alias("n_judged")
+        F.count(F.lit(1)).alias("n_checks"), F.count_if(F.col("status") != "INFO").alias("n_judged"), told.alias("checks")
     )
     return (
         datasets.join(manifest.select("table_name", "sources"), "table_name", "left")
         .join(per_table, "table_name", "left")
         .fillna(0, ["n_checks", "n_judged"])
+        .withColumn("checks", F.coalesce("checks", F.array().cast(checks.select(F.array(F.struct("check_no", "description", "status")).alias("c")).schema["c"].dataType)))
     )
 
 

@@ -264,3 +264,9 @@ def date_gaps(df: DataFrame, by: Sequence[str], date: str = "date") -> DataFrame
     """Days since the previous distinct date of the series (one row per date)."""
     days = df.select(*by, date).distinct()
     return days.withColumn("gap_days", F.datediff(date, F.lag(date).over(window_of(by, date))))
+
+
+def gap_rows(df: DataFrame, by: Sequence[str], max_days: int, date: str = "date") -> DataFrame:
+    """One row for each gap above ``max_days`` between consecutive dates of a series: the dates on both sides and the days between."""
+    gaps = date_gaps(df, by, date).where(F.col("gap_days") > max_days)
+    return gaps.select(*by, F.date_sub(date, F.col("gap_days")).alias("gap_from"), F.col(date).alias("gap_to"), "gap_days")

@@ -65,12 +65,23 @@ def pick_cells(grid: DataFrame, by: Sequence[str], rules: Mapping[str, tuple[str
     )
 
 
-def list_values(df: DataFrame, by: Sequence[str], col: str, alias: str, sep: str = ", ") -> DataFrame:
-    """Distinct values in order as one text per group (for reports over short lists)."""
-    distinct = df.select(*by, col).distinct()
+def list_values(df: DataFrame, by: Sequence[str], col: str, alias: str, sep: str = ", ", most: int = 10_000) -> DataFrame:
+    """Distinct values in order as one text per group, for reports over short lists.
+
+    A group of more than ``most`` values stops the job before any list is made; ``distinct_rows`` gives such values as rows.
+    """
+    distinct = distinct_rows(df, by, [col])
+    long = distinct.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).limit(1).collect()
+    if long:
+        raise ValueError(f"more than {most} values of {col}: {long[0].asDict()}")
     return distinct.groupBy(*by).agg(F.expr(f"listagg({col}, '{sep}') within group (order by {col})").alias(alias))
 
 
+def distinct_rows(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Distinct values of each group, a row each."""
+    return df.select(*by, *cols).distinct()
+
+
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)

@@ -291,30 +291,35 @@ SPANS = {"1y": 12, "3y": 36, "all": None}
     "period_changes",
     "R16",
     f"""WITH {CHANGES_SQL},
-d AS (SELECT p.series_id, p.month, p.px, p.px_fx, CASE WHEN p.month >= DATE '1997-03-01' THEN p.idx END AS idx, p.defl, c.px_pct_m AS ra, c.idx_pct_m AS rb,
+d AS (SELECT p.series_id, p.month, p.px, p.px_fx, p.px * (SELECT value FROM defl_monthly ORDER BY month DESC LIMIT 1) / p.defl AS px_real,
+    p.px_fx / p.defl AS fx_real, CASE WHEN p.month >= DATE '1997-03-01' THEN p.idx END AS idx, p.defl, p.fx, c.px_pct_m AS ra, c.idx_pct_m AS rb,
     ROW_NUMBER() OVER (PARTITION BY p.series_id ORDER BY p.month) AS pos, COUNT(*) OVER (PARTITION BY p.series_id) AS last_
   FROM panel p JOIN changes c ON c.series_id = p.series_id AND c.month = p.month),
 spans AS (SELECT * FROM (VALUES ('1y', 12), ('3y', 36), ('all', 100000)) t(period, n)),
-l AS (SELECT series_id, month, pos, last_, idx, defl, ra, rb, period, 'quoted' AS basis, px AS v, px AS u, px_fx AS c0, greatest(1, last_ - n) AS target FROM d CROSS JOIN spans
-  UNION ALL SELECT series_id, month, pos, last_, idx, defl, ra, rb, period, 'other', px_fx, px, px, greatest(1, last_ - n) FROM d CROSS JOIN spans),
-s AS (SELECT *, MIN(CASE WHEN v IS NOT NULL AND pos >= target THEN pos END) OVER (PARTITION BY series_id, period, basis) AS st FROM l),
-su AS (SELECT *, MIN(CASE WHEN u IS NOT NULL AND pos >= target THEN pos END) OVER (PARTITION BY series_id, period, basis) AS stu,
-    MIN(CASE WHEN idx IS NOT NULL THEN pos END) OVER (PARTITION BY series_id) AS f2 FROM s),
-s2 AS (SELECT *, CASE WHEN f2 IS NOT NULL THEN greatest(stu, f2) END AS st2 FROM su)
-SELECT series_id, period, basis, MAX(CASE WHEN pos = st THEN month END) AS start_month,
+l AS (SELECT d.*, period, 'own' AS currency, 'quoted' AS basis, px AS v, px AS u, px_fx AS c0, fx AS c1, greatest(1, last_ - n) AS target FROM d CROSS JOIN spans
+  UNION ALL SELECT d.*, period, 'own', 'real', px_real, px_real, fx_real, NULL, greatest(1, last_ - n) FROM d CROSS JOIN spans
+  UNION ALL SELECT d.*, period, 'other', 'quoted', px_fx, px, NULL, NULL, greatest(1, last_ - n) FROM d CROSS JOIN spans),
+s AS (SELECT *, MIN(CASE WHEN v IS NOT NULL AND pos >= target THEN pos END) OVER g AS st, MIN(CASE WHEN u IS NOT NULL AND pos >= target THEN pos END) OVER g AS stu,
+    MIN(CASE WHEN idx IS NOT NULL THEN pos END) OVER (PARTITION BY series_id) AS f2 FROM l WINDOW g AS (PARTITION BY series_id, period, currency, basis)),
+s2 AS (SELECT *, CASE WHEN f2 IS NOT NULL THEN greatest(stu, f2) END AS st2 FROM s)
+SELECT series_id, period, currency, basis, MAX(CASE WHEN pos = st THEN month END) AS start_month,
   {r("(MAX(CASE WHEN pos = last_ THEN v END) / MAX(CASE WHEN pos = st THEN v END) - 1) * 100")} AS change_pct,
-  {r("MAX(CASE WHEN pos = last_ THEN c0 END) * 100 / MAX(CASE WHEN pos = st THEN c0 END)")} AS companion0_rebased,
+  {r("MAX(CASE WHEN pos = last_ THEN c0 END) * 100 / MAX(CASE WHEN pos = st THEN c0 END)")} AS converted_rebased,
+  {r("MAX(CASE WHEN pos = last_ THEN c1 END) * 100 / MAX(CASE WHEN pos = st THEN c1 END)")} AS rate_rebased,
   {r("MAX(CASE WHEN pos = stu THEN defl END)")} AS level_start, MAX(CASE WHEN pos = st2 THEN month END) AS second_start_month, {r("(MAX(CASE WHEN pos = last_ THEN idx END) / MAX(CASE WHEN pos = st2 THEN idx END) - 1) * 100")} AS second_change_pct,
   COUNT(*) FILTER (WHERE pos > st2 AND ra IS NOT NULL AND rb > 0) AS second_rose_n, COUNT(*) FILTER (WHERE pos > st2 AND ra < 0 AND rb > 0) AS fell_when_rose_n,
   COUNT(*) FILTER (WHERE pos > st2 AND ra IS NOT NULL AND rb < 0) AS second_fell_n, COUNT(*) FILTER (WHERE pos > st2 AND ra > 0 AND rb < 0) AS rose_when_fell_n
-FROM s2 GROUP BY series_id, period, basis""",
+FROM s2 GROUP BY series_id, period, currency, basis""",
 )
 def period_changes(spark, sf):
+    """Quoted prices in two currencies, real ones in the first alone: the other has no deflator and is skipped."""
     w = P.window_of(BY)
+    base = I.defl_monthly(spark, sf).agg(F.max_by("value", "month")).scalar()
     d = panel(spark, sf).select(
-        "series_id", "month", "px", "px_fx", F.when(F.col("month") >= F.lit("1997-03-01").cast("date"), F.col("idx")).alias("idx"), "defl",
+        "series_id", "month", "px", "px_fx", "fx", F.try_divide(F.col("px") * base, "defl").alias("px_real"), F.try_divide("px_fx", "defl").alias("fx_real"),
+        F.when(F.col("month") >= F.lit("1997-03-01").cast("date"), F.col("idx")).alias("idx"), "defl",
         P.pct_change(F.col("px"), F.lag("px").over(w)).alias("ra"), P.pct_change(F.col("idx"), F.lag("idx").over(w)).alias("rb"),
     )
-    companions = {"quoted": ["px_fx"], "other": ["px"]}
-    anchors = {"quoted": "px", "other": "px"}
-    return rounded(FA.period_changes(d, BY, {"quoted": "px", "other": "px_fx"}, SPANS, "idx", companions, "ra", "rb", anchors, "defl"))
+    columns = {("own", "quoted"): "px", ("own", "real"): "px_real", ("other", "quoted"): "px_fx"}
+    companions = {("own", "quoted"): {"converted": "px_fx", "rate": "fx"}, ("own", "real"): {"converted": "fx_real"}}
+    return rounded(FA.period_changes(d, BY, columns, SPANS, "idx", "ra", "rb", companions, {("other", "quoted"): "px"}, "defl"))

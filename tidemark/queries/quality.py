@@ -95,6 +95,16 @@ def check_date_gaps(spark, sf):
     return Q.check_date_gaps(I.px_daily(spark, sf), BY, 10, "px_daily")
 
 
+@query(
+    "gap_dates",
+    "Q7 W12",
+    f"""WITH {views("px_daily")}, w AS (SELECT series_id, lag(date) OVER (PARTITION BY series_id ORDER BY date) AS gap_from, date AS gap_to FROM px_daily)
+SELECT *, CAST(gap_to - gap_from AS INTEGER) AS gap_days FROM w WHERE gap_to - gap_from > 3""",
+)
+def gap_dates(spark, sf):
+    return P.gap_rows(I.px_daily(spark, sf), BY, 3)
+
+
 @query(
     "check_coverage",
     "Q8",
@@ -619,13 +629,16 @@ def prov(spark, checks):
 PROV_SQL = REPORT_SQL + f""",
 ds AS (SELECT * FROM (VALUES {", ".join(str(d) for d in DATASETS)}) t(dataset, table_name, writer)),
 m AS (SELECT * FROM (VALUES {", ".join(f"('{t}', '{s}', {str(ok).upper()})" for t, s, ok in MANIFEST)}) t(table_name, sources, large_ok)),
-prov AS (SELECT dataset, ds.table_name, writer, m.sources, COUNT(check_no) AS n_checks, COUNT(CASE WHEN status <> 'INFO' THEN 1 END) AS n_judged
+prov AS (SELECT dataset, ds.table_name, writer, m.sources, COUNT(check_no) AS n_checks, COUNT(CASE WHEN status <> 'INFO' THEN 1 END) AS n_judged,
+    md5(coalesce(string_agg(check_no || '|' || description || '|' || status, chr(10) ORDER BY check_no), '')) AS checks_md5
   FROM ds LEFT JOIN m ON m.table_name = ds.table_name LEFT JOIN report ON report.table_name = ds.table_name GROUP BY ALL)"""
 
 
 @query("provenance", "V6", f"WITH {PROV_SQL} SELECT * FROM prov")
 def provenance(spark, sf):
-    return prov(spark, report(spark, sf))
+    line = lambda c: F.concat_ws("|", c["check_no"].cast("string"), c["description"], c["status"])
+    told = prov(spark, report(spark, sf))
+    return told.select(*[c for c in told.columns if c != "checks"], F.md5(F.array_join(F.transform("checks", line), "\n")).alias("checks_md5"))
 
 
 @query(
