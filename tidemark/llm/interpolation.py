@@ -61,8 +61,8 @@ def _blocks(most_tokens: int):
         held: dict[int, list] = {FIT: [], DEV: [], REST: []}
         tokens = dict.fromkeys(held, 0)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                piece = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 500):
+                piece = batch.slice(at, 500)
                 counts, words = split_words(piece.column("text"), lower=True)
                 keys = word_keys(words)
                 sizes = counts + 1
@@ -89,6 +89,12 @@ def _blocks(most_tokens: int):
     return run
 
 
+def _freed(table: pa.Table) -> pa.Table:
+    """A group's result, once what its work has freed is given back: workers stay, and two share an executor."""
+    pa.default_memory_pool().release_unused()
+    return table
+
+
 class _Block:
     """A block in memory: the keys of its n-grams at every token, by order."""
 
@@ -170,7 +176,7 @@ def _answer(asked: pa.Table) -> pa.Table:
     columns["all"] = pa.array([binary_of(both[x]) for x in to], pa.binary())
     for name, total in zip(("tokens", "distinct", "fit_tokens", "fit_distinct"), sums, strict=True):
         columns[name] = pa.array([int(total)] + [0] * (len(to) - 1), pa.int64())
-    return pa.table(columns)
+    return _freed(pa.table(columns))
 
 
 def _counted(block: _Block, replies: list[dict], order: int, what: str) -> list[np.ndarray]:
@@ -222,7 +228,7 @@ def _dev_counts(order: int, n: int, docs: int):
             chains, times = _distinct([x for level in levels for x in level])
             del block, levels
             parts.append(pa.table({**{c: x.astype(np.int64) for c, x in zip(names, chains, strict=True)}, "times": times.astype(np.int64)}))
-        return pa.concat_tables(parts) if parts else pa.table({c: pa.array([], pa.int64()) for c in [*names, "times"]})
+        return _freed(pa.concat_tables(parts) if parts else pa.table({c: pa.array([], pa.int64()) for c in [*names, "times"]}))
 
     return run
 
@@ -252,7 +258,7 @@ def _score(order: int, n: int, v: int, docs: int, weights: np.ndarray):
                     }
                 )
             )
-        return pa.concat_tables(parts) if parts else _EMPTY.empty_table()
+        return _freed(pa.concat_tables(parts) if parts else _EMPTY.empty_table())
 
     return run
 
@@ -318,7 +324,7 @@ def learn_weights(chains: DataFrame, order: int, v: int, rounds: int = 20) -> np
 # --- operator -------------------------------------------------------------------------------------------------
 
 
-def interpolated_scores(docs: DataFrame, train: Column, dev: Column, order: int = 2, block_tokens: int = 700_000, rounds: int = 20) -> DataFrame:
+def interpolated_scores(docs: DataFrame, train: Column, dev: Column, order: int = 2, block_tokens: int = 350_000, rounds: int = 20) -> DataFrame:
     """log10 probability of every text under a model of order `order`.
 
     docs: doc_id, text; other columns are not read. train: texts to learn from; dev: those of them that decide the
