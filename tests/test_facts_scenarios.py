@@ -112,6 +112,17 @@ def test_sensitivity_and_tornado(spark):
     assert bars == {"P": (0.0, 20.0, "", "c", 20.0), "Q": (0.0, 21.0, "", "y and c", 21.0)}
 
 
+def test_sensitivity_of_a_sum_looks_up_both_grids(spark):
+    a = spark.createDataFrame([(g, p, q, float(10 * i + j), 200.0) for g in "gh" for i, p in enumerate("abc") for j, q in enumerate("xy")], "g string, p string, q string, v double, base double")
+    b = spark.createDataFrame([(g, s, float(100 * i), f"note {s}") for g in "gh" for i, s in enumerate("mn") if (g, s) != ("h", "n")], "g string, s string, w double, note string")
+    over = [(1, "P", "c", {"p": "c"}), (2, "S", "n", {"s": "n"}), (3, "both", "y and n", {"q": "y", "s": "n"}), (4, "none", "z", {"q": "z"})]
+    out = SC.sensitivity_of_sum(a, b, ["g"], (["p", "q"], ["s"]), ("v", "w"), {"p": "a", "q": "x", "s": "m"}, over, F.col("base"), ((), ["note"]))
+    assert rows(out.where("g = 'g'").select("bar_order", "alt_label", "v", "w", "note", "total", "change_vs_reference", "pct_of_base")) == [
+        (0, "Reference case", 0.0, 0.0, "note m", 0.0, 0.0, 0.0), (1, "c", 20.0, 0.0, "note m", 20.0, 20.0, 10.0),
+        (2, "n", 0.0, 100.0, "note n", 100.0, 100.0, 50.0), (3, "y and n", 1.0, 100.0, "note n", 101.0, 101.0, 50.5)]
+    assert sorted(r.bar_order for r in out.where("g = 'h'").collect()) == [0, 1]
+
+
 def test_supply_shares_use_the_published_world_total(spark):
     prod = spark.createDataFrame([("a", 60.0), ("b", 20.0), ("other", 15.0)], "country string, production double")
     res = spark.createDataFrame([("a", 600.0), ("c", 100.0)], "country string, reserves double")

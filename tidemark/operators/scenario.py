@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.tables import expand_structs
+from tidemark.operators.tables import expand_structs, inline_rows
 
 
 def input_register(df: DataFrame, key: str, low: str, high: str, unit: str, source: str) -> DataFrame:
@@ -189,6 +189,37 @@ def sensitivity(
     )
 
 
+def sensitivity_of_sum(
+    a: DataFrame,
+    b: DataFrame,
+    by: Sequence[str],
+    keys: tuple[Sequence[str], Sequence[str]],
+    values: tuple[str, str],
+    reference: Mapping[str, str],
+    overrides: Sequence[tuple[int, str, str, Mapping[str, str]]],
+    base: Column,
+    also: tuple[Sequence[str], Sequence[str]] = ((), ()),
+) -> DataFrame:
+    """One assumption at a time for a total that two grids share: values[0] of ``a`` plus values[1] of ``b``.
+
+    keys: the dimensions of each grid. An override row names only what it changes, in either grid; the rest is the reference's. Each row's full
+    key is looked up once in each grid, so the grids' product is never built: a grid row goes on only for the bars whose key it has.
+    Returns by, bar_order, bar, alt_label, both values, the columns ``also`` asked for, total, change_vs_reference and pct_of_base (total
+    in percent of ``base``, a column of ``a``'s side or a literal). A bar without a row in both grids is left out, a group without the reference case has NULL changes.
+    """
+    free = ("_at", "bar_order", "bar", "alt_label")
+    every = [*keys[0], *keys[1]]
+    rows = [(i, order, bar, label, *({**reference, **o}[k] for k in every)) for i, (order, bar, label, o) in enumerate([(0, "Reference case", "Reference case", {}), *overrides])]
+    bars = F.broadcast(inline_rows(a.sparkSession, rows, ", ".join(["_at int", "bar_order int", "bar string", "alt_label string", *(f"`{k}` string" for k in every)])))  # a literal of the call
+    left = a.join(bars.select(*free, *keys[0]), list(keys[0])).select(*by, *free, F.col(values[0]), *also[0], base.cast("double").alias("_base"))
+    right = b.join(bars.select("_at", *keys[1]), list(keys[1])).select(*by, "_at", F.col(values[1]), *also[1])
+    both = left.join(right, [*by, "_at"]).withColumn("total", F.col(values[0]) + F.col(values[1]))
+    ref = F.max(F.when(F.col("bar_order") == 0, F.col("total"))).over(Window.partitionBy(*by))
+    return both.select(
+        *by, *free[1:], *values, *also[0], *also[1], "total", (F.col("total") - ref).alias("change_vs_reference"), (F.try_divide("total", "_base") * 100).alias("pct_of_base")
+    )
+
+
 def tornado(sens: DataFrame, by: Sequence[str], change: str = "change_vs_reference") -> DataFrame:
     """Swing of each bar: lowest and highest change (zero included) and what causes them."""
     out = sens.where(F.col("bar_order") > 0).groupBy(*by, "bar_order", "bar").agg(

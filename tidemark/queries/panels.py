@@ -333,8 +333,16 @@ def rolling_mean(spark, sf):
     return rounded(ratio(spark, sf).select("pair_id", "month", P.rolling_mean("ratio", 12, ["pair_id"]).alias("ratio_ma12")))
 
 
-@query("rules_table", "M6", f"""WITH {rules_sql()} SELECT rule_id, rule_type, threshold, label, COUNT(*) AS parts FROM rules CROSS JOIN (SELECT DISTINCT p_brand FROM part) GROUP BY ALL""")
+@query(
+    "rules_table",
+    "M6 M7",
+    f"""WITH {MONTHS_SQL} SELECT rule_id, rule_type, threshold, label, horizon, COUNT(DISTINCT pair_id) AS pairs, COUNT(*) AS months, CAST(SUM(signal_on) AS BIGINT) AS months_on FROM valid GROUP BY ALL""",
+)
 def rules_table(spark, sf):
-    brands = I.table(spark, sf, "part").select("p_brand").distinct()
-    expanded = TB.expand_structs(brands, [S.rules_column(RULES).getItem(i) for i in range(len(RULES))])
-    return expanded.groupBy("rule_id", "rule_type", "threshold", "label").agg(F.count(F.lit(1)).alias("parts"))
+    """The numbered rules with how many pairs and months they could be judged on, and how many they were on."""
+    from tidemark.queries.common import SIGNALS
+
+    out = S.evaluate_rules(mart(spark, sf), RULES, SIGNALS, HORIZONS, ["pair_id"])
+    return out.groupBy("rule_id", "rule_type", "threshold", "label", "horizon").agg(
+        F.count_distinct("pair_id").alias("pairs"), F.count(F.lit(1)).alias("months"), F.sum(F.col("signal_on").cast("long")).alias("months_on")
+    )
