@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "shared_folder", "ship", "table", "split_words", "word_keys", "mix", "binary_of", "array_of", "small"]
+__all__ = ["cut_lineage", "shared_folder", "ship", "table", "split_words", "word_keys", "mix", "binary_of", "array_of", "small", "give_back"]
 
 
 def ship(name: str) -> None:
@@ -74,6 +75,15 @@ def word_keys(words: pa.Array) -> np.ndarray:
     return keys[coded.indices.to_numpy()]
 
 
+def give_back() -> None:
+    """Hand memory that is free back to the system, at the end of a task: Python workers stay, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def binary_of(x: np.ndarray) -> bytes:
     """The array's bytes, all lowest bytes first: small values then compress well."""
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()

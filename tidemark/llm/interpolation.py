@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import array_of, binary_of, cut_lineage, mix, ship, split_words, word_keys
+from tidemark.llm.common import array_of, binary_of, cut_lineage, give_back, mix, ship, split_words, word_keys
 
 ship(__name__)
 
@@ -91,7 +91,7 @@ def _blocks(most_tokens: int):
 
 def _freed(table: pa.Table) -> pa.Table:
     """A group's result, once what its work has freed is given back: workers stay, and two share an executor."""
-    pa.default_memory_pool().release_unused()
+    give_back()
     return table
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage, ship
+from tidemark.llm.common import cut_lineage, give_back, ship
 from tidemark.llm.tokens import encoder
 
 ship(__name__)
@@ -88,6 +88,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                 if with_ids:
                     columns, names = [*columns, pa.array([c.astype(np.int32) for c in chunks], pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     return run
 

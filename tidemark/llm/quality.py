@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage, ship, split_words
+from tidemark.llm.common import cut_lineage, give_back, ship, split_words
 
 ship(__name__)
 
@@ -85,6 +85,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f = text_features(part.column("text"))
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1) * f.shape[1], pa.int32()), pa.array(f.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*part.drop_columns(["text"]).columns, vectors], names=[c for c in part.schema.names if c != "text"] + ["features"])
+    give_back()
 
 
 @dataclass
@@ -185,5 +186,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOS
         for batch in batches:
             for part in _slices(batch):
                 yield part.filter(pa.array(ranking.score(text_features(part.column("text"))) >= CUT))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage, shared_folder, ship
+from tidemark.llm.common import cut_lineage, give_back, shared_folder, ship
 from tidemark.llm.tokens import encoder
 
 ship(__name__)
@@ -155,6 +155,7 @@ def _write(folder: str, path: str, length: int, rows: int):
             for sink in sinks:
                 sink.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [name], "docs": pa.array([docs], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
+        give_back()
 
     return run
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from tidemark.llm.common import ship, split_words
 ship(__name__)
 
 END_ID = 1
-MOST_CACHED = 700_000  # words whose ids a Python worker keeps
+MOST_CACHED = 500_000  # words whose ids a Python worker keeps, some 150 bytes each
 
 
 class Encoder:
@@ -32,7 +33,10 @@ class Encoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
-        self.known: dict[str, np.ndarray] = {}
+        # Ids of the words met so far, one after the other; the end id comes first, so that it is a run like any other.
+        self.known: dict[str, int] = {}
+        self.flat = np.full(1 << 16, END_ID, dtype=self.dtype)
+        self.starts, self.sizes = array("q", [0]), array("q", [1])
 
     def _of_words(self, words: list[str]) -> list[np.ndarray]:
         """Words of letters alone go in long strings: each gives exactly one piece that ends a word."""
@@ -49,56 +53,67 @@ class Encoder:
             out[w] = np.array(e.ids, dtype=self.dtype)
         return [out[w] for w in words]
 
+    def _keep(self, pieces: list[np.ndarray]) -> range:
+        """Places of further pieces in the store."""
+        at, first = self.starts[-1] + self.sizes[-1], len(self.starts)
+        new = np.concatenate(pieces)
+        if at + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:at], np.empty(max(len(self.flat), len(new)), dtype=self.dtype)])
+        self.flat[at : at + len(new)] = new
+        for piece in pieces:
+            self.starts.append(at)
+            self.sizes.append(len(piece))
+            at += len(piece)
+        return range(first, len(self.starts))
+
+    def _ids(self, i: int) -> np.ndarray:
+        return self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]
+
     def _look_up(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words that are not in the store. A stop or comma at the end of letters is a piece of its own."""
         known = self.known
         new: dict[str, None] = {}
-        for w in words:
-            if w not in known:
-                body = w[:-1]
-                if w[-1] in ".," and body.isalpha():
-                    if body not in known:
-                        new[body] = None
-                    if w[-1] not in known:
-                        new[w[-1]] = None
-                else:
-                    new[w] = None
+        parts = [(w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (w,) for w in words]
+        for part in parts:
+            for x in part:
+                if x not in known:
+                    new[x] = None
         found = dict(zip(new, self._of_words(list(new)), strict=True)) if new else {}
-        get = lambda w: known[w] if w in known else found[w]
-        out = []
-        for w in words:
-            if w in known or w in found:
-                out.append(get(w))
-            else:
-                out.append(np.concatenate([get(w[:-1]), get(w[-1])]))
-        if len(known) < MOST_CACHED:
-            known.update(zip(words, out, strict=True))
-        return out
+        get = lambda x: found[x] if x in found else self._ids(known[x])
+        return [get(part[0]) if len(part) == 1 else np.concatenate([get(part[0]), get(part[1])]) for part in parts]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of every text, and all ids in order. Each text ends with END_ID; null is empty."""
         counts, words = split_words(texts)
         ends = np.cumsum(counts)
+        kept = len(self.starts)
+        which = np.zeros(0, dtype=np.int64)
         if len(words):
             coded = words.dictionary_encode()
-            pieces = self._look_up(coded.dictionary.to_pylist())
-            sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-            flat, starts = np.concatenate(pieces), np.cumsum(sizes) - sizes
-            which = coded.indices.to_numpy().astype(np.int64)
-            each = sizes[which]
-        else:
-            flat, starts, which, each = np.empty(0, self.dtype), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        upto = np.concatenate([[0], np.cumsum(each)])
-        tokens = upto[ends] - upto[ends - counts] + 1
+            distinct = coded.dictionary.to_pylist()
+            known = self.known
+            place = np.fromiter((known.get(w, -1) for w in distinct), dtype=np.int64, count=len(distinct))
+            fresh = np.flatnonzero(place < 0)
+            if len(fresh):
+                new = [distinct[i] for i in fresh]
+                got = self._keep(self._look_up(new))
+                place[fresh] = np.arange(got.start, got.stop)
+                if len(known) + len(new) <= MOST_CACHED:
+                    known.update(zip(new, got, strict=True))
+                    kept = got.stop
+            which = place[coded.indices.to_numpy()]
         # Words and text ends in one list of runs, then one gather.
-        runs = np.empty(len(which) + len(counts), dtype=np.int64)
-        first = np.empty(len(runs), dtype=np.int64)
-        last = np.zeros(len(runs), dtype=bool)
+        last = np.zeros(len(which) + len(counts), dtype=bool)
         last[ends + np.arange(len(counts))] = True
-        runs[last], runs[~last] = 1, each
-        first[last], first[~last] = len(flat), starts[which] if len(which) else 0
-        flat = np.append(flat, np.array([END_ID], dtype=self.dtype))
-        begin = np.cumsum(runs) - runs
-        return tokens, flat[np.arange(int(runs.sum())) + np.repeat(first - begin, runs)]
+        runs = np.zeros(len(last), dtype=np.int64)
+        runs[~last] = which
+        sizes = np.frombuffer(self.sizes, dtype=np.int64)[runs]
+        begin = np.frombuffer(self.starts, dtype=np.int64)[runs]
+        upto = np.cumsum(sizes)
+        ids = self.flat[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(begin - (upto - sizes), sizes)]
+        stop = upto[last]
+        del self.starts[kept:], self.sizes[kept:]  # what is not kept
+        return np.diff(stop, prepend=0), ids
 
 
 def encoder(path: str) -> Encoder:
