@@ -293,7 +293,7 @@ def test_cover_tree_keeps_large_vectors(spark, scale):
 
 def test_cover_tree_keeps_ties_of_negative_scores():
     data = np.array([[100.0, 50.0]] * 200 + [[100.0, -50.0]] * 200)
-    row, found, score = dual_search(np.arange(400), data, np.array([1000]), np.array([[-100.0, 0.0]]), 20)
+    row, found, score, _ = dual_search(np.arange(400), data, np.array([1000]), np.array([[-100.0, 0.0]]), np.array([-np.inf]), 20)
     assert sorted(found) == list(range(20)) and set(score) == {-10000}
 
 
@@ -315,6 +315,115 @@ def test_projected_recall(spark):
     assert np.mean([len(got[q] & {i for _, i in v}) / len(v) for q, v in want.items() if v]) >= 0.9
 
 
+def clustered(n=4000, groups=40, dims=16, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((groups, dims)) * 4
+    return np.round((centres[rng.integers(0, groups, n)] + rng.standard_normal((n, dims)) * 0.15) * 64)
+
+
+def brute(ids, data, own, queries, k=20):
+    out = []
+    for i, q in zip(own, queries, strict=True):
+        best: dict = {}
+        for j, s in zip(ids, data @ q, strict=True):
+            if j != i:
+                best[j] = max(best.get(j, -math.inf), s)
+        out.append(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k])
+    return out
+
+
+def test_dual_trees_score_a_part_of_the_pairs():
+    data = clustered()
+    ids = np.arange(len(data))
+    own, queries = ids[::20], data[::20]
+    none = np.full(len(own), -np.inf)
+    row, found, score, scored = dual_search(ids, data, own, queries, none, 20)
+    got = [[] for _ in own]
+    for r, f, s in zip(row, found, score, strict=True):
+        got[r].append((f, s))
+    want = brute(ids, data, own, queries)
+    assert [sorted(g, key=lambda x: (-x[1], x[0])) for g in got] == want
+    assert scored < 0.5 * len(data) * len(own)
+    # With scores known from elsewhere fewer still, and no less is found.
+    kth = np.array([w[-1][1] for w in want])
+    row2, found2, _, again = dual_search(ids, data, own, queries, kth, 20)
+    assert again <= scored and sorted(zip(row2, found2)) == sorted(zip(row, found))
+
+
+def test_cells_of_the_whole_table_are_left_out():
+    from tidemark.llm.cover_tree import CoverCells
+
+    data, space = clustered(), CoverCells()
+    model = space.fit(data[:1000], 30)
+    cell = space.assign(model, data)
+    cells = np.unique(cell)
+    low, high = (np.array(x) for x in zip(*(space.extent(model, c, data[cell == c]) for c in cells), strict=True))
+    queries = data[::20]
+    kth = np.array([w[-1][1] for w in brute(np.arange(len(data)), data, np.arange(len(data))[::20], queries)])
+    worth = space.worth(model, cells, low, high, queries, kth)
+    held = (queries @ data.T >= kth[:, None])
+    assert worth.mean() < 0.5 and not any(held[:, cell == c].any(axis=1)[~worth[:, i]].any() for i, c in enumerate(cells))
+
+
+@pytest.mark.parametrize("kind", ["clustered", "even"])
+def test_projections_verify_a_part_of_the_pairs(kind):
+    from tidemark.llm.projected_knn import DIMS, SURE, ProjectedCells
+
+    rng = np.random.default_rng(8)
+    data = clustered() / 64 if kind == "clustered" else rng.standard_normal((4000, 64))
+    data /= np.linalg.norm(data, axis=1)[:, None]
+    ids = np.arange(len(data))
+    own, queries = ids[::20], data[::20]
+    space = ProjectedCells(1 + 1e-9, DIMS, SURE, 7)
+    row, found, score, count = space.verified(ids, data, own, queries, np.full(len(own), -np.inf), 20)
+    want = brute(ids, data, own, queries)
+    hits = sum(len({i for i, _ in want[r]} & set(found[row == r])) for r in range(len(own)))
+    assert hits >= 0.9 * 20 * len(own) and count < 0.8 * len(data) * len(own)
+    assert kind == "even" or count < 0.5 * len(data) * len(own)
+    model = space.fit(data[:1000], 30)
+    cell = space.assign(model, data)
+    assert len(np.unique(cell)) == 30
+    low, high = (np.array(x) for x in zip(*(space.extent(model, c, data[cell == c]) for c in range(30)), strict=True))
+    worth = space.worth(model, np.arange(30), low, high, queries, np.array([w[-1][1] for w in want]))
+    assert kind == "even" or worth.mean() < 0.5
+
+
+@pytest.mark.parametrize("name", ["cover", "projected"])
+def test_searches_over_many_cells_and_repeated_ids(spark, monkeypatch, name):
+    from tidemark.llm import knn
+
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(knn, "QUERY_ROWS", 7)
+    data = clustered(1500, 30, 8) / 64
+    rows = [(i, v.tolist()) for i, v in enumerate(data.astype("f4"))]
+    rows += [(5000, (data[0] * (1 + j / 100)).tolist()) for j in range(30)]  # one id, best with the longest
+    rows += [(20, data[7].tolist())] * 3 + [(6000 + j, data[40].tolist()) for j in range(60)]  # a query's id again, ties
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = F.col("vec_id") % 20 == 0
+    value = (lambda x: math.floor(64 * x)) if name == "cover" else float
+    out = (exact_top_k if name == "cover" else nearest_projected)(frame, asked).orderBy("query_id", "rank").collect()
+    ids = np.array([i for i, _ in rows])
+    whole = np.array([[value(float(np.float32(x))) for x in v] for _, v in rows])
+    got: dict = {}
+    for r in out:
+        got.setdefault(r.query_id, []).append((r.vec_id, float(r.score)))
+        assert r["rank"] == len(got[r.query_id])
+    hits = total = 0
+    for q in {i for i in ids.tolist() if i % 20 == 0}:
+        best: dict = {}
+        for v in whole[ids == q]:
+            for j, s in zip(ids.tolist(), whole @ v, strict=True):
+                if j != q:
+                    best[j] = max(best.get(j, -math.inf), float(s))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+        assert len(got[q]) == 20
+        if name == "cover":
+            assert got[q] == want
+        hits, total = hits + len({i for i, _ in got[q]} & {i for i, _ in want}), total + 20
+        assert all(s == pytest.approx(best[j], abs=1e-5) for j, s in got[q])
+    assert hits >= 0.9 * total
+
+
 def test_signatures_estimate_weighted_jaccard():
     base = [f"w{i % 90}" for i in range(500)]
     texts = [" ".join(base), " ".join(base[:430] + ["z"] * 70), "a b c " * 200, "a b c " * 170]

@@ -1,9 +1,10 @@
 """Exact top-k search with two cover trees.
 
-Vectors and queries of a block pair are indexed by cover trees: a node at level i covers its points within STEP^i of its
-centre, and the centres of its children (level i - 1) are more than STEP^(i-1) apart. Pairs of nodes are visited together, those
-with the highest bound first. No score of a pair of nodes (q, r) exceeds q.r + |q| R_r + |r| R_q + R_q R_r with the
-covering radii R; the pair goes if that is below the worst kth score of the query node's points.
+A node covers its points within its radius; its children's centres are a net: taken farthest first, so they lie at least as far
+apart as the radius that they cover, and every point belongs to the nearest. The upper level of the data's tree is made of cells of the
+whole table (its net is taken from a sample, the radii from all rows), the levels below of each block in a task; queries have a tree of their own.
+Pairs of nodes are visited together, those with the highest bound first. No score of a pair of nodes (q, r) exceeds
+q.r + |q| R_r + |r| R_q + R_q R_r with the covering radii R; the pair goes if that is below the worst kth score of the query node's points.
 """
 
 from __future__ import annotations
@@ -13,59 +14,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ship
-from tidemark.llm.knn import search, usable
+from tidemark.llm.knn import distinct_best, search, usable
 
 ship(__name__)
 
-LEAF = 256
+LEAF = 64  # points of a node whose children would be points
+FANOUT = 16  # children of a node
 LOWEST = -(1 << 63)  # below all scores
-FEWEST = 32
-STEP = 1.3  # between the radii of levels
 LARGEST = 1e150  # of a quantised component: squares of more are no doubles
 
 
-class Node:
-    __slots__ = ("centre", "radius", "size", "rows", "children", "norm")
+def net(points: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of centres, each point's centre): farthest first from the first point on, `most` at most, none of them equal."""
+    def away(at: int) -> np.ndarray:
+        d = points - points[at]
+        return np.einsum("ij,ij->i", d, d)
 
-    def __init__(self, centre: np.ndarray, radius: float, rows: np.ndarray):
-        self.centre, self.radius, self.rows = centre, radius, rows
-        self.norm, self.children = float(np.sqrt(centre @ centre)), []
+    centres, near = [0], away(0)
+    owner = np.zeros(len(points), dtype=np.int64)
+    while len(centres) < most:
+        at = int(near.argmax())
+        if near[at] <= 0:
+            break
+        new = away(at)
+        closer = new < near
+        owner[closer], near[closer] = len(centres), new[closer]
+        centres.append(at)
+    return np.array(centres), owner
 
 
-def cover_tree(points: np.ndarray, leaf: int = LEAF) -> Node:
-    """The radius kept is the true one, at most the level's. A node of `leaf` points, or of equal points, is not split,
-    nor one that would fall into children of FEWEST points on average: distances there are too alike to prune by."""
+class Node:
+    __slots__ = ("centre", "radius", "rows", "children", "norm")
 
-    def spread(rows: np.ndarray, at: int) -> np.ndarray:
+    def __init__(self, points: np.ndarray, at: int, rows: np.ndarray):
         d = points[rows] - points[at]
-        return np.sqrt(np.einsum("ij,ij->i", d, d))
-
-    def split(node: Node, at: int, away: np.ndarray) -> list[tuple[Node, int, np.ndarray]]:
-        cover = STEP ** np.floor(np.log(node.radius) / np.log(STEP))
-        cover = cover / STEP if cover >= node.radius else cover  # the next level down
-        out, rows, dist = [], node.rows, away
-        # The node's own centre is the first child's; then the farthest point that no child covers.
-        while True:
-            near = dist <= cover
-            out.append((Node(points[at], float(dist[near].max()), rows[near]), at, dist[near]))
-            rows, dist = rows[~near], dist[~near]
-            if not len(rows):
-                return out
-            if len(out) * FEWEST > len(node.rows):
-                return []
-            at = int(rows[int(np.argmax(dist))])
-            dist = spread(rows, at)
-
-    rows = np.arange(len(points))
-    away = spread(rows, 0)
-    root = Node(points[0], float(away.max()), rows)
-    stack = [(root, 0, away)]
+        self.centre, self.rows, self.children = points[at], rows, []
+        self.radius = float(np.sqrt(np.einsum("ij,ij->i", d, d).max()))
+        self.norm = float(np.sqrt(self.centre @ self.centre))
+
+
+def cover_tree(points: np.ndarray, leaf: int = LEAF) -> Node:
+    root = Node(points, 0, np.arange(len(points)))
+    stack = [root]
     while stack:
-        node, at, away = stack.pop()
+        node = stack.pop()
         if len(node.rows) > leaf and node.radius > 0:
-            children = split(node, at, away)
-            node.children = [n for n, _, _ in children]
-            stack.extend(children)
+            centres, owner = net(points[node.rows], FANOUT)
+            node.children = [Node(points, int(node.rows[c]), node.rows[owner == i]) for i, c in enumerate(centres)]
+            stack.extend(node.children)
     return root
 
 
@@ -86,32 +82,42 @@ def _fitting(scores: np.ndarray, own: np.ndarray, x: np.ndarray, y: np.ndarray)
     return scores
 
 
-def dual_search(ids: np.ndarray, data: np.ndarray, qs: np.ndarray, q_data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, score) of the k best; integer data, exact."""
-    top = np.full((len(qs), k), LOWEST)
-    top_ids = np.full((len(qs), k), np.iinfo(np.int64).max)
-    most = float(np.abs(data).max(initial=0)) * float(np.abs(q_data).max(initial=0)) * data.shape[1]
-    a, b = (data, q_data) if most < 2.0**53 else (_wrapped(data), _wrapped(q_data))
+def dual_search(ids: np.ndarray, data: np.ndarray, own: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query row, vec_id, score) of each query's k best that reach kth, and how many pairs were scored; integer data, exact."""
+    top = np.full((len(own), k), LOWEST)
+    top_ids = np.full((len(own), k), np.iinfo(np.int64).max)
+    # A double below the kth score: no score that reaches it is lost to rounding.
+    floor = np.where(np.isfinite(kth), kth - np.abs(kth) * 2.0**-50, -np.inf)
+    most = float(np.abs(data).max(initial=0)) * float(np.abs(queries).max(initial=0)) * data.shape[1]
+    a, b = (data, queries) if most < 2.0**53 else (_wrapped(data), _wrapped(queries))
+    repeated = len(np.unique(ids)) < len(ids)
+    scored = 0
+
+    lengths = np.sqrt((queries * queries).sum(axis=1))
 
     def base(q: Node, r: Node) -> None:
-        scores = (b[q.rows] @ a[r.rows].T).astype(np.int64)
-        own = qs[q.rows][:, None] == ids[r.rows][None]
+        """Two leaves: each query on its own may still leave out the points."""
+        nonlocal scored
+        up = queries[q.rows] @ r.centre + lengths[q.rows] * (r.radius + (r.norm + r.radius) * 1e-9) + 1e-6
+        rows = q.rows[up >= np.maximum(top[q.rows, k - 1].astype(float), floor[q.rows])]
+        if not len(rows):
+            return
+        scored += len(rows) * len(r.rows)
+        scores = (b[rows] @ a[r.rows].T).astype(np.int64)
+        mine = own[rows][:, None] == ids[r.rows][None]
         if most >= 2.0**62:
-            scores = _fitting(scores, own, q_data[q.rows], data[r.rows])
-        scores[own] = LOWEST
-        worst = top[q.rows, k - 1]
-        hit = np.flatnonzero((scores >= worst[:, None]).any(axis=1))
-        for i in hit:
-            row = q.rows[i]
-            some = np.flatnonzero(scores[i] >= worst[i])
-            if len(some) > 4 * k:
+            scores = _fitting(scores, mine, queries[rows], data[r.rows])
+        scores[mine] = LOWEST
+        worst = top[rows, k - 1]
+        reach = (scores >= worst[:, None]) & (scores >= floor[rows][:, None]) & ~mine
+        for i in np.flatnonzero(reach.any(axis=1)):
+            row, some = rows[i], np.flatnonzero(reach[i])
+            if len(some) > 4 * k and not repeated:
                 some = some[scores[i][some] >= np.partition(scores[i][some], -k)[-k]]
-            both = np.concatenate([top[row], scores[i][some]])
-            both_ids = np.concatenate([top_ids[row], ids[r.rows[some]]])
-            order = np.lexsort((both_ids, ~both))[:k]
-            top[row], top_ids[row] = both[order], both_ids[order]
-
-    low = LOWEST
+            both = np.concatenate([top[row][top[row] > LOWEST], scores[i][some]])
+            both_ids = np.concatenate([top_ids[row][top[row] > LOWEST], ids[r.rows[some]]])
+            best = distinct_best(both_ids, both, k) if repeated else np.lexsort((both_ids, ~both))[:k]
+            top[row, : len(best)], top_ids[row, : len(best)] = both[best], both_ids[best]
 
     def bounds(q: Node, others: list[Node]) -> np.ndarray:
         centres = np.array([r.centre for r in others])
@@ -119,12 +125,12 @@ def dual_search(ids: np.ndarray, data: np.ndarray, qs: np.ndarray, q_data: np.nd
         slack = (q.norm + q.radius) * (norms + radii) * 1e-9 + 1e-6  # rounding goes with the lengths, whatever the score
         return centres @ q.centre + q.norm * radii + norms * q.radius + q.radius * radii + slack
 
-    tree, queries = cover_tree(data), cover_tree(q_data)
-    stack = [(queries, tree, np.inf)]
+    first, other = cover_tree(queries), cover_tree(data)
+    stack = [(first, other, float(bounds(first, [other])[0]))]
     while stack:
         q, r, bound = stack.pop()
-        worst = top[q.rows, k - 1].min()  # the query group's worst kth score
-        if worst > low and bound < worst:
+        worst = np.maximum(top[q.rows, k - 1].astype(float), floor[q.rows]).min()  # the query group's worst kth score
+        if worst > LOWEST and bound < worst:
             continue
         if not q.children and not r.children:
             base(q, r)
@@ -133,8 +139,33 @@ def dual_search(ids: np.ndarray, data: np.ndarray, qs: np.ndarray, q_data: np.nd
             stack.extend((q, r.children[i], up[i]) for i in np.argsort(up, kind="stable"))
         else:
             stack.extend((c, r, float(bounds(c, [r])[0])) for c in q.children)
-    some = top > low
-    return np.nonzero(some)[0], top_ids[some], top[some]
+    some = top > LOWEST
+    return np.nonzero(some)[0], top_ids[some], top[some], scored
+
+
+class CoverCells:
+    """Cells around the centres of a net; an extent is a covering radius."""
+
+    def fit(self, sample: np.ndarray, cells: int) -> np.ndarray:
+        return sample[net(sample, cells)[0]]
+
+    def assign(self, model: np.ndarray, data: np.ndarray) -> np.ndarray:
+        # Nearest of the centres, up to rounding; the radii come from the cell that is given here.
+        scale = max(float(np.abs(model).max(initial=0)), float(np.abs(data).max(initial=0)), 1.0)
+        x, c = data / scale, model / scale
+        return ((c * c).sum(axis=1)[None] - 2 * (x @ c.T)).argmin(axis=1)
+
+    def extent(self, model: np.ndarray, cell: int, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = data - model[cell]
+        return np.zeros(1), np.sqrt(np.einsum("ij,ij->i", d, d).max(keepdims=True))
+
+    def worth(self, model: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray, queries: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        norms, radii = np.sqrt((queries * queries).sum(axis=1))[:, None], high[:, 0][None]
+        slack = norms * (np.sqrt((model[cells] ** 2).sum(axis=1))[None] + radii) * 1e-9 + 1e-6
+        return queries @ model[cells].T + norms * radii + slack >= kth[:, None]
+
+    def search(self, ids, data, own, queries, kth, k):
+        return dual_search(ids, data, own, queries, kth, k)[:3]
 
 
 def exact_top_k(vectors: DataFrame, asked: Column, k: int = 20) -> DataFrame:
@@ -142,7 +173,7 @@ def exact_top_k(vectors: DataFrame, asked: Column, k: int = 20) -> DataFrame:
 
     A component x becomes floor(64 * x), x as double. vectors: vec_id, embedding; asked (over vec_id): the queries;
     candidates: every row but the query's own. Vectors null, empty, or with null or non-finite components take no part,
-    nor a null vec_id. Zero vectors do. Ties go to the smaller vec_id. Vectors of equal vec_id are one candidate, with
+    nor a null vec_id; other columns are not read. Zero vectors do. Ties go to the smaller vec_id. Vectors of equal vec_id are one candidate, with
     their best score. A score that does not fit a long stops the job, as does a component that becomes LARGEST or more.
     """
     too_large = F.raise_error(F.lit("a component is too large for scores that fit a long")).cast("double")
@@ -152,4 +183,4 @@ def exact_top_k(vectors: DataFrame, asked: Column, k: int = 20) -> DataFrame:
         return F.when(F.abs(x) < float("inf"), whole)
 
     rows = usable(vectors, quantised, zero=True)
-    return search(rows, asked, k, dual_search, "long")
+    return search(rows, asked, k, CoverCells(), "long")
