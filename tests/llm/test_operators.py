@@ -25,7 +25,7 @@ from tidemark.llm.mixing import mix_rows, mixed, split_quotas
 from tidemark.llm.packing import packed, plan
 from tidemark.llm.projected_knn import nearest_projected
 from tidemark.llm.quality import quality_scores
-from tidemark.llm.queries import SQL, QUERIES, WORD_BPE
+from tidemark.llm.queries import SQL, QUERIES, WORD_BPE, mix_sql
 from tidemark.llm.token_files import Shard, _fs, read_token_files, write_token_files
 from tidemark.llm.tokens import END_ID, Encoder
 
@@ -521,10 +521,60 @@ def test_mix(spark, hard):
     assert len(out) == len(HARD) and all(len(r.draws) <= 3 for r in out)
     assert sum({r.source: r.target for r in out}.values()) == pytest.approx(sum(r.size for r in out))
     assert mix_rows(hard).columns == hard.columns and mixed(hard.limit(0)).count() == 0
+
+
+def test_quotas_stay_exact_and_follow_the_urn(spark):
     quotas = spark.createDataFrame([(0, 50), (1, 7), (2, 0), (3, 1)], "source int, blocks long")
     leaves = split_quotas(quotas, 5, 3).toPandas()
     assert leaves.groupby("source").blocks.sum().to_dict() == {0: 50, 1: 7, 3: 1}
     assert leaves.groupby("shard").blocks.sum().between(11, 12).all()
+    # Of 20 and 60 blocks a half of 40 gets 10 of the first on average, with the urn's variance of 3.8.
+    pair = spark.createDataFrame([(0, 20), (1, 60)], "source int, blocks long")
+    left = [split_quotas(pair, 2, seed).where("shard = 0 AND source = 0").first().blocks for seed in range(25)]
+    assert np.mean(left) == pytest.approx(10, abs=1.6) and 1 < np.var(left) < 9
+
+
+def test_mix_deals_disjoint_blocks_to_shards(spark):
+    rng = random.Random(4)
+    rows = [(i, f"s{min(rng.randrange(8), 2)}", " ".join(["w"] * rng.randrange(0, 40))) for i in range(400)] + [(1000 + i, "silent", "") for i in range(300)]
+    names = ["rank", "passes", "rest", "n_blocks", "_block", "pass", "shard", "seat", "cut", "words", "turn", "_row", "_size", "size", "row", "key", "place", "low"]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({n: F.lit(f"own {n}") for n in names})
+    options = {"block_words": 100, "shard_words": 500}
+    out = mixed(frame, **options).collect()
+    assert all(getattr(r, n) == f"own {n}" for r in out for n in names if n not in ("size",))
+    size, source = {i: len(t.split()) for i, _, t in rows}, {i: s for i, s, _ in rows}
+    taken: Counter = Counter()
+    for r in out:
+        taken[r.source] += r.size * len(r.draws)
+        assert len({d["pass"] for d in r.draws}) == len(r.draws) <= 3 and r.size == size[r.doc_id]
+    for r in out:
+        assert abs(taken[r.source] - r.target) <= 20
+    shards = max(d.shard for r in out for d in r.draws) + 1
+    assert shards == math.ceil(sum(size.values()) / 500) > 4
+    again = {r.doc_id: r.draws for r in mixed(frame.repartition(7), **options).collect()}
+    assert again == {r.doc_id: r.draws for r in out}
+    mix = mix_rows(frame, **options)
+    assert mix.columns == frame.columns
+    # Each row stands where its seat says, with the rows of its shard.
+    got = [r.doc_id for r in mix.collect()]
+    want: dict = {}
+    for r in out:
+        for d in r.draws:
+            want.setdefault(d.shard, []).append((d.seat, d["pass"], r.doc_id))
+    runs = [[i for *_, i in sorted(v)] for v in want.values()]
+    text = "," + ",".join(map(str, got)) + ","
+    assert len(got) == sum(map(len, runs)) and all("," + ",".join(map(str, run)) + "," in text for run in runs)
+    assert len({i for i in source if source[i] == "silent"} & {r.doc_id for r in out}) == 300
+
+
+@pytest.mark.parametrize("words", [(300, 2_000), (2_000, 5_000)])
+def test_mix_matches_sql_with_many_shards(spark, words):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+    want = {r[0]: r[-1] for r in con.sql(mix_sql(*words)).to_arrow_table().select(["doc_id", "draws"]).to_pandas().itertuples(index=False)}
+    got = {r.doc_id: ",".join(f"{d['pass']}:{d.shard}:{d.seat}" for d in r.draws) for r in mixed(docs, block_words=words[0], shard_words=words[1]).collect()}
+    assert got == want and len({d.split(":")[1] for v in got.values() for d in v.split(",") if d}) > 8
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

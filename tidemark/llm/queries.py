@@ -15,7 +15,7 @@ from tidemark.llm.impact_ranking import ranked
 from tidemark.llm.interpolation import interpolated_scores
 from tidemark.llm.licenses import TIERS, license_scan
 from tidemark.llm.lines import MIN_NEAR, line_dedup
-from tidemark.llm.mixing import BLOCK_WORDS, mixed, word_count
+from tidemark.llm.mixing import BLOCK_WORDS, SHARD_WORDS, mixed, word_count
 from tidemark.llm.multiset_hash import document_fingerprints
 from tidemark.llm.packing import packed
 from tidemark.llm.projected_knn import nearest_projected
@@ -72,11 +72,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """draws: pass:shard:seat for each time the document is taken."""
     docs = table(spark, sf_dir, "documents")
     # Words are counted once; the mix is planned over the counts.
     light = cut_lineage(docs.select("doc_id", "source", word_count("text").alias("words"), F.md5(F.coalesce("text", F.lit(""))).alias("tie")))
     drawn = mixed(light, size=F.col("words"), tie=F.col("tie"))
-    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
+    told = F.transform("draws", lambda d: F.concat_ws(":", d["pass"], d["shard"], d["seat"]))
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"), F.array_join(told, ",").alias("draws"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,14 +151,17 @@ SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE count(*) END AS BIGIN
 FROM documents d JOIN told t ON t.doc_id = d.doc_id GROUP BY d.doc_id, d.text
 """
 
-MIX_SQL = f"""
-WITH base AS (
+
+
+def mix_sql(block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> str:
+    return f"""
+WITH RECURSIVE base AS (
   SELECT doc_id, source IS NULL AS s_null, coalesce(source, '') AS s_name,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
          md5('1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS spot
   FROM documents
 ),
-sized AS (SELECT s_null, s_name, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY ALL),
+sized AS (SELECT s_null, s_name, CAST(sum(size) AS BIGINT) AS source_size, sum(greatest(size, 1)) AS units FROM base GROUP BY ALL),
 ranked AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY s_null, s_name) - 1) % 3 + 1 AS INT)] AS weight, row_number() OVER (ORDER BY s_null, s_name) AS rank FROM sized),
 leveled AS (
   SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
@@ -165,23 +170,51 @@ leveled AS (
 ),
 told AS (SELECT *, source_size * 3 <= (total - 3 * held) / CAST(weights - held_weight AS DOUBLE) * weight AS is_full FROM leveled),
 targets AS (
-  SELECT s_null, s_name, source_size,
+  SELECT s_null, s_name, source_size, units, rank,
          CASE WHEN is_full THEN CAST(source_size * 3 AS DOUBLE)
               ELSE CAST(total - 3 * coalesce(sum(source_size) FILTER (is_full) OVER (), 0) AS DOUBLE) / (weights - coalesce(sum(weight) FILTER (is_full) OVER (), 0)) * weight END AS target
   FROM told
 ),
 plan AS (
-  SELECT *, CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size) AS INT)) ELSE 0 END AS passes, greatest(1, CAST(ceil(source_size / {float(BLOCK_WORDS)}) AS INT)) AS n_blocks FROM targets
+  SELECT *, CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size) AS INT)) ELSE 0 END AS passes, greatest(1, CAST(ceil(units / {float(block_words)}) AS INT)) AS n_blocks FROM targets
 ),
 rest AS (SELECT *, CASE WHEN passes < 3 THEN greatest(0.0::DOUBLE, target - passes * source_size) ELSE 0.0 END AS left_over FROM plan),
 known AS (SELECT *, CAST(('0x' || substr(spot, 1, 8)) AS BIGINT) % n_blocks AS block FROM base JOIN rest USING (s_null, s_name)),
-blocks AS (SELECT s_null, s_name, block, sum(size) AS words, any_value(left_over) AS left_over, md5('1|' || any_value(passes) || '|' || s_name || '|' || CAST(s_null AS INT) || '|' || block) AS turn FROM known GROUP BY s_null, s_name, block),
-cuts AS (SELECT *, left_over - (sum(words) OVER (PARTITION BY s_null, s_name ORDER BY turn, block ROWS UNBOUNDED PRECEDING) - words) AS cut FROM blocks),
-placed AS (SELECT *, sum(size) OVER (PARTITION BY s_null, s_name, block ORDER BY spot ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS middle FROM known)
-SELECT doc_id, p.size, source_size, target, CAST(p.size * (passes + CASE WHEN cut > 0 AND middle <= cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM placed p JOIN cuts c USING (s_null, s_name, block)
+blocks AS (SELECT s_null, s_name, rank, block, sum(size) AS words, any_value(left_over) AS left_over, any_value(passes) AS passes FROM known GROUP BY ALL),
+turns AS (
+  SELECT *, row_number() OVER o AS place, count(*) OVER (PARTITION BY rank, pass) AS held,
+         CASE WHEN pass = passes THEN left_over - (sum(words) OVER (o ROWS UNBOUNDED PRECEDING) - words) END AS cut
+  FROM (SELECT *, CAST(('0x' || substr(md5('1|' || pass || '|' || s_name || '|' || CAST(s_null AS INT) || '|' || block), 1, 13)) AS BIGINT) AS turn
+        FROM (SELECT *, unnest(range(0, passes + 1)) AS pass FROM blocks))
+  WINDOW o AS (PARTITION BY rank, pass ORDER BY turn, block)
+),
+taken AS (SELECT *, pass * held + place AS nth FROM turns WHERE cut IS NULL OR cut > 0),
+-- The tree: the blocks with the smallest keys go to a node's left half.
+node AS (
+  SELECT 0 AS low, CAST(greatest(1, ceil((SELECT sum(size) FROM base) / {float(shard_words)})) AS INT) AS high, 0 AS level, rank - 1 AS source, count(*) AS blocks FROM taken GROUP BY rank
+  UNION ALL
+  SELECT CASE WHEN hit THEN low ELSE half END, CASE WHEN hit THEN half ELSE high END, level + 1, source, count(*)
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY low ORDER BY key, source, ball) <= total * (half - low) // (high - low) AS hit
+    FROM (
+      SELECT *, CAST(('0x' || substr(md5('1|' || low || '|' || level || '|' || source || '|' || ball), 1, 13)) AS BIGINT) AS key
+      FROM (SELECT *, (low + high) // 2 AS half, CAST(sum(blocks) OVER (PARTITION BY low) AS BIGINT) AS total, unnest(range(1, blocks + 1)) AS ball FROM node WHERE high - low > 1)
+    )
+  )
+  GROUP BY ALL
+),
+leaves AS (SELECT low AS shard, source, blocks, sum(blocks) OVER (PARTITION BY source ORDER BY low) AS upto FROM node WHERE high - low = 1),
+dealt AS (SELECT t.s_null, t.s_name, t.block, t.pass, t.cut, l.shard FROM taken t JOIN leaves l ON l.source = t.rank - 1 AND t.nth > l.upto - l.blocks AND t.nth <= l.upto),
+placed AS (SELECT *, sum(size) OVER (PARTITION BY s_null, s_name, block ORDER BY spot ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS middle, row_number() OVER () AS row_no FROM known)
+SELECT any_value(p.doc_id) AS doc_id, any_value(p.size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+       CAST(any_value(p.size) * count(d.pass) AS BIGINT) AS taken,
+       coalesce(string_agg(d.pass || ':' || d.shard || ':' || CAST(('0x' || substr(md5('1|' || p.spot || '|' || d.pass), 1, 15)) AS BIGINT), ',' ORDER BY d.pass), '') AS draws
+FROM placed p LEFT JOIN dealt d ON d.s_null = p.s_null AND d.s_name = p.s_name AND d.block = p.block AND (d.cut IS NULL OR middle <= d.cut) GROUP BY row_no
 """
 
+
+MIX_SQL = mix_sql()
+
 TOP_K_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
