@@ -18,8 +18,8 @@ from tidemark.llm.knn import distinct_best, search, usable
 
 ship(__name__)
 
-LEAF = 64  # points of a node whose children would be points
-FANOUT = 16  # children of a node
+LEAF = 256  # points of a node that is not split: they are scored at once
+FANOUT = 32  # children of a node
 LOWEST = -(1 << 63)  # below all scores
 LARGEST = 1e150  # of a quantised component: squares of more are no doubles
 
