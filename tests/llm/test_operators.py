@@ -19,7 +19,7 @@ import corpus_pipeline
 from tidemark.llm.bagminhash import bags, keep_one, near_duplicates, signatures
 from tidemark.llm.cover_tree import dual_search, exact_top_k
 from tidemark.llm.interpolation import interpolated_scores
-from tidemark.llm.licenses import license_scan, rules
+from tidemark.llm.licenses import BASE, license_scan, rules
 from tidemark.llm.lines import line_dedup, repeated_lines
 from tidemark.llm.mixing import mix_rows, mixed, split_quotas
 from tidemark.llm.packing import packed, plan
@@ -262,6 +262,44 @@ def test_every_license_rule_fires_on_its_own_wording(spark):
     assert all(said[r.text] in {d.label for d in r.detections} for r in told)
 
 
+def test_license_base_columns_match_sql(spark):
+    """Words and phrases of whole texts by DuckDB."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in BASE)
+    want = duckdb.sql(f"""
+      WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM '{path}'),
+      p AS (SELECT string_split(phrase, ' ') AS phrase, label FROM (VALUES {phrases}) t(phrase, label)),
+      spots AS (SELECT doc_id, label, unnest(list_filter(range(len(words)), lambda i: words[i + 1 : i + len(phrase)] = phrase)) AS word FROM w, p)
+      SELECT w.doc_id, any_value(len(words)) AS n_words, count(word) AS n_base, min(word) AS first_word, max(word) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+      FROM w LEFT JOIN spots ON spots.doc_id = w.doc_id GROUP BY w.doc_id""").to_arrow_table().to_pylist()
+    got = QUERIES["op5_license_scan"](spark, "/root/testdata/sf0.01").select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    assert sum(r["n_base"] for r in want) > 20
+    assert sorted((tuple(r.asDict().values()) for r in got)) == sorted(tuple(r.values()) for r in want)
+
+
+def test_a_text_of_many_detections_ends_in_time(spark):
+    import time
+
+    text = "MIT License, Apache License 2.0; all rights reserved. " * 33_000  # 1.8 MB
+    start = time.perf_counter()
+    row = license_scan(spark.createDataFrame([(text,), (text[:108],)], "text string")).orderBy(F.desc(F.length("text"))).collect()
+    assert time.perf_counter() - start < 120
+    few = row[1].detections
+    assert len(few) == 6 and len(row[0].detections) == 33_000 * 3 and len(row[0].base) == 66_000
+    assert [(d.start, d.stop, d.label) for d in row[0].detections[:6]] == [(d.start, d.stop, d.label) for d in few]
+    assert [d.start for d in row[0].detections] == [9 * (i // 3) + (0, 2, 6)[i % 3] for i in range(99_000)]
+
+
+def test_a_text_of_many_equal_lines_ends_in_time(spark):
+    import time
+
+    rows = [(1, "the same line of more than twenty characters\n" * 20_000 + "end"), (2, "\n".join(f"line {i} of its own, long enough to be looked at" for i in range(5_000)))]
+    start = time.perf_counter()
+    out = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.perf_counter() - start < 120
+    assert out[1].text == "the same line of more than twenty characters\nend" and (out[1].n_lines, out[1].n_kept) == (20_001, 2)
+
+
 def vectors(spark, n=300):
     rng = np.random.default_rng(2)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((n, 12)).astype("f4"))]
