@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "shared_folder", "ship", "table", "split_words", "word_keys", "mix", "binary_of", "array_of", "small", "give_back"]
+__all__ = ["cut_lineage", "shared_folder", "ship", "table", "split_words", "word_keys", "mix", "binary_of", "array_of", "small", "slices", "give_back"]
 
 
 def ship(name: str) -> None:
@@ -38,6 +39,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST_ROWS else df
 
 
+def slices(batch: pa.RecordBatch, *columns: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about a MB of the texts in `columns` (or one longer row): the arrays of words take many times the texts' bytes."""
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    starts = np.flatnonzero(np.diff(np.cumsum(size + 64) // most, prepend=-1))
+    for at, end in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
+        yield batch.slice(int(at), int(end - at))
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
     """Words per text and all words in order; words end at the six ASCII space characters. Null is empty.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import array_of, binary_of, cut_lineage, give_back, mix, ship, split_words, word_keys
+from tidemark.llm.common import array_of, binary_of, cut_lineage, give_back, mix, ship, slices, split_words, word_keys
 
 ship(__name__)
 
@@ -61,8 +61,7 @@ def _blocks(most_tokens: int):
         held: dict[int, list] = {FIT: [], DEV: [], REST: []}
         tokens = dict.fromkeys(held, 0)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
+            for piece in slices(batch, "text"):
                 counts, words = split_words(piece.column("text"), lower=True)
                 keys = word_keys(words)
                 sizes = counts + 1

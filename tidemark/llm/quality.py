@@ -12,11 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage, give_back, ship, split_words
+from tidemark.llm.common import cut_lineage, give_back, ship, slices, split_words
 
 ship(__name__)
 
@@ -71,17 +70,9 @@ def text_features(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about a MB of text (or one longer text), since features take many times the text's bytes."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
-    starts = np.flatnonzero(np.diff(ends // most, prepend=-1))
-    for at, end in zip(starts, np.append(starts[1:], len(ends)), strict=True):
-        yield batch.slice(at, end - at)
-
-
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in _slices(batch):
+        for part in slices(batch, "text"):
             f = text_features(part.column("text"))
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1) * f.shape[1], pa.int32()), pa.array(f.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*part.drop_columns(["text"]).columns, vectors], names=[c for c in part.schema.names if c != "text"] + ["features"])
@@ -184,7 +175,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, "text"):
                 yield part.filter(pa.array(ranking.score(text_features(part.column("text"))) >= CUT))
         give_back()
 
