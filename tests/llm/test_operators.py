@@ -525,6 +525,33 @@ def test_near_duplicates_in_a_group_that_is_mostly_below_the_limit(spark, monkey
     assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(group))
 
 
+@pytest.mark.parametrize("depth", [1, 2])
+def test_pairs_meet_in_split_buckets(depth):
+    """Pairs at the limit, all of whose buckets are split: each meets in one spot of one band."""
+    from tidemark.llm import bagminhash
+
+    rng, texts, n = np.random.default_rng(11), [], 40
+    for _ in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 204)]
+        other = [*words]
+        for at in (30, 80, 130, 180)[: 4 if rng.random() < 0.5 else 3]:  # each changes 5 of 200 shingles
+            other[at] = "new"
+        texts += [" ".join(words), " ".join(other)]
+    parts = bags(pa.array(texts))
+    keys = bagminhash.band_keys(signatures(*parts, 2 * n))
+    pieces = bagminhash.bit_pieces(signatures(*parts, 2 * n, bagminhash.LONGER))
+    split = [depth * sum(1 << 3 * b for b in range(16))] * (2 * n)
+    rows = {
+        "bucket": keys.view(np.int64).T.reshape(-1), "band": np.repeat(np.arange(32, dtype=np.int32), 2 * n), "bag": np.tile(np.arange(2 * n), 32),
+        "n": np.full(64 * n, 200), "label": np.tile(np.arange(2 * n), 32), "depth": np.full(64 * n, depth, np.int32),
+        "pieces": pa.array([x.tobytes() for x in pieces] * 32, pa.binary()), "depths0": split * 32, "depths1": split * 32,
+        "keys": pa.array([x.astype("<u4").tobytes() for x in keys] * 32, pa.binary()),
+    }
+    spots = pa.Table.from_batches(bagminhash._split(pa.table(rows).to_batches())).sort_by("spot").combine_chunks()
+    met = pa.Table.from_batches(bagminhash._meet(0.8)(spots.to_batches()))
+    assert sorted(zip(met["a"].to_pylist(), met["b"].to_pylist())) == [(2 * i, 2 * i + 1) for i in range(n)]
+
+
 def test_keep_one_with_names_of_its_own(spark):
     frame = spark.createDataFrame([(1, "a b c d e f", 7, "x", "r"), (2, "a b c d e f", 8, "y", "s"), (3, " ", 9, "z", "t")], "doc_id long, text string, _id long, keeper_key string, row string").withColumn("id", F.lit("i")).withColumn("wordless", F.lit(5))
     assert [tuple(r) for r in keep_one(frame).orderBy("doc_id").collect()] == [(1, "a b c d e f", 7, "x", "r", "i", 5), (3, " ", 9, "z", "t", "i", 5)]

@@ -39,8 +39,9 @@ LONGER = PIECES * PIECE
 MISS = 5e-8  # chance that a pair exactly as similar as asked fails the count of agreeing components
 MOST = 1024  # bags of an open bucket that is not split
 FALL = 6  # times as few bags in a bucket for each more piece, about
-# Draws for 0, 1, 2, ... pieces: a pair at 0.8 agrees in a piece with probability 0.85^6, shares 13 of 32 bands, and should meet 16 times.
-DRAWS = (1, 4, 9, 23, 61, 162, 430)
+# Draws for 0, 1, 2, ... pieces: a pair at 0.8 agrees in each of the same 172 pieces with probability 0.85^6 and shares each band with 0.8^4.
+# With so many draws of its own in each band it meets nowhere with a chance of 1e-7 at most, if all its buckets are split so deep.
+DRAWS = (1, 8, 27, 92, 340, 1500, 7500)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,32 +179,37 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _picks(depth: int) -> np.ndarray:
-    """(draws, depth) pieces that a bucket is split by; the same for all."""
-    return np.random.default_rng(depth).permuted(np.tile(np.arange(PIECES), (DRAWS[depth], 1)), axis=1)[:, :depth]
+    """(bands, draws, depth) pieces that a bucket is split by. Each band has its own, else a pair that no draw joins would be lost in all bands."""
+    every, rng = np.tile(np.arange(PIECES, dtype=np.int16), (DRAWS[depth], 1)), np.random.default_rng(depth)
+    return np.stack([rng.permuted(every, axis=1)[:, :depth] for _ in range(BANDS)])
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of open buckets to the spots in which they are compared: a large bucket falls apart by deeper bands."""
+    picks: dict[int, np.ndarray] = {}
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             bucket = part.column("bucket").to_numpy().view(np.uint64)
-            depth = part.column("depth").to_numpy()
+            depth, band = (part.column(c).to_numpy() for c in ("depth", "band"))
             pieces = np.stack([np.frombuffer(x, "<u2") for x in part.column("pieces").to_pylist()]) if part.num_rows else np.empty((0, PIECES), np.uint16)
             for d in np.unique(depth):
                 mine = np.flatnonzero(depth == d)
                 some = part.take(pa.array(mine)).drop_columns(["bucket", "depth"])
-                for draw, pick in enumerate(_picks(int(d))):
+                if d not in picks:
+                    picks[d] = _picks(int(d))
+                for draw in range(DRAWS[d]):
                     key = bucket[mine]
                     with np.errstate(over="ignore"):
-                        for i in pick:
-                            key = mix(key * SPREAD + pieces[mine, i] + np.uint64(draw << 16))
+                        for i in range(d):
+                            key = mix(key * SPREAD + pieces[mine, picks[d][band[mine], draw, i]] + np.uint64(draw << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(mine), draw, np.int32)), *some.columns], names=["spot", "draw", *some.schema.names])
 
 
 def _meet(similar: float):
     """Rows of spots in order to pairs of bags of different classes that can reach the limit, each in the first spot that both are in."""
     enough = least_agreeing(similar)
+    picks: dict[int, np.ndarray] = {}
 
     def pairs(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         bag, label, n = (rows.column(c).to_numpy() for c in ("bag", "label", "n"))
@@ -216,18 +222,23 @@ def _meet(similar: float):
         depths = depths.reshape(len(bag), BANDS)
         a, b = [], []
         for i in range(1, len(bag)):
-            j = np.flatnonzero((label[:i] != label[i]) & (np.minimum(n[:i], n[i]) >= similar * np.maximum(n[:i], n[i])))
+            j = np.flatnonzero((label[:i] != label[i]) & (np.minimum(n[:i], n[i]) / np.maximum(n[:i], n[i]) >= similar))
             j = j[agreeing(pieces[i], pieces[j]) >= enough]
             if len(j):
                 # Both are in a band's bucket if their keys agree; if it is split, in the first draw in which their pieces agree.
-                met, same, first = keys[j] == keys[i], pieces[j] == pieces[i], {}
-                for d in np.unique(depths[i][depths[i] > 0]):
-                    drawn = same[:, _picks(int(d))].all(axis=2)
-                    first[d] = drawn.argmax(axis=1)
-                    met[:, depths[i] == d] &= drawn.any(axis=1)[:, None]
+                met, same, first = keys[j] == keys[i], pieces[j] == pieces[i], 0
+                for at in range(band + 1):
+                    d = int(depths[i, at])
+                    if d and met[:, at].any():
+                        if d not in picks:
+                            picks[d] = _picks(d)
+                        drawn = same[:, picks[d][at]].all(axis=2)
+                        first = drawn.argmax(axis=1)
+                        met[:, at] &= drawn.any(axis=1)
+                # After the loop, first is that of this band: its pairs are here, so it was met.
                 here = met.argmax(axis=1) == band
                 if depths[i, band]:
-                    here &= first[depths[i, band]] == draw
+                    here &= first == draw
                 j = j[here]
                 a.append(np.full(len(j), bag[i]))
                 b.append(bag[j])
@@ -309,7 +320,7 @@ def _linked(signed: DataFrame, keyed: DataFrame, one: DataFrame, similar: float)
     # A bag that meets many others is likely the one that the copies of a group were made from: a hub.
     centre = rows.groupBy("bag").agg(F.sum("members").alias("meets"))
     hubs = rows.join(centre, "bag").groupBy("bucket").agg(F.max(F.struct("meets", "bag", "n")).alias("hub")).select("bucket", F.col("hub.bag").alias("hub"), F.col("hub.n").alias("hub_n"))
-    met = rows.join(hubs, "bucket").where((F.col("bag") != F.col("hub")) & (F.least("n", "hub_n") >= similar * F.greatest("n", "hub_n")))
+    met = rows.join(hubs, "bucket").where((F.col("bag") != F.col("hub")) & (F.least("n", "hub_n") / F.greatest("n", "hub_n") >= similar))
     pairs = met.select(F.least("bag", "hub").alias("a"), F.greatest("bag", "hub").alias("b")).distinct()
     labels = _classes(_verified(pairs, source, similar))
     # Buckets of several classes stay open.
@@ -343,7 +354,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     more are linked; a class is what links join. class_id: its smallest doc_id (null if it has none); first: the row has
     that doc_id. A null text, or one without words, is in a class of its own, of size 1. Rows with a null doc_id take part; repeated rows are
     copies of each other. An empty table gives no rows. Bags are known by 64-bit hashes. A pair of exactly the limit's similarity
-    is missed with a chance of 1e-7 (bands and bits, 5e-8 each), in a bucket of over MOST bags of several classes with one of 2e-5; one more alike, with less.
+    is missed with a chance of 1e-7 (bands and bits, 5e-8 each), in buckets of over MOST bags of several classes with one of 2e-7; one more alike, with less.
     """
     classes = _class_of(docs, similar)[0]
     alone = F.col("n") == 0
