@@ -82,6 +82,32 @@ def test_quoted_cells_are_read_whole_when_a_file_is_split(spark, tmp_path):
     assert all(sorted(v) == list(range(2, len(v) + 2)) for v in files.values())
 
 
+def test_a_language_is_written_and_numbered_in_parts(spark, tmp_path, monkeypatch):
+    from tidemark.queries import ingest
+
+    texts = [None, "", "a\nb,\"c\"", "one line", "\n\n", '"'] * 50
+    rows_in = [(i * 7 % 300, ("en", "fr")[i % 5 == 0], f"s{i % 4}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows_in, "doc_id long, lang string, source string, text string")
+    df.repartition(6).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    keys = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in keys}
+    monkeypatch.setattr(ingest, "_folder", lambda spark: str(tmp_path / "w"))
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.doc_id: (r.lang, r.file_line, r.n_chars) for r in ingest.raw_csv_ingest(spark, str(tmp_path / "in")).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    seen, want = {}, {}
+    for i, lang, _, t in sorted(rows_in, key=lambda x: x[0]):
+        seen[lang] = seen.get(lang, 1) + 1
+        want[i] = (lang, seen[lang], len(t) if t else None)
+    assert {i: x[:2] for i, x in got.items()} == {i: x[:2] for i, x in want.items()}
+    assert all(got[i][2] == n for i, (_, _, n) in want.items() if n)
+    assert len(list((tmp_path / "w").glob("lang=en/part-*.csv"))) > 2
+
+
 def test_a_quote_that_is_never_closed_is_named(spark, tmp_path):
     (tmp_path / "ok.csv").write_text('a,b\n1,"x\ny"\n')
     (tmp_path / "open.csv").write_text('a,b\n1,x\n2,"never\nclosed\n3,z\n')

@@ -44,15 +44,16 @@ def raw_text_ingest(spark, sf):
   row_number() OVER (PARTITION BY lang ORDER BY doc_id) + 1 AS file_line, lang FROM documents""",
 )
 def raw_csv_ingest(spark, sf):
-    """Whole texts in a single-byte encoding, one file a language: read back record by record with their line numbers; blank cells become NULL."""
+    """Whole texts in a single-byte encoding, one file a language in parts: read back record by record with their line numbers; blank cells become NULL."""
     path = _folder(spark)
     d = I.table(spark, sf, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("source"), "text")
     keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    files = d.repartition("lang").sortWithinPartitions("lang", "doc_id").write.partitionBy("lang")
+    # Parts follow each other by doc_id, so no task writes a whole language; the table's splits are of bounded size.
+    files = d.repartitionByRange(d.rdd.getNumPartitions(), "lang", "doc_id").sortWithinPartitions("lang", "doc_id").write.partitionBy("lang")
     files.options(header=True, encoding="ISO-8859-1", emptyValue="", escape='"', **keep_spaces).csv(path)
     raw = None
     for lang in sorted(r.lang for r in d.select("lang").distinct().collect()):  # one row a file
-        one = text.read_raw_csv(spark, f"{path}/lang={lang}", ["doc_id", "source", "text"], "S2", "windows-1252", empty_to_null=True).withColumn("lang", F.lit(lang))
+        one = text.read_raw_csv(spark, f"{path}/lang={lang}", ["doc_id", "source", "text"], "S2", "windows-1252", empty_to_null=True, parts=True).withColumn("lang", F.lit(lang))
         raw = one if raw is None else raw.unionByName(one)
     return raw.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"),

@@ -109,9 +109,10 @@ def _carried(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     return turned.withColumns({"_s0": start(False), "_s1": start(True)}).drop("_turns", "_fixed", "_t")
 
 
-def _records(raw: DataFrame, sep: str = ",") -> DataFrame:
-    """Lines of a file scan joined to records: value, source_file, file_line (the record's number, from 1).
+def _records(raw: DataFrame, sep: str = ",", parts: bool = False) -> DataFrame:
+    """Lines of a file scan joined to records: value, source_file, file_line (the record's number, from 1), _ahead.
 
+    _ahead: 0, with `parts` the records but the headers of all files before it, in the order of their names.
     The state of the quotes is carried inside each file split for either start, then from split to split (one small row
     each), so no file is read in one task. Only a record of several lines is put together from its lines.
     """
@@ -138,19 +139,23 @@ def _records(raw: DataFrame, sep: str = ",") -> DataFrame:
     unclosed = at_end.where("open").orderBy("_path").limit(5).collect()
     if unclosed:
         raise ValueError("a quote is never closed: " + "; ".join(f"record {r.line} of {r._path}" for r in unclosed))
-    offsets = offsets.drop("_own", "_ends_open")
+    offsets = offsets.drop("_own", "_ends_open").withColumn("_ahead", F.lit(0).cast("bigint"))
+    if parts:  # One row a file. The numbers in the names of parts grow longer at last.
+        names = Window.orderBy(F.length("_path"), "_path").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = at_end.select("_path", F.coalesce(F.sum(F.greatest(F.col("line") - 1, F.lit(0))).over(names), F.lit(0)).alias("_ahead"))
+        offsets = offsets.drop("_ahead").join(ahead, "_path")
     told = counted(lines).join(offsets, ["_path", "_at"], "left")
     fits = F.coalesce(F.col("_row") <= F.col("_rows"), F.lit(False))
     number = F.col("_before") + F.when(F.col("_quoted"), F.col("_n1")).otherwise(F.col("_n0"))
     inside = F.when(F.col("_quoted"), F.col("_s1")).otherwise(F.col("_s0"))
     ends = F.when(inside, F.col("_e1")).otherwise(F.col("_e0"))
     told = told.select(
-        "_path", "source_file", "_at", "_row", "value", "_some", inside.alias("_in"), ends.alias("_open"),
+        "_path", "source_file", "_ahead", "_at", "_row", "value", "_some", inside.alias("_in"), ends.alias("_open"),
         F.when(fits, number).otherwise(F.raise_error(F.lit(_MOVED)).cast("bigint")).alias("file_line"),
     )
-    whole = told.where(~F.col("_in") & ~F.col("_open") & F.col("_some")).select("value", "source_file", "file_line")
-    parts = told.where(F.col("_in") | F.col("_open")).groupBy("_path", "source_file", "file_line").agg(F.sort_array(F.collect_list(F.struct("_at", "_row", "value"))).alias("_parts"))
-    return whole.unionByName(parts.select(F.array_join(F.transform("_parts", lambda p: p["value"]), "\n").alias("value"), "source_file", "file_line"))
+    whole = told.where(~F.col("_in") & ~F.col("_open") & F.col("_some")).select("value", "source_file", "file_line", "_ahead")
+    pieces = told.where(F.col("_in") | F.col("_open")).groupBy("_path", "source_file", "file_line", "_ahead").agg(F.sort_array(F.collect_list(F.struct("_at", "_row", "value"))).alias("_parts"))
+    return whole.unionByName(pieces.select(F.array_join(F.transform("_parts", lambda p: p["value"]), "\n").alias("value"), "source_file", "file_line", "_ahead"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -186,11 +191,13 @@ def read_raw_csv(
     source_id: str,
     encoding: str = "UTF-8",
     empty_to_null: bool = False,
+    parts: bool = False,
 ) -> DataFrame:
     """CSV with a header in any encoding, all columns as text; blanks kept or turned into NULL.
 
     Cells may be quoted, with line breaks and doubled quotes inside; lines end with \\n or \\r\\n. file_line
-    counts records from 2, the record after the header; blank lines are none. Spark reads no windows-1252; it equals
+    counts records from 2, the record after the header; blank lines are none. With `parts` the files are parts of one in the order
+    of their names, each with the header, and file_line runs on from part to part. Spark reads no windows-1252; it equals
     ISO-8859-1 but for the control range, which is translated.
     """
     cp1252 = encoding.lower() in ("windows-1252", "cp1252")
@@ -201,7 +208,7 @@ def read_raw_csv(
     schema = ", ".join(f"`{c}` string" for c in columns)
     record = F.regexp_replace("value", r"\r\z", "")
     cells = F.from_csv(record, schema, {"escape": '"', "multiLine": "true", "lineSep": "\n"})
-    out = _records(raw).where("file_line > 1").select("source_file", "file_line", cells.alias("_c"))
+    out = _records(raw, parts=parts).where("file_line > 1").select("source_file", (F.col("file_line") + F.col("_ahead")).alias("file_line"), cells.alias("_c"))
     out = out.select("source_file", "file_line", *[F.col(f"_c.`{c}`").alias(c) for c in columns])
     if cp1252:
         src, dst = _cp1252_controls()
