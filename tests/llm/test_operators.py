@@ -67,6 +67,14 @@ def test_encoder_equals_whole_texts():
         at += n
 
 
+def test_encoder_keeps_no_word_again_for_its_stop_or_comma():
+    encode, whole = Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = ["Alpha, beta. x1. .. é, a.b. ß,,", "alpha alpha. alpha, beta, don't. , ."]
+    for t in texts:
+        assert encode.encode(pa.array([t]))[1].tolist() == [*whole.encode(t, add_special_tokens=False).ids, END_ID]
+    assert {"Alpha", "alpha", "beta"} <= set(encode.known) and not {"Alpha,", "alpha.", "alpha,", "beta,", "beta."} & set(encode.known)
+
+
 def test_token_files_round_trip(spark, hard):
     manifest = write_token_files(hard, PATH, length=16, rows=4, shards=3)
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in read_token_files(manifest, 2).collect())

@@ -37,76 +37,79 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.flat = np.full(1 << 16, END_ID, dtype=self.dtype)
         self.starts, self.sizes = array("q", [0]), array("q", [1])
-
-    def _of_words(self, words: list[str]) -> list[np.ndarray]:
-        """Words of letters alone go in long strings: each gives exactly one piece that ends a word."""
-        out: dict[str, np.ndarray] = {}
-        plain = [w for w in words if w.isalpha()]
-        for at in range(0, len(plain), 400):
-            some = plain[at : at + 400]
+        self.marks = self._add([".", ","])
+
+    def _of_words(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in another order, their ids one after the other, and how many each has.
+
+        Words of letters alone go in long strings: each gives exactly one piece that ends a word.
+        """
+        order, flat, sizes = [], [np.empty(0, dtype=self.dtype)], [np.empty(0, dtype=np.int64)]
+        plain, rest = [], []
+        for w in words:
+            (plain if w.isalpha() else rest).append(w)
+        for at in range(0, len(plain), 100):
+            some = plain[at : at + 100]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and len(ids) == cuts[-1]:
-                out.update(zip(some, np.split(ids, cuts[:-1]), strict=True))
-        rest = [w for w in words if w not in out]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
-            out[w] = np.array(e.ids, dtype=self.dtype)
-        return [out[w] for w in words]
-
-    def _keep(self, pieces: list[np.ndarray]) -> range:
-        """Places of further pieces in the store."""
+                order += some
+                flat.append(ids)
+                sizes.append(np.diff(cuts, prepend=0))
+            else:
+                rest += some
+        if rest:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            order += rest
+            flat += [np.array(ids, dtype=self.dtype) for ids in got]
+            sizes.append(np.array([len(ids) for ids in got], dtype=np.int64))
+        return order, np.concatenate(flat), np.concatenate(sizes)
+
+    def _add(self, words: list[str]) -> dict[str, int]:
+        """Places of further words in the store."""
+        order, new, sizes = self._of_words(words)
         at, first = self.starts[-1] + self.sizes[-1], len(self.starts)
-        new = np.concatenate(pieces)
         if at + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat[:at], np.empty(max(len(self.flat), len(new)), dtype=self.dtype)])
         self.flat[at : at + len(new)] = new
-        for piece in pieces:
-            self.starts.append(at)
-            self.sizes.append(len(piece))
-            at += len(piece)
-        return range(first, len(self.starts))
-
-    def _ids(self, i: int) -> np.ndarray:
-        return self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]
-
-    def _look_up(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words that are not in the store. A stop or comma at the end of letters is a piece of its own."""
-        known = self.known
-        new: dict[str, None] = {}
-        parts = [(w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (w,) for w in words]
-        for part in parts:
-            for x in part:
-                if x not in known:
-                    new[x] = None
-        found = dict(zip(new, self._of_words(list(new)), strict=True)) if new else {}
-        get = lambda x: found[x] if x in found else self._ids(known[x])
-        return [get(part[0]) if len(part) == 1 else np.concatenate([get(part[0]), get(part[1])]) for part in parts]
+        self.starts.frombytes((at + np.cumsum(sizes) - sizes).astype(np.int64).tobytes())
+        self.sizes.frombytes(sizes.astype(np.int64).tobytes())
+        return dict(zip(order, range(first, len(self.starts)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of every text, and all ids in order. Each text ends with END_ID; null is empty."""
         counts, words = split_words(texts)
         ends = np.cumsum(counts)
         kept = len(self.starts)
-        which = np.zeros(0, dtype=np.int64)
+        which = mark = np.zeros(0, dtype=np.int64)
         if len(words):
             coded = words.dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
+            distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            # A stop or comma at the end of letters is a piece of its own: a run beside that of the letters.
+            marked = np.zeros(len(distinct), dtype=np.int64)
+            for i in [i for i, w in enumerate(distinct) if w[-1] in ".,"]:
+                w = distinct[i]
+                if w[:-1].isalpha():
+                    distinct[i], marked[i] = w[:-1], self.marks[w[-1]]
             known = self.known
             place = np.fromiter((known.get(w, -1) for w in distinct), dtype=np.int64, count=len(distinct))
-            fresh = np.flatnonzero(place < 0)
-            if len(fresh):
+            fresh = np.flatnonzero(place < 0).tolist()
+            if fresh:
                 new = [distinct[i] for i in fresh]
-                got = self._keep(self._look_up(new))
-                place[fresh] = np.arange(got.start, got.stop)
-                if len(known) + len(new) <= MOST_CACHED:
-                    known.update(zip(new, got, strict=True))
-                    kept = got.stop
-            which = place[coded.indices.to_numpy()]
-        # Words and text ends in one list of runs, then one gather.
-        last = np.zeros(len(which) + len(counts), dtype=bool)
-        last[ends + np.arange(len(counts))] = True
-        runs = np.zeros(len(last), dtype=np.int64)
-        runs[~last] = which
+                got = self._add(list(dict.fromkeys(new)))
+                place[fresh] = np.fromiter((got[w] for w in new), dtype=np.int64, count=len(new))
+                if len(known) + len(got) <= MOST_CACHED:
+                    known.update(got)
+                    kept = len(self.starts)
+            index = coded.indices.to_numpy()
+            which, mark = place[index], marked[index]
+        # Words, their marks and text ends in one list of runs, then one gather.
+        upto = np.concatenate([[0], np.cumsum(mark > 0)])
+        first = np.arange(len(which)) + upto[:-1] + np.repeat(np.arange(len(counts)), counts)
+        last = ends + upto[ends] + np.arange(len(counts))
+        runs = np.zeros(len(which) + int(upto[-1]) + len(counts), dtype=np.int64)
+        runs[first] = which
+        runs[first[mark > 0] + 1] = mark[mark > 0]
         sizes = np.frombuffer(self.sizes, dtype=np.int64)[runs]
         begin = np.frombuffer(self.starts, dtype=np.int64)[runs]
         upto = np.cumsum(sizes)
