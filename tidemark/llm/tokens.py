@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 from array import array
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,6 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.flat = np.full(1 << 16, END_ID, dtype=self.dtype)
         self.starts, self.sizes = array("q", [0]), array("q", [1])
-        self.marks = self._add([".", ","])
 
     def _of_words(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The words in another order, their ids one after the other, and how many each has.
@@ -85,12 +85,16 @@ class Encoder:
         if len(words):
             coded = words.dictionary_encode()
             distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-            # A stop or comma at the end of letters is a piece of its own: a run beside that of the letters.
-            marked = np.zeros(len(distinct), dtype=np.int64)
-            for i in [i for i, w in enumerate(distinct) if w[-1] in ".,"]:
+            # Marks at the end of letters are split off by the tokenizer: a run beside that of the letters. It lower-cases A-Z.
+            n, marked = len(distinct), []
+            for i in range(n):
                 w = distinct[i]
-                if w[:-1].isalpha():
-                    distinct[i], marked[i] = w[:-1], self.marks[w[-1]]
+                stem = w.rstrip(punctuation)
+                if len(stem) < len(w) and stem.isalpha():
+                    marked.append(i)
+                    distinct.append(w[len(stem) :])
+                    w = stem
+                distinct[i] = w.lower() if w.isascii() else w
             known = self.known
             place = np.fromiter((known.get(w, -1) for w in distinct), dtype=np.int64, count=len(distinct))
             fresh = np.flatnonzero(place < 0).tolist()
@@ -102,7 +106,9 @@ class Encoder:
                     known.update(got)
                     kept = len(self.starts)
             index = coded.indices.to_numpy()
-            which, mark = place[index], marked[index]
+            marks = np.zeros(n, dtype=np.int64)
+            marks[marked] = place[n:]
+            which, mark = place[index], marks[index]
         # Words, their marks and text ends in one list of runs, then one gather.
         upto = np.concatenate([[0], np.cumsum(mark > 0)])
         first = np.arange(len(which)) + upto[:-1] + np.repeat(np.arange(len(counts)), counts)
